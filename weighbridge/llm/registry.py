@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op4_repeats
+from weighbridge.llm import op1_bpe, op2_mix, op4_repeats, op7_quality
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
+    "op2_source_mix": op2_mix.query,
     "op4_suffix_repeats": op4_repeats.query,
+    "op7_quality_rules": op7_quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": op2_mix.SQL,
+    "op7_quality_rules": op7_quality.SQL,
+}
