@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op2_mix, op4_repeats, op7_quality
+from weighbridge.llm import op1_bpe, op2_mix, op3_neardup, op4_repeats, op7_quality
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
     "op2_source_mix": op2_mix.query,
+    "op3_minhash_neardup": op3_neardup.query,
     "op4_suffix_repeats": op4_repeats.query,
     "op7_quality_rules": op7_quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": op2_mix.SQL,
+    "op3_minhash_neardup": op3_neardup.SQL,
     "op7_quality_rules": op7_quality.SQL,
 }
