@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op2_mix, op3_neardup, op4_repeats, op7_quality
+from weighbridge.llm import op1_bpe, op2_mix, op3_neardup, op4_repeats, op5_secrets, op7_quality, op9_personal
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
     "op2_source_mix": op2_mix.query,
     "op3_minhash_neardup": op3_neardup.query,
     "op4_suffix_repeats": op4_repeats.query,
+    "op5_secret_scan": op5_secrets.query,
     "op7_quality_rules": op7_quality.query,
+    "op9_personal_data": op9_personal.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
