@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op10_language, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op9_personal
+from weighbridge.llm import op1_bpe, op10_language, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op8_html, op9_personal
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": op5_secrets.query,
     "op6_forest_neighbours": op6_neighbours.query,
     "op7_quality_rules": op7_quality.query,
+    "op8_html_article": op8_html.query,
     "op9_personal_data": op9_personal.query,
     "op10_language_id": op10_language.query,
 }
