@@ -4,12 +4,14 @@
    many, are collapsed before anything is compared.
 2. Nodes with an equal band of MinHash values meet in a bucket. A pair at the threshold shares no band with a
    probability of (1 - threshold ** ROWS) ** BANDS, under 1e-5.
-3. In each bucket one node, the pivot, is paired with the others, so pairs grow with the bucket and not with its square.
+3. In each bucket the node that meets most others, the pivot, is paired with the others, so pairs grow with the bucket and not with its square.
    Pairs are compared by batches of signature values: after each batch a pair goes if the posterior probability (uniform
    prior) that it reaches the threshold is under MISS. What survives is confirmed on the full sets.
-4. Components of confirmed links (large-star, small-star). A pivot has now met all of its bucket, so it leaves. Where
-   members of one bucket are still in different components, either all pairs across components are compared, if these
-   are few for the number of rows, or a next pivot is taken. So every pair of a bucket is compared or already joined.
+4. Components of confirmed links (large-star, small-star). Where members of one bucket are still in different components,
+   those outside the largest are compared with the others of their pivot's group, in blocks of CHUNK by CHUNK: batches of
+   signatures first, survivors exactly, and only links that join something are returned. Of a group of over GROUP nodes
+   only members are compared that have one of their rarest shingles in common, as two sets at the threshold do: a passage
+   that very many documents share pairs none of them. So every pair of a bucket is compared, excluded or already joined.
 
 Null, empty and blank texts have the empty set and no links: each is its own component. A null id is ignored in the
 smallest id of a component. Rows that repeat are in one component. Other columns do not matter.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.llm import common
@@ -33,8 +35,9 @@ BANDS = 30
 ROWS = 5
 BATCH = 30
 MISS = 1e-6
-#: Pairs across components are all compared when they are at most so many times the rows of the buckets.
-FEW = 2
+#: Nodes on a side of a block that is compared in memory, and nodes up to which a pivot's group is cut into blocks as it is.
+CHUNK = 512
+GROUP = 20_000
 HASHER = Hasher()
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -182,6 +185,109 @@ def _confirm(per_cent: int):
     return run
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a in range(0, b.num_rows, 256):
+            c = b.slice(a, 256)
+            found = [np.frombuffer(x, np.int64) for x in c.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in found], np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [c.column(x).take(at) for x in ("pivot", "node", "root")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["pivot", "node", "root", "n", "part"])
+
+
+def _prefixes(found: DataFrame, per_cent: int) -> DataFrame:
+    """found(pivot, node, root, shingles) to (pivot, part, node, root): of each set the shingles (parts) that fewest sets of
+    its pivot have, so many that two sets at the threshold share one. What very many documents have in common drops out."""
+    rows = found.select("pivot", "node", "root", "shingles").mapInArrow(_explode, "pivot long, node long, root long, n long, part long")
+    rows = common.written(rows, "exploded")
+    often = rows.groupBy("pivot", "part").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("pivot", "node").orderBy(F.coalesce("often", F.lit(1)), "part")
+    ranked = rows.join(often, ["pivot", "part"], "left").withColumn("at", F.row_number().over(order))
+    first = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1)
+    return common.written(first.where("often > 1").select("pivot", "part", "node", "root"), "prefixes")
+
+
+def _blocks(least: dict[int, int], per_cent: int):
+    """One block: nodes outside the largest component (side 1) against nodes of the group (side 0). Signatures are
+    compared batch by batch, survivors exactly; of the links found, those that join what is not yet joined are returned."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(side), -1)
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        if not (len(left) and len(right)):
+            return schema.empty_table()
+        x, y = left[:, None], right[None, :]
+        fits = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y]))
+        i, j = np.nonzero(fits)
+        i, j = left[i], right[j]
+        found, at = np.zeros(len(i), np.int64), 0
+        for upto, m in least.items():
+            found = found + np.concatenate([np.zeros(0, np.int64), *((sig[i[c : c + 65536], at:upto] == sig[j[c : c + 65536], at:upto]).sum(axis=1) for c in range(0, len(i), 65536))])
+            keep = found >= m
+            i, j, found, at = i[keep], j[keep], found[keep], upto
+        if not len(i):
+            return schema.empty_table()
+        raw = group.column("shingles").to_pylist()
+        used = np.unique(np.concatenate([i, j]))
+        place = np.full(len(side), -1)
+        place[used] = np.arange(len(used))
+        sets = [np.frombuffer(raw[k], np.uint64) for k in used]
+        values, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), [len(z) for z in sets])
+        both = np.zeros((len(used), len(used)), np.float32)
+        shared = np.flatnonzero(often > 1)
+        column = np.full(len(values), -1)
+        column[shared] = np.arange(len(shared))
+        column = column[back.reshape(-1)]
+        for c in range(0, len(shared), 4096):  # counts under 2 ** 24 are exact
+            own = (column >= c) & (column < c + 4096)
+            dense = np.zeros((len(used), min(4096, len(shared) - c)), np.float32)
+            dense[rows[own], column[own] - c] = 1
+            both += dense @ dense.T
+        k = both[place[i], place[j]].astype(np.int64)
+        good = np.flatnonzero(100 * k >= per_cent * (n[i] + n[j] - k))
+        parent: dict[int, int] = {}
+
+        def top(z: int) -> int:
+            while (up := parent.get(z, z)) != z:
+                parent[z] = parent.get(up, up)
+                z = up
+            return z
+
+        out = []
+        for g in good.tolist():
+            p, q = top(int(root[i[g]])), top(int(root[j[g]]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(node[i[g]]), int(node[j[g]])))
+        return pa.Table.from_batches([common.batch(schema, out)])
+
+    return run
+
+
+def _rest(rows: DataFrame, sets: DataFrame, sig: DataFrame, per_cent: int) -> DataFrame:
+    """rows(pivot, node, root): links between nodes of one pivot that are in different components."""
+    by = rows.groupBy("pivot", "root").agg(F.count("*").alias("m"))
+    by = by.groupBy("pivot").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"))
+    rows = rows.join(by, "pivot").withColumn("part", F.lit(0).cast("long"))
+    small, large = rows.where(F.col("all") <= GROUP), rows.where(F.col("all") > GROUP)
+    # of groups too large for blocks of all members, those that share one of their rarest shingles
+    if not large.isEmpty():
+        split = _prefixes(large.select("pivot", "node", "root").distinct().join(sets, "node"), per_cent)
+        by = split.groupBy("pivot", "part", "root").agg(F.count("*").alias("m")).groupBy("pivot", "part").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most")).where("all > most")
+        small = small.unionByName(split.join(by, ["pivot", "part"]).select(*small.columns))
+    across, down = F.ceil(F.col("all") / CHUNK), F.ceil((F.col("all") - F.col("most")) / CHUNK)
+    mine = F.pmod(F.xxhash64("node"), across)
+    right = small.select("pivot", "part", "node", "root", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("i"), mine.alias("j"))
+    left = small.where("root <> main").select("pivot", "part", "node", "root", F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), down).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("j"))
+    cells = left.unionByName(right).join(sig, "node").join(sets, "node")
+    return cells.groupBy("pivot", "part", "i", "j").applyInArrow(_blocks(least_matches(per_cent / 100), per_cent), "a long, b long")
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """links(a, b) to (node, root): the smallest node reachable, for each node that has a link to another.
     Alternating large-star and small-star steps; each is written out, so a lost executor costs one step."""
@@ -210,11 +316,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.select(key, text)
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int")}[dict(rows.dtypes)[key]]
     measured = common.written(rows.mapInArrow(_measure(key, text, width, kind), f"`{key}` {sql}, n_shingles long, hi long, lo long, bands array<long>, sig binary"), "shingles")
-    classes = measured.where("hi is not null").groupBy("hi", "lo").agg(F.min(key).alias("id"), F.min_by(F.struct("bands", "sig"), F.coalesce(F.col(key), F.lit(2**31 - 1))).alias("x"))
-    nodes = common.written(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "id", "x.bands", "x.sig"), "nodes")
+    classes = measured.where("hi is not null").groupBy("hi", "lo").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig"), F.coalesce(F.col(key), F.lit(2**31 - 1))).alias("x"))
+    nodes = common.written(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "id", "n", "x.bands", "x.sig"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
-    buckets = common.written(banded.join(shared, "band"), "buckets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = common.written(banded.join(shared, "band"), "met")
+    # a node that meets many others is central in its group: most of the group links to it directly
+    central = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    buckets = common.written(met.select("band", "node").join(central, "node").select("band", "node", "meets"), "buckets")
+
+    def pivots_of(frame: DataFrame) -> DataFrame:
+        return frame.groupBy("band").agg(F.max(F.struct("meets", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+
     wanted = buckets.select("node").distinct().join(nodes.select("node", "hi", "lo", "id"), "node")
     texts = rows.select(F.col(key).alias("of"), F.col(text).alias("_text"))
     found = wanted.join(texts, F.col("id").eqNullSafe(F.col("of"))).select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), "node long, shingles binary").dropDuplicates(["node"])
@@ -229,29 +342,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         return left.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(per_cent), "a long, b long")
 
-    links = common.written(confirmed(buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "links")
-    size = buckets.count()
-    open_rows = buckets.where("node <> pivot").select("band", "node")
-    while True:
-        roots = components(links)
-        labelled = open_rows.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        by_root = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-        by_band = by_root.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        still = common.written(labelled.join(by_band, "band"), "open")
-        across = still.groupBy("band").agg(((F.max("all") * F.max("all") - F.max("within")) / 2).alias("x")).agg(F.sum("x")).first()[0]
-        if not across:
-            break
-        if across <= FEW * size:
-            others = still.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-            pairs = others.join(still.select("band", F.col("node").alias("b"), F.col("root").alias("rb")), "band").where("ra <> rb")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            roots = components(common.written(links.unionByName(confirmed(pairs)), "links"))
-            break
-        pivots = still.groupBy("band").agg(F.min("node").alias("pivot"), F.min_by("root", "node").alias("pivot_root"))
-        next_rows = still.select("band", "node", "root").join(pivots, "band").where("node <> pivot")
-        pairs = next_rows.where("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        links = common.written(links.unionByName(confirmed(pairs)), "links")
-        open_rows = common.written(next_rows.select("band", "node"), "open")
+    rest = common.written(buckets.join(pivots_of(buckets), "band").where("node <> pivot").select("band", "pivot", "node"), "rest")
+    links = common.written(confirmed(rest.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()), "links")
+    roots = components(links)
+    labelled = rest.join(roots, "node", "left").select("band", "pivot", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    # two nodes of one bucket have its pivot in common: each node is laid out once a pivot, not once a band
+    still = common.written(labelled.join(mixed, "band").select("pivot", "node", "root").distinct(), "still")
+    more = common.written(_rest(still, sets, nodes.select("node", "n", "sig"), per_cent), "links")
+    if not more.isEmpty():
+        roots = components(common.written(links.unionByName(more), "links"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
     member = nodes.join(roots, "node", "left").select("hi", "lo", "id", F.coalesce("root", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -261,6 +361,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(key), F.col("hi").isNull()).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that with the smallest id; of equal rows one. A row with a null
+    id stays. The columns are those of docs."""
+    found = near_duplicates(docs, key, text, width, per_cent)
+    out = docs.join(found.where(~F.col("kept")).select(key).distinct(), key, "left_anti").select(docs.columns)
+    again = common.written(found.where("kept").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key).dropna(), "repeated")
+    if again.isEmpty():
+        return out
+    return out.join(again, key, "left_anti").select(docs.columns).unionByName(out.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=SHINGLE)
 
