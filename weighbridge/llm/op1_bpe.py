@@ -145,11 +145,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(buckets, key, kind), f"{key} {sql}, n_tokens long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", digests: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", digests: bool = False, keep: bool = False) -> DataFrame:
     """Adds decoded binary, the bytes of the ids of each row; with digests, adds ids_sha256 and decoded_sha256 instead
-    and drops the ids. Null ids decode to nothing. Ids outside the vocabulary are an error."""
+    and, unless keep is set, drops the ids. Null ids decode to nothing. Ids outside the vocabulary are an error."""
     table = encoded.sparkSession.sparkContext.broadcast(ranks(ranks_path))
-    kept = [c for c in encoded.columns if not (digests and c == ids)]
+    kept = [c for c in encoded.columns if not (digests and not keep and c == ids)]
     added = ["ids_sha256", "decoded_sha256"] if digests else ["decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

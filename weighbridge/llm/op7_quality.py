@@ -25,12 +25,18 @@ from weighbridge.llm import common
 MAX_DOCS = 40
 MIN_WORDS = 10
 KEEP_SHARE = 0.5
+#: With this seed the mark of a text is what the built-in xxhash64 gives.
+MARK_SEED = 42
 REPEATED_PER_CENT = 20
 BLANKS = " \t\n\v\f\r"
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words in windows of five that occur twice or more."""
     windows = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
@@ -57,7 +63,7 @@ def counts(text: str) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
         if own:
             dup += line in seen
             seen.add(line)
-            h = xxhash.xxh64_intdigest(b" ".join(own).translate(NORMAL)) - (1 << 63)
+            h = signed(xxhash.xxh64_intdigest(b" ".join(own).translate(NORMAL)))
             lines[h] = lines.get(h, 0) + len(own)
     chars = len(text) - sum(text.count(c) for c in BLANKS)
     symbols = sum(text.count(c) for c in "#*$%&|<>")
@@ -73,14 +79,14 @@ def _measure(key: str, text: str, host: str, kind: pa.DataType):
             rows = []
             for k, h, t in zip(*(b.column(c).to_pylist() for c in (key, host, text)), strict=True):
                 own, lines = counts(t or "")
-                rows.append((k, h, xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63), *own, [{"line": x, "words": n} for x, n in lines]))
+                rows.append((k, h, signed(xxhash.xxh64_intdigest((t or "").encode(), MARK_SEED)), *own, [{"line": x, "words": n} for x, n in lines]))
             yield common.batch(schema, rows)
 
     return run
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Per row of docs: its key, host, the counts, n_removed_words, base_failed and kept."""
+    """Per row of docs: its key, host, mark (xxhash64 of its text), the counts, n_removed_words, base_failed and kept."""
     rows = docs.select(F.col(key), F.col(host).cast("string").alias(host), F.col(text))
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
     schema = f"`{key}` {sql}, host string, of long, {', '.join(f'{c} long' for c in COUNTS)}, lines array<struct<line: long, words: long>>"
@@ -98,7 +104,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PER_CENT * F.col("n_words"))
     left = F.col("n_words") - lost
     fine = (left >= MIN_WORDS) & (left >= F.lit(keep_share) * F.col("n_words"))
-    return out.select(key, "host", *COUNTS, lost.alias("n_removed_words"), failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return out.select(key, "host", F.col("of").alias("mark"), *COUNTS, lost.alias("n_removed_words"), failed.alias("base_failed"), (~failed & fine).alias("kept"))
+
+
+def reject(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **how) -> DataFrame:
+    """docs without the rows that are not kept; the columns are those of docs."""
+    out = judge(docs, key, text, host, **how).where(~F.col("kept")).select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m")).distinct()
+    same = docs[key].eqNullSafe(F.col("_i")) & docs[host].cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m"))
+    return docs.join(out, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
