@@ -32,11 +32,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; missing values are empty strings; header names are unique."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"', encoding="UTF-8", nullValue="\0")
-    names = [c.removeprefix("\ufeff") for c in df.columns]
+    options = {"multiLine": True, "escape": '"', "quote": '"', "encoding": "UTF-8", "nullValue": "\0"}
+    first = spark.read.csv(path, header=False, **options).first()  # the reader renames repeated names, so they are looked at here
+    names = [str(c or "").removeprefix("\ufeff") for c in (first or ())]
     if len({n.lower() for n in names}) < len(names):
         raise ValueError(f"{path}: a column name repeats")
-    return select_columns(df.toDF(*names).na.fill(""), required) if required else df.toDF(*names).na.fill("")
+    df = spark.read.csv(path, header=True, **options).toDF(*names).na.fill("")
+    return select_columns(df, required) if required else df
 
 
 def select_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
