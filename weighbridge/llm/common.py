@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: what ASCII white space delimits.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +22,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
 
 
+#: Rows and bytes of a batch that goes to a worker or comes back. Texts are long: Spark's own 10,000 rows of them would fill
+#: tens of megabytes of buffers in the executor and again in the worker.
+BATCH_ROWS, BATCH_BYTES = 512, "8m"
+
+
+def lean(spark: SparkSession) -> None:
+    """Small batches between executors and workers from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,6 +50,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table is broadcast up to so many bytes, by its number of rows and a bound on a row's size.
+BROADCAST_BYTES = 4 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if it is small: so that a join with it need not shuffle whole texts. A larger one is joined
+    by a shuffle. df is a written table, so counting it reads no columns."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def released() -> None:
+    """Give freed memory back to the system: workers are reused, and the next step may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """A function over the batches of a partition that gives its memory back at the end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
+
+
 def pack(value: object) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
 
@@ -93,15 +139,15 @@ def block_ids() -> Iterator[int]:
         at += 1
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[tuple[int, list, list[str]]]:
-    """(block id, keys, texts) with nulls as empty texts; about BLOCK_BYTES each, never part of a document."""
+def blocks_of(batches: Iterator[pa.RecordBatch], key: str, text: str, least: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[str]]]:
+    """(block id, keys, texts) with nulls as empty texts; about `least` characters each, never part of a document."""
     ids, keys, texts, size = block_ids(), [], [], 0
     for batch in batches:
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
             keys.append(k)
             texts.append(t or "")
             size += len(texts[-1]) + 16
-            if size >= BLOCK_BYTES:
+            if size >= least:
                 yield next(ids), keys, texts
                 keys, texts, size = [], [], 0
     if keys:

@@ -148,11 +148,13 @@ def train(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", text: str
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its key, lang_pred and score."""
+    common.lean(docs.sparkSession)
     rows = docs.select(key, text)
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
     shared = docs.sparkSession.sparkContext.broadcast((list(model.ids), model.langs, model.p))  # vocabulary times languages
     schema = pa.schema([(key, kind), ("lang_pred", pa.string()), ("score", pa.float64())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 

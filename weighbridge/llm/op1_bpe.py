@@ -21,6 +21,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from weighbridge.llm import common
 
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("codes", pa.binary()), ("words", pa.binary())])
 WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+#: Pre-tokens held as Python strings at once, and rows decoded at once.
+HELD, ROWS = 65_536, 64
 IDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
 
@@ -43,20 +46,25 @@ def _bucket_of(words: list[str], buckets: int) -> np.ndarray:
 
 
 def _split(pattern: str, buckets: int, key: str, text: str):
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
         for block, keys, texts in common.blocks_of(batches, key, text):
             tokens: list[str] = []
-            lengths = []
+            lengths, parts = [], []
             for t in texts:
                 found = find(t)
                 tokens += found
                 lengths.append(len(found))
-            table = pa.array(tokens, pa.string()).dictionary_encode()
+                if len(tokens) > HELD:
+                    parts.append(pa.array(tokens, pa.string()))
+                    tokens = []
+            parts.append(pa.array(tokens, pa.string()))
+            table = pa.concat_arrays(parts).dictionary_encode()
             codes, words = table.indices.to_numpy(), table.dictionary.to_pylist()
-            del tokens
+            del tokens, parts
             often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[often] = np.arange(len(words), dtype=np.uint32)
@@ -68,6 +76,7 @@ def _split(pattern: str, buckets: int, key: str, text: str):
 
 
 def _distinct(buckets: int):
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("words").to_pylist(), strict=True):
@@ -134,6 +143,7 @@ def _join(buckets: int, key: str, kind: pa.DataType):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its key, n_tokens long and ids array<int>. A null text counts as empty."""
     spark = docs.sparkSession
+    common.lean(spark)
     rows = docs.select(key, text)
     kind, sql = {"long": (pa.int64(), "long"), "bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
     buckets = common.bucket_count(rows)
@@ -148,10 +158,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", digests: bool = False, keep: bool = False) -> DataFrame:
     """Adds decoded binary, the bytes of the ids of each row; with digests, adds ids_sha256 and decoded_sha256 instead
     and, unless keep is set, drops the ids. Null ids decode to nothing. Ids outside the vocabulary are an error."""
+    common.lean(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast(ranks(ranks_path))
     kept = [c for c in encoded.columns if not (digests and not keep and c == ids)]
     added = ["ids_sha256", "decoded_sha256"] if digests else ["decoded"]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = max(table.value.values(), default=-1) + 1
         pieces: list[bytes | None] = [None] * size
@@ -160,12 +172,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", digests: bool
         lens = np.array([len(p or b"") for p in pieces], np.int64)
         starts = np.cumsum(lens) - lens
         flat = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             column = b.column(ids)
             values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(values) and (values.min() < 0 or values.max() >= size):
                 raise ValueError("an id is not in the vocabulary")
-            counts = np.array([n or 0 for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
+            counts = np.array([n or 0 for n in pc.list_value_length(column).to_pylist()], np.int64)
             data = flat[common.ragged(starts[values], lens[values])].tobytes()
             ends = np.concatenate([[0], np.cumsum(counts)])
             cuts = np.concatenate([[0], np.cumsum(lens[values])])[ends]

@@ -48,6 +48,9 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
     """docs with _size, _source_size, _target and _copies, how often the mix takes the row."""
     rows = sized(docs, text, source, key)
     by = targets(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")), **how)
+    by = common.written(by, "targets")
+    longest = by.agg(F.coalesce(F.max(F.octet_length("source")), F.lit(0))).first()[0]
+    by = common.small(by, longest + 64)
     by = by.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)

@@ -38,6 +38,8 @@ MISS = 1e-6
 #: Nodes on a side of a block that is compared in memory, and nodes up to which a pivot's group is cut into blocks as it is.
 CHUNK = 512
 GROUP = 20_000
+#: Characters of text that are hashed at once.
+PIECE = 1 << 19
 HASHER = Hasher()
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -132,8 +134,9 @@ def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
 def _measure(key: str, text: str, width: int, kind: pa.DataType):
     schema = pa.schema([(key, kind), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, texts in common.blocks_of(batches, key, text):
+        for _, keys, texts in common.blocks_of(batches, key, text, PIECE):
             rows = []
             for k, found in zip(keys, shingle_sets(texts, width), strict=True):
                 if len(found):
@@ -150,11 +153,12 @@ def _sets(key: str, text: str, width: int):
     """Texts of candidate nodes to (node, sets); a row whose set isn't the node's, under a repeated id, is left out."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("node", "hi", "lo", text)]
-            for a in range(0, b.num_rows, 256):
-                nodes, hi, lo, texts = (c[a : a + 256] for c in columns)
+            for a in range(0, b.num_rows, 64):
+                nodes, hi, lo, texts = (c[a : a + 64] for c in columns)
                 found = shingle_sets([t or "" for t in texts], width)
                 yield common.batch(schema, [(n, s.tobytes()) for n, h, o, s in zip(nodes, hi, lo, found, strict=True) if (h, o) == fingerprint(s)])
 
@@ -165,6 +169,7 @@ def _prune(threshold: float):
     least = least_matches(threshold)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = pa.array(survivors(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist(), least))
@@ -176,6 +181,7 @@ def _prune(threshold: float):
 def _confirm(per_cent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("set_a"), b.column("set_b")
@@ -313,6 +319,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
     """Per row of docs: its key, n_shingles, component_id (smallest key of its component) and kept (its key is that)."""
+    common.lean(docs.sparkSession)
     rows = docs.select(key, text)
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int")}[dict(rows.dtypes)[key]]
     measured = common.written(rows.mapInArrow(_measure(key, text, width, kind), f"`{key}` {sql}, n_shingles long, hi long, lo long, bands array<long>, sig binary"), "shingles")
@@ -365,7 +372,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """docs with one row of each group of near-duplicates, that with the smallest id; of equal rows one. A row with a null
     id stays. The columns are those of docs."""
     found = near_duplicates(docs, key, text, width, per_cent)
-    out = docs.join(found.where(~F.col("kept")).select(key).distinct(), key, "left_anti").select(docs.columns)
+    found = common.written(found, "found")
+    dropped = common.small(common.written(found.where(~F.col("kept")).select(key).distinct(), "dropped"), 16)
+    out = docs.join(dropped, key, "left_anti").select(docs.columns)
     again = common.written(found.where("kept").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key).dropna(), "repeated")
     if again.isEmpty():
         return out

@@ -157,6 +157,7 @@ class Block:
 def _blocks(key: str, text: str):
     schema = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, keys, texts in common.blocks_of(batches, key, text):
             raw = [t.encode() for t in texts]
@@ -166,6 +167,7 @@ def _blocks(key: str, text: str):
 
 
 def _first(cover: np.ndarray, buckets: int):
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, docs in zip(b.column("block").to_pylist(), b.column("docs").to_pylist(), strict=True):
@@ -236,6 +238,7 @@ def _finish(cover: np.ndarray, buckets: int, key: str, kind: pa.DataType):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its key, n_bytes, n_removed, spans (maximal removed runs, in bytes) and kept (the other bytes)."""
+    common.lean(docs.sparkSession)
     rows = docs.select(key, text)
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
     buckets = common.bucket_count(rows)

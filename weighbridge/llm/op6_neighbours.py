@@ -136,6 +136,7 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     """For each row of vectors that meets the condition `queries` (a Column), its k nearest other rows:
     query_id, rank (from 1), vec_id, score (the distance)."""
     spark = vectors.sparkSession
+    common.lean(spark)
     kept = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
     x = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast(kept).alias("v"), queries.alias("asks"))
     x = x.where("id is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(double(c)) < double('Infinity')) and exists(v, c -> c <> 0)")

@@ -24,7 +24,7 @@ from weighbridge.llm import common
 
 MAX_DOCS = 40
 MIN_WORDS = 10
-KEEP_SHARE = 0.5
+KEEP_SHARE = 0.25
 #: With this seed the mark of a text is what the built-in xxhash64 gives.
 MARK_SEED = 42
 REPEATED_PER_CENT = 20
@@ -74,6 +74,7 @@ def _measure(key: str, text: str, host: str, kind: pa.DataType):
     line = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
     schema = pa.schema([(key, kind), ("host", pa.string()), ("of", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("lines", line)])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -87,6 +88,7 @@ def _measure(key: str, text: str, host: str, kind: pa.DataType):
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Per row of docs: its key, host, mark (xxhash64 of its text), the counts, n_removed_words, base_failed and kept."""
+    common.lean(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(host).cast("string").alias(host), F.col(text))
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
     schema = f"`{key}` {sql}, host string, of long, {', '.join(f'{c} long' for c in COUNTS)}, lines array<struct<line: long, words: long>>"
@@ -110,6 +112,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def reject(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **how) -> DataFrame:
     """docs without the rows that are not kept; the columns are those of docs."""
     out = judge(docs, key, text, host, **how).where(~F.col("kept")).select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m")).distinct()
+    out = common.small(common.written(out, "rejected"), 128)
     same = docs[key].eqNullSafe(F.col("_i")) & docs[host].cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m"))
     return docs.join(out, same, "left_anti")
 

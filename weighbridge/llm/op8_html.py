@@ -314,9 +314,11 @@ def train(pages: DataFrame, page: str = "html", url: str = "url", sample: int =
 
 def extract(pages: DataFrame, field: Field, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row of pages: the columns to keep, text and n_chars."""
+    common.lean(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field)
     rows = pages.select(*keep, page)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:

@@ -120,7 +120,9 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str
         return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(inside, longer).otherwise(F.concat(acc["out"], F.array(s))).alias("out"))
 
     merged = F.aggregate("_s", empty, merge, lambda acc: acc["out"])
-    joined = docs.join(found.withColumn("_s", merged), docs[key].eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m")), "left")
+    found = common.written(found.withColumn("_s", merged), "spans")
+    longest = found.agg(F.coalesce(F.max(F.size("_s")), F.lit(0))).first()[0]
+    joined = docs.join(common.small(found, 48 * longest + 64), docs[key].eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m")), "left")
     t = docs[text]
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_s", lambda s: s["end"]))
     pieces = F.zip_with(starts, "_s", lambda a, s: F.when(s.isNull(), F.substring(t, (a + 1).cast("int"), F.length(t))).otherwise(F.concat(F.substring(t, (a + 1).cast("int"), (s["start"] - a).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
