@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts
+from weighbridge.ship import ship
 
 MODELS, CONDITIONS = 4, 4
 #: Expressions that Spark and other SQL engines read alike, in the order in which they build on each other.
@@ -60,6 +61,7 @@ NOTE_COLUMNS = "request_id note_cluster admission_cluster subject_cluster detect
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
