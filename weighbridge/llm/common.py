@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weighbridge.ship import ship
+
 #: A word: what ASCII white space delimits.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,7 +30,8 @@ BATCH_ROWS, BATCH_BYTES = 512, "8m"
 
 
 def lean(spark: SparkSession) -> None:
-    """Small batches between executors and workers from now on in this session."""
+    """Small batches between executors and workers from now on in this session, and workers that know this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
