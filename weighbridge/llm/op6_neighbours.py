@@ -32,7 +32,7 @@ SAMPLE = 20_000
 #: A search ends when its leaves hold so many items, or this share of all items if that is more. Vectors without structure
 #: in 64 dimensions need such a share for a recall of 0.9; clustered ones need far less.
 SEARCH = 6_000
-SHARE = 0.65
+SHARE = 0.85
 CHUNK = 4_096
 QUERY_EVERY = 100
 SEED = 20
