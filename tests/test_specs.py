@@ -58,3 +58,29 @@ def test_feature_names_and_target_texts():
 def test_markdown(spark):
     shown = reports.markdown(spark.createDataFrame([("b", 0.5, None), ("a", 1.0, 2)], "x string, y double, z int"))
     assert shown.splitlines() == ["| x | y | z |", "| --- | --- | --- |", "| a | 1.000 | 2 |", "| b | 0.500 | - |"]
+
+
+def test_loose_tree():
+    good = {"nodes": [{"name": "A b", "yes_action": "x", "no_node": "a-B 2"}, {"name": "A b 2", "yes_action": "y", "no_node": "End of decision tree"}]}
+    assert specs.audit_loose(good) == ([], [])
+    bad = {"S": {"nodes": [{"name": "a", "yes_action": "", "no_node": "zz"}, {"name": "b", "yes_action": "Continue to node c", "criteria": ["q"], "min_criteria": True}]}}
+    errors, warnings = specs.audit_loose(bad)
+    assert len(errors) == 4 and len(warnings) == 3 and specs.audit_loose({})[0] == ["no sections"]
+
+
+def test_small_files(spark, tmp_path):
+    import json
+    import os
+
+    from weighbridge.sources import files
+
+    path = tmp_path / "o.json"
+    files.write_object(str(path), {"b": 1, "a": "é"}, owner_only=True)
+    assert path.read_text() == '{\n  "a": "é",\n  "b": 1\n}\n' and os.stat(path).st_mode & 0o777 == 0o600
+    files.write_lines(spark.createDataFrame([(1, None)], "z int, a string"), str(tmp_path / "l"))
+    files.write_lines(spark.createDataFrame([(2, "x")], "z int, a string"), str(tmp_path / "l"), "append")
+    lines = sorted(x for p in (tmp_path / "l").glob("part*") for x in p.read_text().splitlines())
+    assert [json.loads(x) for x in lines] == [{"a": "x", "z": 2}, {"a": None, "z": 1}] and lines[0].startswith('{"a"')
+    assert files.resolve(str(tmp_path / "c" / "conf.json"), "../d.csv") == (tmp_path / "d.csv").resolve()
+    sheets = {"binary_classification": [["precision", "x", "x", "x", "x"], ["# note", "", "", "", ""], ["back", "0.5 ± 0.1", "0.25", "n/a", "e1"], ["short"]], "other": [["back", "1", "1", "1", "e"]]}
+    assert [tuple(r) for r in files.metric_rows(spark, sheets).collect()] == [("binary_classification", "back", 0.5, 0.25, None, "e1")]

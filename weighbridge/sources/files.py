@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,3 +111,37 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame
     rows = files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     whole = rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda r: F.concat_ws(":", r["name"], r["sha256"])), "\n"), 256).alias("all_sha256"))
     return rows.crossJoin(F.broadcast(whole))
+
+
+#: The sheets with metric rows, and their columns.
+METRIC_SHEETS = ("multiclass_classification", "binary_classification")
+METRIC_COLUMNS = ("domain", "precision", "recall", "f1", "experiment")
+
+
+def metric_rows(spark: SparkSession, sheets: dict[str, list[list[str]]]) -> DataFrame:
+    """Published metric rows of the two sheets, comments and headings left out; a value's spread after ± is dropped."""
+    rows = [(name, *r[:5]) for name in METRIC_SHEETS for r in sheets.get(name, []) if len(r) >= 5 and r[0] not in ("", "precision") and not r[0].startswith("#")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("sheet", *METRIC_COLUMNS)))
+    return df.withColumns({c: F.trim(F.split_part(c, F.lit("±"), F.lit(1))).try_cast("double") for c in ("precision", "recall", "f1")})
+
+
+def resolve(base: str, value: str) -> Path:
+    """A path as a file in the folder of its configuration says it."""
+    if not value.strip():
+        raise ValueError("an empty path")
+    return (Path(base).parent / Path(value).expanduser()).resolve()
+
+
+def write_object(path: str, value: object, owner_only: bool = False) -> None:
+    """A small JSON value with sorted keys, in place at once; owner_only leaves it to no one else."""
+    target = Path(path)
+    held = target.with_name(target.name + ".part")
+    with os.fdopen(os.open(held, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600 if owner_only else 0o644), "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=2, sort_keys=True, ensure_ascii=False)
+        f.write("\n")
+    os.replace(held, target)
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines, the fields of each row by name; mode append adds to what is there."""
+    df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
