@@ -92,10 +92,10 @@ def test_tree_walks(spark):
 
 def test_threshold_machine_stops_early(spark):
     said = {"q1": "yes", "q2": "yes", "q3": None, "q4": "no", "q5": "yes", "q6": "no"}
-    answers = spark.createDataFrame([("c", q, a) for q, a in said.items()] + [("d", q, "no") for q in said] + [("e", "q1", None)], "case string, question string, answer string")
+    answers = spark.createDataFrame([("c", q, a) for q, a in said.items()] + [("d", q, "no") for q in said] + [("e", "q1", None), ("f", "unknown", "yes")], "case string, question string, answer string")
     got = {r.case: r for r in traversal.walk(spark, trees.MACHINE, "s1", answers).collect()}
     assert (got["c"].action, got["c"].calls, got["c"].visited) == ("End", 3, ["s1", "s2"])
-    assert (got["d"].action, got["d"].calls) == ("No specific action required", 5) and got["e"].status == "INVALID_OUTPUT"
+    assert (got["d"].action, got["d"].calls) == ("No specific action required", 5) and got["e"].status == got["f"].status == "INVALID_OUTPUT"
 
 
 def test_keyed_hash_and_ids(spark):

@@ -1,14 +1,15 @@
 """Decision trees and threshold machines, walked for all cases at once.
 
-A tree is small and known to the driver, so its depth bounds the number of rounds: each round is one join of the frontier
-with the broadcast edges. Nothing recurses over rows, and there is no limit on rows.
+A tree is small and known to the driver, so its depth bounds the number of rounds and its edges are literal maps. The answers
+of a case are gathered once, into a map; a round then is a projection, so a walk of any depth is one shuffle. Nothing
+recurses over rows, and there is no limit on rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EMPTY = "cast(array() as array<string>)"
@@ -35,11 +36,21 @@ class Tree:
         out += [(n, f"unknown_branch:{b}") for (n, _), bs in self.states.items() for b in bs if (n, b) not in self.edges]
         return sorted(set(out))
 
-    def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-        nodes = spark.createDataFrame([(n, *x) for n, x in self.nodes.items()], "node string, type string, criterion string, action string")
-        edges = spark.createDataFrame([(n, b, t, a) for (n, b), (t, a) in self.edges.items()], "node string, branch string, target string, actions array<string>")
-        states = spark.createDataFrame([(n, s, b) for (n, s), b in self.states.items()], "node string, state string, branches array<string>")
-        return nodes, edges, states
+    def lookups(self) -> tuple[Column, Column, Column]:
+        """Literal maps: node to (type, criterion, action); node and branch to (target, actions); node and state to branches."""
+        text = lambda v: F.lit(v).cast("string")
+        many = lambda v: F.array(*map(F.lit, v)) if v else F.expr(EMPTY)
+        nodes = _map({n: F.struct(text(t).alias("type"), text(c).alias("criterion"), text(a).alias("action")) for n, (t, c, a) in self.nodes.items()}, "struct<type: string, criterion: string, action: string>")
+        edges = _map({_pair(n, b): F.struct(text(t).alias("target"), many(a).alias("actions")) for (n, b), (t, a) in self.edges.items()}, "struct<target: string, actions: array<string>>")
+        return nodes, edges, _map({_pair(n, s): many(sorted(b)) for (n, s), b in self.states.items()}, "array<string>")
+
+
+def _pair(a: str, b: str) -> str:
+    return f"{a}\x1f{b}"
+
+
+def _map(items: dict[str, Column], kind: str) -> Column:
+    return F.create_map(*(x for k, v in items.items() for x in (F.lit(k), v))) if items else F.expr(f"cast(map() as map<string, {kind}>)")
 
 
 def expand(tree: Tree, cases: DataFrame, answers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -48,34 +59,39 @@ def expand(tree: Tree, cases: DataFrame, answers: DataFrame, overrides: DataFram
     cases(case, ...), answers(case, criterion, state); a criterion without an answer is NOT_DOCUMENTED. overrides(case,
     node, branch) forces a branch. Result: case, path, actions, n_branches by decision (resolved has 1) and failure, which
     is null for a path that ends well."""
-    spark = cases.sparkSession
-    nodes, edges, states = (F.broadcast(f) for f in tree.frames(spark))
-    given = answers.select("case", F.col("criterion"), F.col("state"))
-    forced = overrides if overrides is not None else spark.createDataFrame([], "case string, node string, branch string")
-    frontier = cases.select("case", F.lit(tree.root).alias("node"), F.expr(EMPTY).alias("path"), F.expr(EMPTY).alias("actions"), F.expr("cast(array() as array<struct<node: string, n: int>>)").alias("decisions"), F.lit(None).cast("string").alias("failure"))
-    done = []
-    for _ in range(2 * len(tree.nodes)):
-        at = frontier.join(nodes, "node", "left")
-        cycle = F.array_contains("path", F.col("node"))
-        at = at.withColumn("failure", F.coalesce("failure", F.when(cycle, "cycle_or_step_limit").when(F.col("type").isNull(), "dangling_edge").when(F.col("type") == "configuration_gap", "configuration_gap").when((F.col("type") == "terminal") & F.col("action").isNull(), "terminal_missing_action").when((F.col("type") == "path_end") & (F.size("actions") == 0), "path_end_without_encoded_action")))
-        at = at.withColumn("path", F.when(F.col("failure") == "cycle_or_step_limit", F.col("path")).otherwise(F.concat("path", F.array("node"))))
-        ended = at.where(F.col("failure").isNotNull() | F.col("type").isin("terminal", "path_end"))
-        done.append(ended.select("case", "path", F.when((F.col("type") == "terminal") & F.col("failure").isNull(), F.concat("actions", F.array("action"))).otherwise(F.col("actions")).alias("actions"), "decisions", "failure", F.col("node").alias("leaf")))
-        open_ = at.where(F.col("failure").isNull() & (F.col("type") == "criterion"))
-        open_ = open_.join(given, ["case", "criterion"], "left").withColumn("state", F.coalesce("state", F.lit("NOT_DOCUMENTED"))).join(states, ["node", "state"], "left").join(forced, ["case", "node"], "left")
-        branches = F.when(F.col("branch").isNotNull(), F.array("branch")).otherwise(F.coalesce("branches", F.expr(EMPTY)))
-        open_ = open_.select("case", "node", "path", "actions", "decisions", F.array_sort(branches).alias("branches"))
-        stuck = open_.where(F.size("branches") == 0)
-        done.append(stuck.select("case", "path", "actions", "decisions", F.lit("no_admissible_branch").alias("failure"), F.col("node").alias("leaf")))
-        steps = open_.withColumn("branch", F.explode("branches")).join(edges.withColumnRenamed("actions", "gained"), ["node", "branch"], "left")
-        decided = F.concat("decisions", F.array(F.struct(F.col("node"), F.size("branches").alias("n"))))
-        frontier = steps.select("case", F.col("target").alias("node"), "path", F.concat("actions", F.coalesce("gained", F.expr(EMPTY))).alias("actions"), decided.alias("decisions"), F.when(F.col("target").isNull(), F.concat(F.lit("branch_missing_target:"), "branch")).alias("failure"))
-        if not _deeper(tree, _ + 1):
+    nodes, edges, states = tree.lookups()
+    told = answers.groupBy("case").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "state"))).alias("told"))
+    rows = cases.select("case").join(told, "case", "left")
+    if overrides is not None:
+        rows = rows.join(overrides.groupBy("case").agg(F.map_from_entries(F.collect_list(F.struct("node", "branch"))).alias("forced")), "case", "left")
+    else:
+        rows = rows.withColumn("forced", F.expr("cast(null as map<string, string>)"))
+    # node is where a walk stands, null once it has ended; ended walks go along unchanged
+    rows = rows.select("case", "told", "forced", F.lit(tree.root).alias("node"), F.expr(EMPTY).alias("path"), F.expr(EMPTY).alias("actions"), F.expr("cast(array() as array<struct<node: string, n: int>>)").alias("decisions"), F.lit(None).cast("string").alias("failure"), F.lit(None).cast("string").alias("leaf"))
+    for depth in range(1, 2 * len(tree.nodes) + 2):
+        node, at, gained = F.col("node"), F.col("at"), F.col("edge")["actions"]
+        rows = rows.withColumn("at", F.try_element_at(nodes, node))
+        why = F.when(F.array_contains("path", node), "cycle_or_step_limit").when(at.isNull(), "dangling_edge").when(at["type"] == "configuration_gap", "configuration_gap").when((at["type"] == "terminal") & at["action"].isNull(), "terminal_missing_action").when((at["type"] == "path_end") & (F.size("actions") == 0), "path_end_without_encoded_action")
+        rows = rows.withColumn("why", F.when(node.isNotNull(), why))
+        state = F.coalesce(F.try_element_at("told", at["criterion"]), F.lit("NOT_DOCUMENTED"))
+        forced = F.try_element_at("forced", node)
+        branches = F.when(forced.isNotNull(), F.array(forced)).otherwise(F.coalesce(F.try_element_at(states, F.concat_ws("\x1f", node, state)), F.expr(EMPTY)))
+        asks = F.col("why").isNull() & (at["type"] == "criterion")
+        rows = rows.withColumn("branches", F.when(asks, branches))
+        rows = rows.withColumn("why", F.when(F.size("branches") == 0, "no_admissible_branch").otherwise(F.col("why")))
+        rows = rows.withColumn("branch", F.explode_outer(F.when(F.col("why").isNull(), F.col("branches"))))
+        rows = rows.withColumn("edge", F.try_element_at(edges, F.concat_ws("\x1f", node, F.col("branch"))))
+        ended = node.isNotNull() & F.col("branch").isNull()
+        lost = F.col("branch").isNotNull() & F.col("edge").isNull()
+        ends_well = F.when((at["type"] == "terminal") & F.col("why").isNull(), F.concat("actions", F.array(at["action"]))).otherwise(F.col("actions"))
+        rows = rows.select(
+            "case", "told", "forced", F.when(F.col("branch").isNotNull(), F.col("edge")["target"]).alias("node"), F.when(node.isNull() | (F.coalesce("why", F.lit("")) == "cycle_or_step_limit"), F.col("path")).otherwise(F.concat("path", F.array(node))).alias("path"),
+            F.when(ended, ends_well).otherwise(F.concat("actions", F.coalesce(gained, F.expr(EMPTY)))).alias("actions"), F.when(F.col("branch").isNotNull(), F.concat("decisions", F.array(F.struct(node.alias("node"), F.size("branches").alias("n"))))).otherwise(F.col("decisions")).alias("decisions"),
+            F.when(lost, F.concat(F.lit("branch_missing_target:"), "branch")).otherwise(F.coalesce("failure", "why")).alias("failure"), F.when(ended | lost, node).otherwise(F.col("leaf")).alias("leaf"),
+        )
+        if not _deeper(tree, depth):
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return rows.select("case", "path", "actions", "decisions", "failure", "leaf")
 
 
 def _deeper(tree: Tree, depth: int) -> bool:
@@ -108,7 +124,7 @@ def results(paths: DataFrame) -> DataFrame:
 def critical(tree: Tree, cases: DataFrame, answers: DataFrame) -> DataFrame:
     """(case, node): unresolved nodes for which forcing one branch or another leads to other sets of action sequences."""
     base = results(expand(tree, cases, answers)).select("case", F.explode("unresolved").alias("node"))
-    edges = tree.frames(cases.sparkSession)[1].select("node", "branch")
+    edges = cases.sparkSession.createDataFrame(list(tree.edges), "node string, branch string")
     forced = base.join(F.broadcast(edges), "node")
     trial = forced.withColumn("trial", F.concat_ws("|", "case", "node", "branch"))
     runs = trial.select(F.col("trial").alias("case"), F.col("case").alias("of"), "node", "branch")
@@ -127,8 +143,8 @@ def walk(spark: SparkSession, machine: Sequence[dict], root: str, answers: DataF
     first counted, so a round joins one row a case. Result: case, status, action, calls, visited, branches."""
     rows = [(m["state"], q, i, len(m["questions"]), m["minimum"]) for m in machine for i, q in enumerate(m["questions"])]
     asked = spark.createDataFrame(rows, "state string, question string, at int, questions int, minimum int")
-    targets = F.broadcast(spark.createDataFrame([(m["state"], *m["yes"], *m["no"]) for m in machine], "state string, yes_kind string, yes_to string, no_kind string, no_to string"))
-    per_state = answers.join(F.broadcast(asked), "question").groupBy("case", "state").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("said"), F.max("questions").alias("questions"), F.max("minimum").alias("minimum"))
+    targets = _map({m["state"]: F.struct(*(F.lit(v).alias(k) for k, v in zip(("yes_kind", "yes_to", "no_kind", "no_to"), (*m["yes"], *m["no"]), strict=True))) for m in machine}, "struct<yes_kind: string, yes_to: string, no_kind: string, no_to: string>")
+    per_state = answers.join(F.broadcast(asked), "question", "left").groupBy("case", "state").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("said"), F.max("questions").alias("questions"), F.max("minimum").alias("minimum"))
     zero = F.struct(F.lit(0).alias("calls"), F.lit(0).alias("yes"), F.lit(None).cast("string").alias("end"))
 
     def ask(acc, x):
@@ -136,22 +152,22 @@ def walk(spark: SparkSession, machine: Sequence[dict], root: str, answers: DataF
         end = F.when(~F.coalesce(x["answer"].isin("yes", "no"), F.lit(False)), "INVALID_OUTPUT").when(yes >= F.col("minimum"), "yes").when(x["at"] + 1 >= F.col("questions"), "no")
         return F.when(acc["end"].isNotNull(), acc).otherwise(F.struct((acc["calls"] + 1).alias("calls"), yes.alias("yes"), end.alias("end")))
 
-    outcome = per_state.select("case", "state", F.aggregate("said", zero, ask).alias("o")).select("case", "state", F.col("o.calls").alias("calls"), F.col("o.end").alias("branch"))
-    front = answers.select("case").distinct().select("case", F.lit(root).alias("state"), F.lit(0).alias("total"), F.expr(EMPTY).alias("visited"), F.expr(EMPTY).alias("branches"))
-    done = []
-    for _ in range(len(machine)):
-        at = front.join(outcome, ["case", "state"], "left").join(targets, "state", "left")
-        yes = F.col("branch") == "yes"
-        kind, to = F.when(yes, F.col("yes_kind")).otherwise(F.col("no_kind")), F.when(yes, F.col("yes_to")).otherwise(F.col("no_to"))
-        bad = F.coalesce(F.col("branch"), F.lit("INVALID_OUTPUT")) == "INVALID_OUTPUT"
-        visited = F.concat("visited", F.array("state"))
-        at = at.select("case", "state", (F.col("total") + F.coalesce("calls", F.lit(0))).alias("total"), visited.alias("visited"), F.when(bad, F.col("branches")).otherwise(F.concat("branches", F.array(F.concat_ws(":", "state", "branch")))).alias("branches"), bad.alias("bad"), kind.alias("kind"), to.alias("to"))
-        loops = ~F.col("bad") & (F.col("kind") == "state") & (F.array_contains("visited", F.col("to")) | ~F.col("to").isin([m["state"] for m in machine]))
-        status = F.when(F.col("bad"), "INVALID_OUTPUT").when(loops, "TREE_FAILURE").when(F.col("kind") == "terminal", "COMPLETED")
-        at = at.withColumn("status", status)
-        done.append(at.where("status is not null").select("case", "status", F.when(F.col("status") == "COMPLETED", F.col("to")).alias("action"), F.col("total").alias("calls"), "visited", "branches"))
-        front = at.where("status is null").select("case", F.col("to").alias("state"), "total", "visited", "branches")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    outcome = per_state.select("case", "state", F.aggregate("said", zero, ask).alias("o"))
+    known = outcome.groupBy("case").agg(F.map_from_entries(F.collect_list(F.when(F.col("state").isNotNull(), F.struct("state", "o")))).alias("known"))
+    states = [m["state"] for m in machine]
+    rows = known.select("case", "known", F.lit(root).alias("state"), F.lit(0).alias("calls"), F.expr(EMPTY).alias("visited"), F.expr(EMPTY).alias("branches"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("action"))
+    for _ in machine:  # a walk that has ended keeps its status and goes along
+        rows = rows.withColumns({"o": F.try_element_at("known", F.col("state")), "to": F.try_element_at(targets, F.col("state"))})
+        branch = F.coalesce(F.col("o")["end"], F.lit("INVALID_OUTPUT"))
+        yes = branch == "yes"
+        rows = rows.withColumns({"branch": branch, "kind": F.when(yes, F.col("to")["yes_kind"]).otherwise(F.col("to")["no_kind"]), "next": F.when(yes, F.col("to")["yes_to"]).otherwise(F.col("to")["no_to"]), "seen": F.concat("visited", F.array("state"))})
+        bad = F.col("branch") == "INVALID_OUTPUT"
+        loops = (F.col("kind") == "state") & (F.array_contains("seen", F.col("next")) | ~F.col("next").isin(states))
+        status = F.when(bad, "INVALID_OUTPUT").when(loops, "TREE_FAILURE").when(F.col("kind") == "terminal", "COMPLETED")
+        live = F.col("status").isNull()
+        rows = rows.withColumn("now", F.when(live, status))
+        rows = rows.select(
+            "case", "known", F.when(live, F.col("next")).otherwise(F.col("state")).alias("state"), F.when(live, F.col("calls") + F.coalesce(F.col("o")["calls"], F.lit(0))).otherwise(F.col("calls")).alias("calls"), F.when(live, F.col("seen")).otherwise(F.col("visited")).alias("visited"),
+            F.when(live & ~bad, F.concat("branches", F.array(F.concat_ws(":", "state", "branch")))).otherwise(F.col("branches")).alias("branches"), F.coalesce("status", "now").alias("status"), F.when(live & (F.col("now") == "COMPLETED"), F.col("next")).otherwise(F.col("action")).alias("action"),
+        )
+    return rows.select("case", "status", "action", "calls", "visited", "branches")
