@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="weighbridge-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
