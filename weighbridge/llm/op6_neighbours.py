@@ -4,7 +4,8 @@
    smaller id. Row numbers are cut before the shuffle, so a vector that a third of all rows hold is K + 1 rows a task.
 2. TREES trees are fitted on at most about SAMPLE items, by a hash of the vector. A node splits its sample at the median
    of the projection on the line through two of its points; a leaf holds about LEAF items of the whole table.
-3. Every item goes to its leaf in each tree. Leaves are counted, and leaves of over CHUNK items are dealt to several groups.
+3. Every item goes to its leaf in each tree. Leaves are counted; leaves of over CHUNK items are cut, and leaves and cuts are
+   dealt to groups of about GATHERED items.
 4. For each distinct query vector all trees are searched at once: the branch with the smallest margin is opened next,
    until SEARCH items, or SHARE of all, are reached. The query then meets the items of these leaves, in double precision.
 5. The K nearest of all leaves are kept by (distance, id).
@@ -34,6 +35,8 @@ SAMPLE = 20_000
 SEARCH = 6_000
 SHARE = 0.85
 CHUNK = 4_096
+#: Items of all trees that meet their queries in one group: a query returns its nearest of a group, not of each leaf.
+GATHERED = 32_768
 QUERY_EVERY = 100
 SEED = 20
 
@@ -164,36 +167,62 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     sizes = spark.sparkContext.broadcast(found)
     chunks = spark.sparkContext.broadcast(np.maximum(1, -(-found // CHUNK)))
 
+    buckets = max(1, -(-total * trees // GATHERED))
+
+    def bucket_of(keys: np.ndarray) -> np.ndarray:
+        return (common.mixed(keys) % np.uint64(buckets)).astype(np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = chunks.value[b.column("leaf").to_numpy()]
-            at = common.mixed(b.column("item").to_numpy()) % parts.astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("leaf"), pa.array(at.astype(np.int64)), b.column("v"), b.column("ids")], ["leaf", "part", "v", "ids"])
+            leaves = b.column("leaf").to_numpy()
+            part = common.mixed(b.column("item").to_numpy()) % chunks.value[leaves].astype(np.uint64)
+            keys = leaves << 24 | part.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(keys)), pa.array(keys), b.column("v"), b.column("ids")], ["bucket", "key", "v", "ids"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 c = b.slice(a, 256)
-                leaves = forest.value.search(matrix(c.column("v"), wide), sizes.value, max(enough, int(share * total)))
-                rows = [(leaf_, part, n) for n, own in enumerate(leaves) for leaf_ in own for part in range(int(chunks.value[leaf_]))]
+                rows: list[tuple[int, int, list[int]]] = []
+                for n, own in enumerate(forest.value.search(matrix(c.column("v"), wide), sizes.value, max(enough, int(share * total)))):
+                    keys = np.array([leaf_ << 24 | part for leaf_ in own for part in range(int(chunks.value[leaf_]))], np.int64)
+                    at = bucket_of(keys)
+                    rows += [(int(k), n, keys[at == k].tolist()) for k in np.unique(at)]
                 if rows:
-                    where, part, n = (pa.array(z, pa.int64()) for z in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([where, part, c.column("q").take(n), c.column("v").take(n)], ["leaf", "part", "q", "v"])
+                    where, n, keys = (list(z) for z in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), c.column("q").take(pa.array(n)), c.column("v").take(pa.array(n)), pa.array(keys, pa.list_(pa.int64()))], ["bucket", "q", "v", "keys"])
 
     def meet(asked: pa.Table, there: pa.Table) -> pa.Table:
         schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
         if not (asked.num_rows and there.num_rows):
             return schema.empty_table()
-        q = asked.column("q").combine_chunks()
-        got = nearest(matrix(asked.column("v").combine_chunks(), wide), matrix(there.column("v").combine_chunks(), wide), there.column("ids").to_pylist(), k + 1)
-        n = pa.array([n for n, own in enumerate(got) for _ in own], pa.int64())
-        return pa.table([q.take(n), pa.array([i for own in got for _, i in own], pa.int64()), pa.array([d for own in got for d, _ in own], pa.float64())], schema=schema)
+        keys = there.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        items, ids = matrix(there.column("v").combine_chunks(), wide)[order], there.column("ids").to_pylist()
+        ids = [ids[i] for i in order]
+        found, starts = np.unique(keys[order], return_index=True)
+        ends = dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True), strict=True))
+        queries_ = matrix(asked.column("v").combine_chunks(), wide)
+        by_key: dict[int, list[int]] = {}
+        for n, own in enumerate(asked.column("keys").to_pylist()):
+            for key_ in own:
+                by_key.setdefault(key_, []).append(n)
+        best_: list[dict[int, float]] = [{} for _ in range(asked.num_rows)]
+        for key_, those in by_key.items():
+            if key_ in ends:
+                a, z = ends[key_]
+                for n, got in zip(those, nearest(queries_[those], items[a:z], ids[a:z], k + 1), strict=True):
+                    for d, i in got:
+                        best_[n][i] = min(d, best_[n].get(i, d))
+        top = [sorted((d, i) for i, d in own.items())[: k + 1] for own in best_]
+        n = pa.array([n for n, own in enumerate(top) for _ in own], pa.int64())
+        return pa.table([asked.column("q").combine_chunks().take(n), pa.array([i for own in top for _, i in own], pa.int64()), pa.array([d for own in top for d, _ in own], pa.float64())], schema=schema)
 
     asked = x.where("asks").select(F.col("id").alias("query_id"), "v")
     distinct = common.written(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
-    asking = distinct.mapInArrow(ask, "leaf long, part long, q long, v " + kept)
-    dealt = placed.mapInArrow(deal, "leaf long, part long, v " + kept + ", ids array<long>")
-    met = asking.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(meet, "q long, id long, score double")
+    asking = distinct.mapInArrow(ask, "bucket long, q long, v " + kept + ", keys array<long>")
+    dealt = placed.mapInArrow(deal, "bucket long, key long, v " + kept + ", ids array<long>")
+    met = asking.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(meet, "q long, id long, score double")
     best = met.groupBy("q", "id").agg(F.min("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("n") <= k + 1).drop("n")
     out = asked.join(distinct, "v").select("query_id", "q").join(best, "q").where("id <> query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
