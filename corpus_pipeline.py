@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept, and reads it from where that wrote it.
 
-quality       rejects texts that fail the rules, and texts made up of lines that too many documents of a host share
+quality       rejects texts that fail the rules, and texts made up of lines that too many documents of a host share;
+              removes these lines from the other texts, but for the first document that has them
 near_dedup    keeps the document with the smallest id of each group at a similarity of 0.8 of five-word shingles
 personal_data replaces personal data by its kind
 mix           takes each document as often as the target weights of its source ask
@@ -18,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op7_quality.reject(docs)
+    return op7_quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

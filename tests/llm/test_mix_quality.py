@@ -66,3 +66,23 @@ def test_quality_rules(spark):
     assert got[304].kept and not got[305].kept and got[305].n_dup_lines == 1
     assert all(got[400 + i].kept for i in range(100))  # copies of one text are one document
     assert op7_quality.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_quality_removes_lines(spark):
+    line = "this Common line 12 is on very many pages of the host"
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))  # as digits count as one
+    own = lambda i: " ".join(f"é{letters(i)}x{k}" for k in range(12))
+    docs = [(i, f"{line}\n\n{own(i)}\n  {['Page', 'PAGE'][i % 2]} {1 + i % 9}0\tfoot \n{own(1000 + i)}\n", "h", 7) for i in range(60)]
+    docs += [(200, line + "\n" + own(200), "other", 7), (300, line + "\nx", "h", 7), (400, own(400), "h", 7), docs[5]]
+    docs += [(500 + i, line.replace("Common", "copied") + "\n" + own(9999), "copies", 7) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3)
+    out = op7_quality.clean(df)
+    rows = out.collect()
+    got = {r.doc_id: r for r in rows}
+    assert out.columns == df.columns and 300 not in got and len(rows) == len(docs) - 1
+    for i in range(1, 60):
+        assert got[i].text == f"\n{own(i)}\n{own(1000 + i)}\n" and got[i].n_chars == len(got[i].text)
+    same = {d[0]: d for d in docs}
+    for i in (0, 200, 400, *range(500, 550)):  # the first keeps the line, a line is common on one host only, copies are one document
+        assert tuple(got[i]) == same[i]
+    assert op7_quality.clean(df.limit(0)).count() == 0

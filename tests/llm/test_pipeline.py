@@ -33,3 +33,11 @@ def test_pipeline(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_stage_removes_lines(spark):
+    line = "a line that very many documents of the host have"
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"{line}\n{prose(i)}", "en", "src0", 0) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert got[0].text == f"{line}\n{prose(0)}" and all(got[i].text == prose(i) and got[i].n_chars == len(prose(i)) for i in range(1, 50))

@@ -4,7 +4,8 @@ Lines are normalised (ASCII letters to lower case, digits to 0, white space to o
 distinct documents of a line are counted, copies of one text as one document; counts are partial before the shuffle, so
 a line that a third of all documents share is a row a task and no group is gathered. A line over MAX_DOCS is removed
 from all documents of the host but the one with the smallest id. A document whose remaining words are under MIN_WORDS
-or under KEEP_SHARE of its words is rejected, as is one that fails the per-text rules.
+or under KEEP_SHARE of its words is rejected, as is one that fails the per-text rules. judge() gives the verdicts and
+what is to be removed, clean() the kept documents without these lines.
 
 Texts that are null or empty have no words, so they fail the base rules. A null host is a host of its own; a null id is
 the largest. Rows that repeat get the same verdict. Other columns do not matter. The result has no row for no input.
@@ -25,11 +26,12 @@ from weighbridge.llm import common
 MAX_DOCS = 40
 MIN_WORDS = 10
 KEEP_SHARE = 0.25
-#: With this seed the mark of a text is what the built-in xxhash64 gives.
+#: With this seed the mark of a text and the hash of a line are what the built-in xxhash64 gives.
 MARK_SEED = 42
 REPEATED_PER_CENT = 20
 BLANKS = " \t\n\v\f\r"
-NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+NORMAL = bytes.maketrans(UPPER.encode(), LOWER.encode())
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -63,7 +65,7 @@ def counts(text: str) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
         if own:
             dup += line in seen
             seen.add(line)
-            h = signed(xxhash.xxh64_intdigest(b" ".join(own).translate(NORMAL)))
+            h = signed(xxhash.xxh64_intdigest(b" ".join(own).translate(NORMAL), MARK_SEED))
             lines[h] = lines.get(h, 0) + len(own)
     chars = len(text) - sum(text.count(c) for c in BLANKS)
     symbols = sum(text.count(c) for c in "#*$%&|<>")
@@ -87,7 +89,8 @@ def _measure(key: str, text: str, host: str, kind: pa.DataType):
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Per row of docs: its key, host, mark (xxhash64 of its text), the counts, n_removed_words, base_failed and kept."""
+    """Per row of docs: its key, host, mark (xxhash64 of its text), the counts, n_removed_words, base_failed, kept and
+    removed, the hashes of the lines that are to be removed (null for none)."""
     common.lean(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(host).cast("string").alias(host), F.col(text))
     kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int"), "string": (pa.string(), "string")}[dict(rows.dtypes)[key]]
@@ -99,14 +102,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     hot = texts.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") > max_docs)
     hot = hot.select(F.col("host").alias("h"), F.col("line").alias("l"), "first")
     met = lines.join(hot, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where(~F.col("id").eqNullSafe(F.col("first")))
-    gone = met.groupBy("host", "of", "id").agg(F.max(F.lit(True)).alias("any"), F.sum("words").alias("lost"), F.count("*").alias("n"), F.count_distinct("line").alias("d"))
-    gone = gone.select(F.col("host").alias("h"), F.col("of").alias("o"), F.col("id").alias("i"), (F.col("lost") * F.col("d") / F.col("n")).cast("long").alias("lost"))  # rows that repeat count once
+    gone = met.groupBy("host", "of", "id").agg(F.collect_set(F.struct("line", "words")).alias("cut"))  # rows that repeat count once
+    lost = F.aggregate("cut", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+    gone = gone.select(F.col("host").alias("h"), F.col("of").alias("o"), F.col("id").alias("i"), lost.alias("lost"), F.col("cut")["line"].alias("removed"))
     out = measured.join(gone, F.col("host").eqNullSafe(F.col("h")) & (F.col("of") == F.col("o")) & F.col(key).eqNullSafe(F.col("i")), "left")
     lost = F.coalesce(F.col("lost"), F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PER_CENT * F.col("n_words"))
     left = F.col("n_words") - lost
     fine = (left >= MIN_WORDS) & (left >= F.lit(keep_share) * F.col("n_words"))
-    return out.select(key, "host", F.col("of").alias("mark"), *COUNTS, lost.alias("n_removed_words"), failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return out.select(key, "host", F.col("of").alias("mark"), *COUNTS, lost.alias("n_removed_words"), failed.alias("base_failed"), (~failed & fine).alias("kept"), "removed")
 
 
 def reject(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **how) -> DataFrame:
@@ -117,6 +121,25 @@ def reject(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     return docs.join(out, same, "left_anti")
 
 
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", count: str = "n_chars", **how) -> DataFrame:
+    """The rows of docs that are kept, each text without the lines that its host has in too many documents; the columns are
+    those of docs. count, where docs has it, is the length of the new text where lines were removed."""
+    out = judge(docs, key, text, host, **how).where(~F.col("kept") | F.col("removed").isNotNull())
+    out = out.select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m"), F.col("kept").alias("_k"), F.when(F.col("kept"), F.col("removed")).alias("_r"))
+    out = common.written(out.dropDuplicates(["_i", "_h", "_m"]), "cleaned")
+    longest = out.agg(F.coalesce(F.max(F.size("_r")), F.lit(0))).first()[0]
+    same = docs[key].eqNullSafe(F.col("_i")) & docs[host].cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m"))
+    joined = docs.join(common.small(out, 8 * max(0, longest) + 128), same, "left").where(F.coalesce(F.col("_k"), F.lit(True)))
+    normal = lambda line: F.translate(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), UPPER, LOWER)
+    left = F.filter(F.split(docs[text], "\n", -1), lambda line: ~F.array_contains(F.col("_r"), F.xxhash64(normal(line))))
+    new = F.when(F.col("_r").isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
+    names = docs.columns
+    out = joined.select(*(docs[c] for c in names if c != text), new.alias(text), F.col("_r").isNotNull().alias("_c"))
+    if count in names:
+        out = out.withColumn(count, F.when(F.col("_c"), F.length(text).cast(docs.schema[count].dataType)).otherwise(F.col(count)))
+    return out.select(*names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "base_failed", "kept")
 
