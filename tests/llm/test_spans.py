@@ -83,6 +83,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == ["context"] and got[101] == [] and got[5] == ["email"]
 
 
+def contexts(spark, texts):
+    rows = op9_personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context"] for r in rows}
+
+
+def test_base_spans_of_all_kinds_are_seeds(spark):
+    phones = [f"please call, the phone number is {p} today" for p in [*(f"+1743555{i}38" for i in range(10, 20)), *(f"+1 (743) 555-{i}24" for i in range(10, 20))]]
+    cards = [f"charged to the card on file {c} today" for c in ("4111 1111 1111 1111", "5500 0055 5555 5559", "3400 0000 0000 009", "6011-0009-9013-9424", "3530 1113 3330 0000", "4012 8888 8888 1881", "3056 9309 0259 04")]
+    got = contexts(spark, [*phones, *cards, "the phone number is 555-3824 today", "charged to the card on file 77123456, today", "the house number was 555-9999 today"])
+    n = len(phones) + len(cards)
+    assert got[n] == ["555-3824"] and got[n + 1] == ["77123456,"] and got[n + 2] == [] and not any(got[i] for i in range(n))
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (743) 555-3824.", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in op9_personal.redact(docs).collect()}

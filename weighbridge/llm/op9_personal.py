@@ -1,19 +1,20 @@
 """Personal data: base patterns, and identifiers found through the contexts that known ones share.
 
-Base spans (email, ip, card, phone) are reported wherever they are. Then extraction is bootstrapped: tokens that carry
-digits or an at sign are instances, the two words before an occurrence are its pattern, and instances that the base
-patterns know are seeds with score 1. Pattern and instance scores are computed in turn over the graph of distinct
-(pattern, instance) pairs, ROUNDS times: a pattern scores the mean of its instances', shrunk by its support; an instance
-scores 1 - product of (1 - score) over its patterns with enough confidence. Unseen instances over FOUND next to a pattern over CONFIDENT are
-reported as spans of the kind `context`. Pairs are counted before anything is gathered, so a very common pattern or
-instance is a row a task and is spread over its partners.
+Base spans (email, ip, card, phone) are reported wherever they are. Then extraction is bootstrapped: base spans are
+instances and seeds with score 1, however many tokens they have; tokens that carry digits or an at sign and that no base
+span touches are instances too. The two words before an occurrence, back to the match before, are its pattern.
+Pattern and instance scores are computed in turn over the graph of distinct (pattern, instance) pairs, ROUNDS times: a
+pattern scores the mean of its instances', shrunk by its support; an instance scores 1 - product of (1 - score) over its
+patterns with enough confidence. Unseen instances over FOUND next to a pattern over CONFIDENT are reported as spans of
+the kind `context`. Pairs are counted before anything is gathered, so a very common pattern or instance is a row a task
+and is spread over its partners.
 
 Null texts count as empty. Rows that repeat get the same result, and count once as evidence. Only built-in functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.llm import common, spans
@@ -26,6 +27,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 KINDS = ("email", "ip", "card", "phone", "context")
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
+#: So many code points before an occurrence are read for its patterns.
+BEFORE = 64
 ROUNDS = 3
 CONFIDENT = 0.6
 FOUND = 0.7
@@ -54,32 +57,50 @@ def card_like(value: Column) -> Column:
     return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False))
 
 
+def patterns(context: Column) -> Column:
+    """The two words at the end of a context, if there are two."""
+    opened = F.regexp_replace(context, r"(?<![^\s])[^\s\p{L}\p{N}]++\z", "")  # brackets and quotes that touch the occurrence
+    words = F.filter(F.split(F.lower(opened), r"\s+"), lambda w: w != "")
+    return F.array_compact(F.array(F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))))
+
+
 def evidence(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: its key, a mark of its text, base spans, and tokens with the words before them; the text is left behind."""
+    """Per row: its key, a mark of its text, base spans, and all instances with their patterns; the text is left behind."""
     text_of = F.coalesce(F.col(text), F.lit(""))
     raw = docs.select(F.col(key).alias("id"), F.xxhash64(text_of).alias("mark"), text_of.alias("t"))
     t = F.col("t")
     has_digit = t.rlike("[0-9]")
-    patterns = {"email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, has_digit), "phone": (PHONE, F.contains(t, F.lit("+"))), "token": (TOKEN, has_digit | F.contains(t, F.lit("@")))}
-    cut = {k: spans.found(t, p, guard) for k, (p, guard) in patterns.items()}
+    kinds = {"email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, has_digit), "phone": (PHONE, F.contains(t, F.lit("+"))), "token": (TOKEN, has_digit | F.contains(t, F.lit("@")))}
+    cut = {k: spans.found(t, p, guard) for k, (p, guard) in kinds.items()}
     raw = raw.select("id", "mark", *(x.alias(f"{k}_{n}") for k, pair in cut.items() for n, x in zip("gm", pair, strict=True)))
-    words = lambda g: F.slice(F.filter(F.split(F.lower(F.right(g, F.lit(64))), r"\s+"), lambda w: w != ""), -2, 2)
-    before = F.transform("token_g", lambda g: F.when(F.size(F.filter(F.split(F.right(g, F.lit(64)), r"\s+"), lambda w: w != "")) >= 2, F.array_join(words(g), " ")))
-    placed = raw.select("id", "mark", *(spans.places(F.col(f"{k}_g"), F.col(f"{k}_m")).alias(k) for k in patterns), before.alias("before"))
-    tests = {"email": None, "ip": lambda s: s["value"].rlike(SMALL), "card": lambda s: card_like(s["value"]), "phone": lambda s: F.length(digits(s["value"])).between(9, 15)}
-    kept = {k: F.col(k) if f is None else F.filter(F.col(k), f) for k, f in tests.items()}
-    base = F.array_sort(F.concat(*(spans.tagged(kept[k], k, n) for n, k in enumerate(KINDS[:4]))))
-    seed = lambda v: v.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.") | v.rlike(SMALL) | card_like(v)
+    context = lambda k: F.zip_with(spans.places(F.col(f"{k}_g"), F.col(f"{k}_m")), F.transform(F.slice(F.col(f"{k}_g"), F.lit(1), F.size(f"{k}_m")), lambda g: F.right(g, F.lit(BEFORE))), lambda s, b: s.withField("before", b))
+    placed = raw.select("id", "mark", *(context(k).alias(k) for k in kinds))
     trimmed = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-    tokens = F.zip_with("token", F.slice("before", F.lit(1), F.size("token")), lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), trimmed(s["value"]).alias("instance"), b.alias("pattern")))
-    tokens = F.filter(tokens, lambda x: x["pattern"].isNotNull() & ((F.length(digits(x["instance"])) >= 4) | F.contains(x["instance"], F.lit("@"))))
-    tokens = F.transform(tokens, lambda x: x.withField("seed", seed(x["instance"])))
-    return placed.select("id", "mark", base.alias("base"), tokens.alias("tokens"))
+    candidate = lambda s: (F.length(digits(s["value"])) >= 4) | F.contains(trimmed(s["value"]), F.lit("@"))
+    tests = {"email": None, "ip": lambda s: s["value"].rlike(SMALL), "card": lambda s: card_like(s["value"]), "phone": lambda s: F.length(digits(s["value"])).between(9, 15), "token": candidate}
+    kept = placed.select("id", "mark", *((F.col(k) if f is None else F.filter(F.col(k), f)).alias(k) for k, f in tests.items()))
+    base = F.array_sort(F.concat(*(spans.tagged(F.col(k), k, n) for n, k in enumerate(KINDS[:4]))))
+
+    def instances(k: str) -> Column:
+        value = trimmed if k == "token" else lambda v: v
+        return F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s["value"]).alias("instance"), patterns(s["before"]).alias("patterns"), F.lit(k != "token").alias("seed")))
+
+    return kept.select("id", "mark", base.alias("base"), F.concat(*(instances(k) for k in kinds)).alias("tokens"))
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """Seeds, and tokens that no seed touches, of each (id, mark): start, end, instance, patterns, seed."""
+    laid = found.where(F.size("tokens") > 0).dropDuplicates(["id", "mark"]).select("id", "mark", F.inline("tokens"))
+    own = Window.partitionBy("id", "mark")
+    behind = F.max(F.when(F.col("seed"), F.col("end"))).over(own.orderBy("start"))
+    ahead = F.min(F.when(F.col("seed"), F.col("start"))).over(own.orderBy(F.desc("start")))
+    touched = F.coalesce(behind > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    return laid.withColumn("touched", touched).where(F.col("seed") | ~F.col("touched")).drop("touched")
 
 
 def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The tokens of each (id, mark) that high-confidence patterns and instances name."""
-    laid = found.where(F.size("tokens") > 0).dropDuplicates(["id", "mark"]).select("id", "mark", F.inline("tokens"))
+    laid = common.written(occurrences(found).withColumn("pattern", F.explode("patterns")).drop("patterns"), "occurrences")
     graph = common.written(laid.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "graph")
     scores = graph.groupBy("instance").agg(F.max("seed").alias("score"))
     patterns = None
