@@ -96,6 +96,16 @@ def test_base_spans_of_all_kinds_are_seeds(spark):
     assert got[n] == ["555-3824"] and got[n + 1] == ["77123456,"] and got[n + 2] == [] and not any(got[i] for i in range(n))
 
 
+def test_contexts_reach_over_earlier_tokens_and_lines(spark):
+    glued = [f"mail a{i}@b.org id +1743555{i}38" for i in range(10, 30)]
+    lines = [f"signed by us\nHome: h{i}@b.org\nWork: w{i}@c.org {i}" for i in range(10, 30)]
+    listed = [f"staff a{i}@b.org b{i}@b.org c{i}@b.org d{i}@b.org" for i in range(10, 30)]
+    got = contexts(spark, [*glued, *lines, *listed, "mail a@b.org id 8841723", "dob: 1990-01-02 id 123-45-6789 ref: 77123456", "or else\n  work: 77123456\nnothing", "home: 5553824", "not at home: 5553824", "x1 id: 5553824"])
+    n = 60
+    assert got[n] == ["8841723"] and got[n + 1] == ["123-45-6789"] and got[n + 2] == ["77123456"] and got[n + 3] == ["5553824"]
+    assert got[n + 4] == got[n + 5] == [] and not any(got[i] for i in range(n))
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (743) 555-3824.", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in op9_personal.redact(docs).collect()}

@@ -2,7 +2,8 @@
 
 Base spans (email, ip, card, phone) are reported wherever they are. Then extraction is bootstrapped: base spans are
 instances and seeds with score 1, however many tokens they have; tokens that carry digits or an at sign and that no base
-span touches are instances too. The two words before an occurrence, back to the match before, are its pattern.
+span touches are instances too. The two words before an occurrence are its pattern, where earlier matches and tokens
+are holes; if one word stands between it and the start of its line or text, that is a pattern of its own as well.
 Pattern and instance scores are computed in turn over the graph of distinct (pattern, instance) pairs, ROUNDS times: a
 pattern scores the mean of its instances', shrunk by its support; an instance scores 1 - product of (1 - score) over its
 patterns with enough confidence. Unseen instances over FOUND next to a pattern over CONFIDENT are reported as spans of
@@ -28,7 +29,9 @@ SMALL = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0
 KINDS = ("email", "ip", "card", "phone", "context")
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 #: So many code points before an occurrence are read for its patterns.
-BEFORE = 64
+BEFORE = 96
+#: What earlier matches and tokens are in a pattern.
+HOLE = "\x01"
 ROUNDS = 3
 CONFIDENT = 0.6
 FOUND = 0.7
@@ -57,11 +60,21 @@ def card_like(value: Column) -> Column:
     return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False))
 
 
+def before(gaps: Column, matches: Column) -> Column:
+    """For each match the text before it; the two matches before are holes, and a text starts with a line break."""
+    tail = lambda i: F.right(F.get(gaps, i), F.lit(BEFORE))
+    upto = lambda i: F.when(i > 0, F.concat(F.when(i > 1, F.lit(HOLE)).otherwise(F.lit("\n")), tail(i - 1), F.lit(HOLE))).otherwise(F.lit("\n"))
+    return F.transform(matches, lambda _, i: F.right(F.concat(upto(i), tail(i)), F.lit(BEFORE)))
+
+
 def patterns(context: Column) -> Column:
-    """The two words at the end of a context, if there are two."""
-    opened = F.regexp_replace(context, r"(?<![^\s])[^\s\p{L}\p{N}]++\z", "")  # brackets and quotes that touch the occurrence
-    words = F.filter(F.split(F.lower(opened), r"\s+"), lambda w: w != "")
-    return F.array_compact(F.array(F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))))
+    """The two words at the end of a context, and the word that is alone after a line break, which its pattern keeps."""
+    opened = F.regexp_replace(context, r"(?<![^\s])[^\s\p{L}\p{N}\x01]++\z", "")  # brackets and quotes that touch the occurrence
+    text = F.lower(F.regexp_replace(opened, r"[^\s,;&|0-9@\x01]*+[0-9@\x01][^\s,;&|]*+", HOLE))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    two = F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+    alone = F.regexp_extract(text, r"\n[^\S\n]*+(\S++)[^\S\n]*+\z", 1)
+    return F.array_compact(F.array(two, F.when(alone != "", F.concat(F.lit("\n"), alone))))
 
 
 def evidence(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,7 +86,7 @@ def evidence(docs: DataFrame, key: str, text: str) -> DataFrame:
     kinds = {"email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, has_digit), "phone": (PHONE, F.contains(t, F.lit("+"))), "token": (TOKEN, has_digit | F.contains(t, F.lit("@")))}
     cut = {k: spans.found(t, p, guard) for k, (p, guard) in kinds.items()}
     raw = raw.select("id", "mark", *(x.alias(f"{k}_{n}") for k, pair in cut.items() for n, x in zip("gm", pair, strict=True)))
-    context = lambda k: F.zip_with(spans.places(F.col(f"{k}_g"), F.col(f"{k}_m")), F.transform(F.slice(F.col(f"{k}_g"), F.lit(1), F.size(f"{k}_m")), lambda g: F.right(g, F.lit(BEFORE))), lambda s, b: s.withField("before", b))
+    context = lambda k: F.zip_with(spans.places(F.col(f"{k}_g"), F.col(f"{k}_m")), before(F.col(f"{k}_g"), F.col(f"{k}_m")), lambda s, b: s.withField("before", b))
     placed = raw.select("id", "mark", *(context(k).alias(k) for k in kinds))
     trimmed = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
     candidate = lambda s: (F.length(digits(s["value"])) >= 4) | F.contains(trimmed(s["value"]), F.lit("@"))
