@@ -37,6 +37,26 @@ def test_recall_ties_and_bad_vectors(spark, tmp_path):
         assert all(abs(near[i] - d) < 1e-9 for d, i in got[q] if i in near)
 
 
+def test_rows_that_repeat(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1, 21)] * 2 + [(100, [1.0, 2.0, 3.0, 4.5])]
+    rows += [(i, [50 + r.random() for _ in range(4)]) for i in range(1001, 1100)] + [(200, [9.0, 9.0, 9.0, 9.0])]
+    rows += [(300, [9.0, 9.0, 9.0, 9.0])] * 30 + [(i, [9.0, 9.0, 9.0, 9.0]) for i in range(301, 313)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for x in ann.query(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got[100] == list(range(1, 11)) and got[200] == list(range(300, 310)) and got[300] == [200, *range(301, 310)]
+
+
+def test_ids_of_several_vectors():
+    items = np.array([[float(i), 0.0] for i in range(1, 41)])
+    ids = [[7]] * 30 + [[i] for i in range(100, 110)]
+    assert ann.nearest(np.zeros((1, 2)), items, ids, 4) == [[(1.0, 7), (31.0, 100), (32.0, 101), (33.0, 102)]]
+    assert ann.nearest(np.zeros((1, 2)), items, ids, 99)[0] == [(1.0, 7), *((31.0 + i, 100 + i) for i in range(10))]
+    assert ann.nearest(np.zeros((1, 2)), items[:3], ids[:3], 4) == [[(1.0, 7)]]
+
+
 def test_few_rows(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = [(x.query_id, x.rank, x.vec_id) for x in ann.query(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees with one priority queue, then exact reranking.
 
-1. Equal vectors become one item with the smallest K + 1 of their ids; more can't be among the K nearest with ties to the
-   smaller id. Row numbers are cut before the shuffle, so a vector that a third of all rows hold is K + 1 rows a task.
+1. Rows that repeat count once. Equal vectors become one item with the smallest K + 1 of their ids; more can't be among the
+   K nearest with ties to the smaller id. Row numbers are cut before the shuffle, so a vector that a third of all rows hold
+   is K + 1 rows a task.
 2. TREES trees are fitted on at most about SAMPLE items, by a hash of the vector. A node splits its sample at the median
    of the projection on the line through two of its points; a leaf holds about LEAF items of the whole table.
 3. Every item goes to its leaf in each tree. Leaves are counted; leaves of over CHUNK items are cut, and leaves and cuts are
@@ -116,18 +117,27 @@ class Forest:
 
 
 def nearest(queries: np.ndarray, items: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
-    """For each query its k nearest ids by (distance, id), distances exactly in double precision."""
+    """For each query its k nearest distinct ids by (distance, id), distances exactly in double precision."""
     rough = (items * items).sum(axis=1)[None, :] - 2.0 * (queries @ items.T)
     out = []
     for q, row in zip(queries, rough, strict=True):
-        if len(row) > k:
-            limit = np.partition(row, k - 1)[k - 1]
-            chosen = np.flatnonzero(row <= limit + 1e-9 * (1.0 + abs(limit) + float(q @ q)))
-        else:
-            chosen = np.arange(len(row))
-        gap = items[chosen] - q
-        far = np.sqrt((gap * gap).sum(axis=1))
-        out.append(sorted((d, i) for d, c in zip(far.tolist(), chosen, strict=True) for i in ids[c])[:k])
+        best: dict[int, float] = {}
+        wanted = k
+        while True:
+            if len(row) > wanted:
+                limit = np.partition(row, wanted - 1)[wanted - 1]
+                chosen = np.flatnonzero(row <= limit + 1e-9 * (1.0 + abs(limit) + float(q @ q)))
+            else:
+                chosen = np.arange(len(row))
+            gap = items[chosen] - q
+            far = np.sqrt((gap * gap).sum(axis=1))
+            for d, c in zip(far.tolist(), chosen, strict=True):
+                for i in ids[c]:
+                    best[i] = min(d, best.get(i, d))
+            if len(best) >= k or len(row) <= wanted:
+                break
+            wanted *= 4  # those so far are of too few ids
+        out.append(sorted((d, i) for i, d in best.items())[:k])
     return out
 
 
@@ -145,7 +155,7 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", embedding: str = "e
     x = x.where("id is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(double(c)) < double('Infinity')) and exists(v, c -> c <> 0)")
     wide = (x.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "wide").limit(1).collect() or [[0]])[0][0]
     x = x.where(F.size("v") == wide)
-    numbered = x.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    numbered = x.select("id", "v").distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     items = common.written(numbered.groupBy("v").agg(F.collect_list("id").alias("ids")).withColumn("item", F.monotonically_increasing_id()), "items")
     total = items.count()
     draw = F.shiftrightunsigned(F.xxhash64("v"), 11) / F.lit(float(2**53))
