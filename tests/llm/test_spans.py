@@ -83,6 +83,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == ["context"] and got[101] == [] and got[5] == ["email"]
 
 
+def test_long_parts_link_from_their_ends(spark):
+    long = "A1b2" * 225
+    docs = [(0, f"auth_token={long} user=bob99"), (1, f"user=bob99 https://h.example/{long} pwd=longlong1"), (2, f"auth_token={long}{' ' * 300}user=bob99"), (3, f"auth_token={long}{' ' * 301}user=bob99"), (4, f"user=bob99{' ' * 300}auth_token={long}")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in op5_secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == ["assign", "weak_id"] and got[1] == ["endpoint", "weak_secret"]
+    assert got[2] == ["assign", "weak_id"] and got[3] == ["assign"] and got[4][0] == "assign"
+
+
 def contexts(spark, texts):
     rows = op9_personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context"] for r in rows}

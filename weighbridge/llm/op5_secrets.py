@@ -2,8 +2,8 @@
 
 Base spans (assign, access, hex) are reported wherever they are. Weak parts (identifiers such as client_id=..., secrets
 such as key=..., endpoints such as https://...) mean nothing alone. They are laid out by document and position and
-joined to all other parts of the document that begin within SCOPE code points, through buckets of that width, so the
-join grows with the parts and not with the square of a document's. A weak identifier is reported if a secret is near, a
+joined to all other parts of the document with at most SCOPE code points between them, through buckets of that width, so
+the join grows with the parts and their lengths and not with the square of a document's. A weak identifier is reported if a secret is near, a
 weak secret if an identifier or endpoint is near, an endpoint if both an identifier and a secret are near.
 
 Null texts count as empty and have no spans. Rows that repeat get the same result. Null ids are ids like any other.
@@ -48,10 +48,12 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     every = found.where(F.size("weak") > 0).dropDuplicates(["id", "mark"])
     laid = every.select("id", "mark", F.inline(F.concat("base", "weak")))
     roles = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
-    laid = laid.select("id", "mark", "start", "kind_no", "end", "kind", roles[F.col("kind")].alias("role"), F.floor(F.col("start") / scope).alias("bucket"))
+    laid = laid.select("id", "mark", "start", "kind_no", "end", "kind", roles[F.col("kind")].alias("role"))
+    laid = laid.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") + scope) / scope))))
     weak = laid.where(F.col("kind_no") >= 3)
-    near = laid.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("start").alias("s"), F.col("role").alias("r"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("b"))
-    met = weak.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")) & (F.col("bucket") == F.col("b")) & (F.abs(F.col("start") - F.col("s")) <= scope) & (F.col("role") != F.col("r")))
+    near = laid.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r"), F.col("bucket").alias("b"))
+    later = F.greatest("start", "s")  # two parts within reach share its bucket, and meet there only
+    met = weak.join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")) & (F.col("bucket") == F.col("b")) & (F.col("bucket") == F.floor(later / scope)) & (later - F.least("end", "e") <= scope) & (F.col("role") != F.col("r")))
     has = met.groupBy("id", "mark", "start", "kind_no", "end", "kind").agg(F.max(F.col("r") == "id").alias("with_id"), F.max(F.col("r") == "secret").alias("with_secret"), F.max(F.col("r") == "endpoint").alias("with_endpoint"))
     whole = F.when(F.col("kind") == "weak_id", F.col("with_secret")).when(F.col("kind") == "weak_secret", F.col("with_id") | F.col("with_endpoint")).otherwise(F.col("with_id") & F.col("with_secret"))
     return has.where(whole).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "kind_no", "end", "kind")).alias("linked"))
