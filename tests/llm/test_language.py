@@ -10,25 +10,63 @@ from weighbridge.llm import op10_language as lang
 PATH = P.path("piece_bpe_32k.model")
 
 
+PIECES = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba"]
+
+
+def made(seed=0):
+    m = lang.Model(PIECES, ["x", "y"])
+    m.logs = np.log(np.random.default_rng(seed).random(m.logs.shape))
+    return m
+
+
+def ways(m, word):
+    """All segmentations of a word, each the list of its pieces' numbers."""
+    if not word:
+        return [[]]
+    out = []
+    for n in range(1, len(word) + 1):
+        if word[:n] in PIECES or n == 1:
+            i = PIECES.index(word[:n]) if word[:n] in PIECES else len(PIECES)
+            out += [[i, *rest] for rest in ways(m, word[n:])]
+    return out
+
+
 def test_forward_sums_all_segmentations():
-    m = lang.Model(["▁a", "▁", "a", "b", "ab", "▁ab", "ba"], ["x", "y"])
-    m.p = np.random.default_rng(0).random(m.p.shape)
-
-    def every(word):
-        if not word:
-            return np.ones(2)
-        total = np.zeros(2)
-        for n in range(1, len(word) + 1):
-            i = m.ids.get(word[:n], len(m.ids) if n == 1 else None)
-            if i is not None:
-                total = total + m.p[i] * every(word[n:])
-        return total
-
-    words = ["a", "ab", "abab", "abc", "", "bbab"]
-    got = m.score(words)
-    for w, row in zip(words, got):
-        want = np.log(every("▁" + w)) if w else np.zeros(2)
+    m = made()
+    words = ["a", "ab", "abab", "abc", "bbab", "a\x00b", "cabbacababab"]
+    for w, row in zip(words, m.score(words), strict=True):
+        want = np.log(sum(np.exp(sum(m.logs[i] for i in way)) for way in ways(m, "▁" + w)))
         assert np.allclose(row, want)
+    assert m.score([]).shape == (0, 2)
+
+
+def test_long_words_lose_nothing():
+    m = made(1)
+    word = "".join(random.Random(3).choice("abcé") for _ in range(500))
+    text, best = "▁" + word, [np.zeros(2)]
+    for end in range(1, len(text) + 1):  # the recursion itself, one place at a time
+        arcs = []
+        for start in range(max(0, end - 3), end):
+            if text[start:end] in PIECES or start == end - 1:
+                i = PIECES.index(text[start:end]) if text[start:end] in PIECES else len(PIECES)
+                arcs.append(best[start] + m.logs[i])
+        best.append(np.logaddexp.reduce(arcs))
+    got = m.score(["ab", word, word * 40])
+    assert np.allclose(got[1], best[-1]) and np.isfinite(got).all() and got[2].max() < -745
+
+
+def test_learning_is_the_expected_count():
+    m = made(2)
+    counts = {w: np.array([n, 2.0]) for n, w in enumerate(["abab", "bac", "aab", "b"], 1)}
+    want = np.full_like(m.logs, lang.ADDED)
+    for w, n in counts.items():
+        every = ways(m, "▁" + w)
+        p = np.array([np.exp(sum(m.logs[i] for i in way)) for way in every])
+        for way, share in zip(every, p / p.sum(axis=0), strict=True):
+            for i in way:
+                want[i] += n * share
+    m.learn(counts, epochs=1)
+    assert np.allclose(np.exp(m.logs), want / want.sum(axis=0))
 
 
 def test_held_out_accuracy_and_odd_rows(spark, tmp_path):
@@ -52,6 +90,17 @@ def test_held_out_accuracy_and_odd_rows(spark, tmp_path):
     assert not math.isnan(got[1005].score)
 
 
+def test_texts_without_blanks_and_many_scripts(spark):
+    """Words of many hundred characters decide, and null ids do not make the sample larger."""
+    r = random.Random(5)
+    said = {"ja": "かなのはをがです", "ru": "ивонатерскл", "zh": "的一是不了人我在"}
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, "".join(r.choice(said[k]) for _ in range(r.randint(100, 700))), k) for i in range(300) for k in [r.choice(list(said))]], "doc_id long, text string, lang string")
+    model = lang.train(docs, PATH, sample=20)
+    test = spark.createDataFrame([(n, k, "".join(r.choice(said[k]) for _ in range(900))) for n, k in enumerate(list(said) * 5)], "doc_id long, k string, text string")
+    got = lang.predict(test, model).join(test.select("doc_id", "k"), "doc_id").collect()
+    assert len(got) == 15 and all(x.lang_pred == x.k for x in got)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert lang.predict(docs, lang.train(docs, PATH)).collect()[0].lang_pred == "und"
