@@ -120,6 +120,48 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+class Hasher:
+    """Hashes of all windows of a byte array, from running sums: two polynomials, over 64-bit words with an odd base and over
+    the integers modulo a prime. Strings made to be equal in the first (Thue-Morse) differ in the second."""
+
+    MULTIPLIER, PRIME = 6364136223846793005, np.uint64((1 << 31) - 1)
+
+    def __init__(self) -> None:
+        self.letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.small = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(34)
+        self.up = self.down = self.rise = self.fall = np.ones(1, np.uint64)
+
+    def _least(self, x: np.ndarray) -> np.ndarray:
+        """Modulo the prime, a Mersenne number."""
+        x = (x & self.PRIME) + (x >> np.uint64(31))
+        x = (x & self.PRIME) + (x >> np.uint64(31))
+        return np.where(x >= self.PRIME, x - self.PRIME, x)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, m, np.uint64))]) for m in (self.MULTIPLIER, pow(self.MULTIPLIER, -1, 2**64)))
+        base, powers = 1_220_703_125, []
+        for m in (base, pow(base, -1, int(self.PRIME))):
+            out, step = np.ones(1, np.uint64), m
+            while len(out) < n:  # twice as many at a time
+                out, step = np.concatenate([out, self._least(out * np.uint64(step))]), step * step % int(self.PRIME)
+            powers.append(out[:n])
+        self.rise, self.fall = powers
+
+    def sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= len(data):
+            self._grow(max(len(data) + 1, 1 << 20))
+        wide, narrow = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letters[data] * self.up[: len(data)], out=wide[1:])
+        np.cumsum(self._least(self.small[data] * self.rise[: len(data)]), out=narrow[1:])
+        return wide, narrow
+
+    def windows(self, sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit hash that both polynomials make, the second's own 31 bits) of the `length` bytes from each place."""
+        end = at + length
+        narrow = self._least(self._least(sums[1][end] - sums[1][at]) * self.fall[at])
+        return mixed(((sums[0][end] - sums[0][at]) * self.down[at]) ^ (narrow * np.uint64(0x9E3779B97F4A7C15))), narrow
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[k] .. starts[k] + lengths[k] - 1 for every k, one after another."""
     total = int(lengths.sum())
@@ -160,6 +202,14 @@ def blocks_of(batches: Iterator[pa.RecordBatch], key: str, text: str, least: int
         yield next(ids), keys, texts
 
 
+def key_type(rows: DataFrame, key: str) -> tuple[pa.DataType, str]:
+    """The type of a key column in Arrow and in SQL."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema[key].dataType
+    return to_arrow_type(kind), kind.simpleString()
+
+
 def bucket_count(df: DataFrame, per_partition: int = 2, least: int = 24) -> int:
     """Buckets of a hash exchange: they follow the number of input partitions, so a bucket stays as small at any size."""
     return max(least, per_partition * df.rdd.getNumPartitions())

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.llm import common
-from weighbridge.llm.op4_repeats import Hasher
 
 SHINGLE = 4
 PER_CENT = 80
@@ -40,7 +39,7 @@ CHUNK = 512
 GROUP = 20_000
 #: Characters of text that are hashed at once.
 PIECE = 1 << 19
-HASHER = Hasher()
+HASHER = common.Hasher()
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 FACTORS = common.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -57,7 +56,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = HASHER.sums(data)
-    words = common.mixed((sums[end] - sums[start]) * HASHER.down[start])
+    words = HASHER.windows(sums, start, end - start)[0]
     upto = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]))
     out, a = [], 0
     joined = words[: max(0, len(words) - width + 1)] * FACTORS[0]
