@@ -115,7 +115,7 @@ def test_odd_ids_and_columns(spark):
 
 def test_changed_input_is_an_error():
     x = op4_repeats.Asked((np.arange(9, dtype=np.uint64), np.arange(9, dtype=np.uint64)), 2, True)
-    answers = {k: (op4_repeats.digest(names), bytes(9)) for k, n, names in x.parts()}
+    answers = {k: (op4_repeats.digest(*names), bytes(9)) for k, *names in x.parts()}
     assert not x.told(answers)[0].any()
     y = op4_repeats.Asked((np.arange(1, 10, dtype=np.uint64), np.arange(9, dtype=np.uint64)), 2, True)
     with pytest.raises(RuntimeError):

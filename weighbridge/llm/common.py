@@ -88,8 +88,8 @@ def frugal(run: Callable) -> Callable:
     return whole
 
 
-def pack(value: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+def pack(value: object, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
 
 
 def unpack(blob: bytes) -> object:
@@ -144,16 +144,18 @@ class Hasher:
             out, step = np.ones(1, np.uint64), m
             while len(out) < n:  # twice as many at a time
                 out, step = np.concatenate([out, self._least(out * np.uint64(step))]), step * step % int(self.PRIME)
-            powers.append(out[:n])
+            powers.append(out[:n].astype(np.uint32))
         self.rise, self.fall = powers
 
     def sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= len(data):
             self._grow(max(len(data) + 1, 1 << 20))
         wide, narrow = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letters[data] * self.up[: len(data)], out=wide[1:])
-        np.cumsum(self._least(self.small[data] * self.rise[: len(data)]), out=narrow[1:])
-        return wide, narrow
+        for a in range(0, len(data), 1 << 15):  # what is in between stays in the cache
+            z = min(len(data), a + (1 << 15))
+            wide[a + 1 : z + 1] = self.letters[data[a:z]] * self.up[a:z]
+            narrow[a + 1 : z + 1] = self._least(self.small[data[a:z]] * self.rise[a:z])
+        return np.cumsum(wide, out=wide), np.cumsum(narrow, out=narrow)
 
     def windows(self, sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, length: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(64-bit hash that both polynomials make, the second's own 31 bits) of the `length` bytes from each place."""

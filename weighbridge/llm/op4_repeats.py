@@ -9,11 +9,12 @@ LENGTH bytes matters, so the difference-cover construction is cut down to what e
    has a repeated name. Elsewhere the text is done.
 2. Recurse: sampled places with repeated names are named again by LONG = LENGTH + PERIOD - 1 bytes. A repeated longer name
    proves that every place less than PERIOD after it starts a repeated string, and all but the first of equals need
-   no further work.
+   no further work. What all strings of LENGTH bytes that start in one of HALVES before a sampled place have in common is
+   named too: only where that is repeated there is something to compare.
 3. Merge: the remaining places are named by their LENGTH bytes, and equal prefixes are compared.
 
-Names are hashes of positions' bytes in place of ranks, of 64 bits in the first round, where an equality by chance only
-means more to compare, and of 95 bits in the others. A block sends a name once however often it has it, so a passage found in
+Names are hashes of positions' bytes in place of ranks, of 56 bits where an equality by chance only means more to compare,
+and of 88 bits elsewhere. A block sends a name once however often it has it, so a passage found in
 a third of all documents weighs no more than one entry a block. Each bucket of names answers in the order in which it
 was asked, so neither names nor answers carry positions; a digest of what was asked goes with each answer. What a
 block has learnt goes on to its next round in packed bits. Blocks of text are shuffled once.
@@ -44,6 +45,7 @@ LENGTH = 400
 PRIME = 13
 PERIOD = PRIME * PRIME + PRIME + 1
 SHORT, LONG = LENGTH - PERIOD + 1, LENGTH + PERIOD - 1
+HALVES = ((0, PERIOD // 2), (PERIOD // 2 + 1, PERIOD - 1))
 #: Words of a passage, and of its parts.
 PASSAGE, PART = 51, 26
 NAMES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("known", pa.binary())])
@@ -79,7 +81,8 @@ class Asked:
     """The distinct names of some places: ordered by bucket and name, with the way back to the places."""
 
     def __init__(self, names: tuple[np.ndarray, np.ndarray], buckets: int, wide: bool, owner: np.ndarray | None = None) -> None:
-        first, more = names
+        first, more = names if wide else (names[0] & ~np.uint64(255), names[1])
+        more = more & np.uint64(0xFFFFFF)
         order = np.lexsort((more, first)) if wide else np.argsort(first, kind="stable")
         one, two = first[order], more[order]
         fresh = np.ones(len(order), bool)
@@ -100,26 +103,27 @@ class Asked:
             again = (np.maximum.reduceat(own, begin) != np.minimum.reduceat(own, begin)) if len(begin) else np.empty(0, bool)
         self.again = again[self.back]
 
-    def parts(self) -> Iterator[tuple[int, int, bytes]]:
-        """(bucket, number of its names, their bytes)"""
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, its names, the rest of these names or nothing)"""
         for k in np.flatnonzero(np.diff(self.cuts)).tolist():
-            a, z = int(self.cuts[k]), int(self.cuts[k + 1])
-            yield k, z - a, self.name[a:z].tobytes() + (self.more[a:z].tobytes() if self.wide else b"")
+            own = slice(int(self.cuts[k]), int(self.cuts[k + 1]))
+            yield k, self.name[own], self.more[own] if self.wide else self.more[:0]
 
     def told(self, answers: dict[int, tuple[int, bytes]], offset: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """For each place: is its name met again elsewhere, and is it other than the first of all its equals?"""
         bits = []
-        for k, n, names in self.parts():
+        for k, *names in self.parts():
+            n = len(names[0])
             asked, flags = answers.get(k + offset, (None, b""))
-            if asked != digest(names):
+            if asked != digest(*names):
                 raise RuntimeError("a block and its answers differ: the input gave other rows when it was read again")
             bits.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=2 * n).reshape(2, n))
         flags = np.concatenate(bits, axis=1)[:, self.back] if bits else np.zeros((2, 0), np.uint8)
         return (flags[0] > 0) | self.again, (flags[1] > 0) | ~self.is_first
 
 
-def digest(names: bytes) -> int:
-    return xxhash.xxh64_intdigest(names) - (1 << 63)
+def digest(names: np.ndarray, more: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(names.tobytes() + more.tobytes()) - (1 << 63)
 
 
 class Block:
@@ -138,7 +142,7 @@ class Block:
         self.sample = np.flatnonzero(sampled[(places - np.repeat(self.begin, self.lens)) % PERIOD] & (places + SHORT <= self.end) & (np.repeat(self.lens, self.lens) >= LENGTH))
 
     def asked(self, at: np.ndarray, length: int) -> Asked:
-        return Asked(HASHER.windows(self.sums, at, length), self.buckets, length > SHORT)
+        return Asked(HASHER.windows(self.sums, at, length), self.buckets, length >= LENGTH)
 
     def clip(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
         """True at the places from `before` before to `after` after the given ones, within their documents."""
@@ -150,12 +154,25 @@ class Block:
         kept = self.sample[repeated]
         return kept[kept + LONG <= self.end[kept]]
 
-    def rest(self, repeated: np.ndarray, proved: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def halves(self, repeated: np.ndarray) -> tuple[list[np.ndarray], Asked]:
+        """For each of HALVES the sampled places it fits before, and the names of what strings that start there share."""
+        kept = self.sample[repeated]
+        first = np.repeat(self.begin, self.lens)[kept]
+        fits = [kept[(kept - a >= first) & (kept - z + LENGTH <= self.end[kept])] for a, z in HALVES]
+        names = [HASHER.windows(self.sums, at - a, LENGTH - (z - a)) for at, (a, z) in zip(fits, HALVES, strict=True)]
+        return fits, Asked(tuple(np.concatenate(x) for x in zip(*names, strict=True)), self.buckets, False)
+
+    def rest(self, repeated: np.ndarray, proved: np.ndarray, later: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places known to start a repeated string, and the places still to be compared."""
         long = self.long(repeated)
         known, skip = (self.clip(long[x], 0, PERIOD - 1) for x in (proved, proved & later))
+        first = np.repeat(self.begin, self.lens)
+        may = np.zeros(len(self.data), bool)
+        for (a, z), at in zip(HALVES, self.halves(repeated)[0], strict=True):
+            at, half = at[half[: len(at)]], half[len(at) :]
+            may |= common.covered(np.maximum(first[at], at - z), np.maximum(first[at], at - a + 1), len(self.data))
         fits = np.arange(len(self.data)) + LENGTH <= self.end
-        return np.flatnonzero(known), np.flatnonzero(self.clip(self.sample[repeated], PERIOD - 1, 0) & fits & ~skip)
+        return np.flatnonzero(known), np.flatnonzero(may & fits & ~skip)
 
     def removed(self, known: np.ndarray, compared: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         at = np.concatenate([known, compared[repeated]])
@@ -225,13 +242,13 @@ def _blocks(key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, keys, texts in common.blocks_of(batches, key, text):
             raw = [t.encode() for t in texts]
-            yield common.batch(schema, [(block, common.pack((keys, np.array([len(x) for x in raw], np.int64), b"".join(raw))))])
+            yield common.batch(schema, [(block, common.pack((keys, np.array([len(x) for x in raw], np.int64), b"".join(raw)), level=3))])
 
     return run
 
 
 def _sent(asked: Asked, block: int, offset: int = 0) -> list[tuple]:
-    return [(k + offset, block, names, None) for k, _, names in asked.parts()]
+    return [(k + offset, block, common.pack((common.planes(names), common.planes(more))), None) for k, names, more in asked.parts()]
 
 
 def _bits(*flags: np.ndarray) -> bytes:
@@ -265,7 +282,7 @@ def _second(buckets: int):
             repeated, _ = x.asked(x.sample, SHORT).told(told)
             passages = Passages(x)
             shared, _ = passages.parts().told(told, buckets)
-            rows += _sent(x.asked(x.long(repeated), LONG), block) + _sent(passages.whole(shared), block, buckets)
+            rows += _sent(x.asked(x.long(repeated), LONG), block) + _sent(passages.whole(shared), block, buckets) + _sent(x.halves(repeated)[1], block, 2 * buckets)
             rows.append((block % buckets, block, None, _bits(repeated, shared)))
         return pa.Table.from_batches([common.batch(NAMES, rows)])
 
@@ -279,17 +296,18 @@ def _third(buckets: int):
             x = Block(docs, buckets)
             repeated, shared = _unbits(told[OWN][1])
             proved, later = x.asked(x.long(repeated), LONG).told(told)
-            rows += _sent(x.asked(x.rest(repeated, proved, later)[1], LENGTH), block)
+            half, _ = x.halves(repeated)[1].told(told, 2 * buckets)
+            rows += _sent(x.asked(x.rest(repeated, proved, later, half)[1], LENGTH), block)
             passages = Passages(x)
             count = passages.counted(shared, passages.whole(shared).told(told, buckets)[0])
-            rows.append((block % buckets, block, None, common.pack((_bits(repeated, proved, later), count))))
+            rows.append((block % buckets, block, None, common.pack((_bits(repeated, proved, later, half), count))))
         return pa.Table.from_batches([common.batch(NAMES, rows)])
 
     return run
 
 
 def _meet(buckets: int, wide: bool):
-    """The names of a bucket, compared; passages have buckets of their own. What blocks keep for themselves is passed on."""
+    """The names of a bucket, compared; passages and halves have buckets of their own. What blocks keep for themselves is passed on."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = [(block, OWN, 0, known) for block, known in zip(group.column("block").to_pylist(), group.column("known").to_pylist(), strict=True) if known is not None]
@@ -298,10 +316,13 @@ def _meet(buckets: int, wide: bool):
         order = [int(i) for i in np.argsort(blocks, kind="stable") if raw[i] is not None]
         bucket = group.column("bucket")[0].as_py()
         long = wide and bucket < buckets
-        sizes = [len(raw[i]) // (12 if long else 8) for i in order]
-        names = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(raw[i], np.uint64, n) for i, n in zip(order, sizes, strict=True))])
+        parts = []
+        for i in order:
+            one, two = common.unpack(raw[i])
+            parts.append((common.unplanes(one, np.uint64), common.unplanes(two, np.uint32)))
+        names = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in parts)])
         if long:
-            more = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(raw[i], np.uint32, n, 8 * n) for i, n in zip(order, sizes, strict=True))])
+            more = np.concatenate([np.empty(0, np.uint32), *(y for _, y in parts)])
             by = np.lexsort((more, names))  # equals stay in the order of their blocks
             same = (names[by][1:] == names[by][:-1]) & (more[by][1:] == more[by][:-1])
         else:
@@ -312,8 +333,9 @@ def _meet(buckets: int, wide: bool):
         flags[1, by[1:]] = same
         flags[0, by[:-1]] |= same
         at = 0
-        for i, n in zip(order, sizes, strict=True):
-            rows.append((int(blocks[i]), bucket, digest(raw[i]), np.packbits(flags[:, at : at + n]).tobytes()))
+        for i, own in zip(order, parts, strict=True):
+            n = len(own[0])
+            rows.append((int(blocks[i]), bucket, digest(*own), np.packbits(flags[:, at : at + n]).tobytes()))
             at += n
         return pa.Table.from_batches([common.batch(FLAGS, rows)])
 
