@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from weighbridge.llm import op3_neardup as nd
@@ -69,3 +70,38 @@ def test_repeated_ids_and_nulls(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert nd.query(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("size", [50, 200, 500, 1000, 3000, 20000])
+def test_signatures_tell_sets_of_any_size_apart(size):
+    """Disjoint sets go after a batch; sets at or over the threshold stay, and few below it do."""
+    r = np.random.default_rng(size)
+    least = nd.least_matches(0.8)
+    draw = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    packed = lambda found: nd.sig_bytes(nd.signature(found)).tobytes()
+    a, b = [draw(size) for _ in range(20)], [draw(size) for _ in range(20)]
+    x, y = [packed(z) for z in a], [packed(z) for z in b]
+    equal = np.mean([np.mean(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)])
+    assert equal < 0.02 and not nd.survivors(x, y, least).any()
+    for similar, kept in ((0.8, 20), (0.85, 20), (0.4, 0)):
+        both = round(size * 2 * similar / (1 + similar))
+        near = [np.concatenate([z[:both], draw(size - both)]) for z in a]
+        assert nd.survivors(x, [packed(z) for z in near], least).sum() == kept
+
+
+def test_words_made_to_collide():
+    """Thue-Morse words of two letters have equal polynomial hashes modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    one, two = nd.shingle_sets([a, a.translate(str.maketrans("ab", "ba"))], 4)
+    assert len(one) == len(two) == 1 and one[0] != two[0]
+
+
+def test_pivots_that_are_not_broadcast(spark, monkeypatch):
+    """Rows of a pivot are spread where there are too many pivots to send around; a long text is a text like any other."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [t for _ in range(6) for t in family(r, words, 12, 14)] + [" ".join(r.choice(words) for _ in range(40000))] * 2
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node long")
+    monkeypatch.setattr(nd.common, "small", lambda df, row_bytes: df)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in nd.near_duplicates(docs, width=4).collect()}
+    assert got == dict(enumerate(brute(texts)))

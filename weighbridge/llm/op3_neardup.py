@@ -9,7 +9,8 @@
    prior) that it reaches the threshold is under MISS. What survives is confirmed on the full sets.
 4. Components of confirmed links (large-star, small-star). Where members of one bucket are still in different components,
    those outside the largest are compared with the others of their pivot's group, in blocks of CHUNK by CHUNK: batches of
-   signatures first, survivors exactly, and only links that join something are returned. Of a group of over GROUP nodes
+   signatures first; sets go only to the blocks where a pair survives, which is compared exactly, and only links that join
+   something are returned. Of a group of over GROUP nodes
    only members are compared that have one of their rarest shingles in common, as two sets at the threshold do: a passage
    that very many documents share pairs none of them. So every pair of a bucket is compared, excluded or already joined.
 
@@ -37,6 +38,8 @@ MISS = 1e-6
 #: Nodes on a side of a block that is compared in memory, and nodes up to which a pivot's group is cut into blocks as it is.
 CHUNK = 512
 GROUP = 20_000
+#: Ways to spread the rows of a pivot.
+SALTS = 64
 #: Characters of text that are hashed at once.
 PIECE = 1 << 19
 HASHER = common.Hasher()
@@ -91,6 +94,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def sig_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each value, of all of its bits: the top bits of a least hash are zero for all long texts."""
+    return (common.mixed(sig.astype(np.uint64) + TIMES) >> np.uint64(56)).astype(np.uint8)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     keyed = sig.reshape(BANDS, ROWS).astype(np.uint64) * FACTORS[:ROWS]
     return common.mixed(keyed.sum(axis=1, dtype=np.uint64) + FACTORS[10 : 10 + BANDS]).view(np.int64)
@@ -140,7 +148,7 @@ def _measure(key: str, text: str, width: int, kind: pa.DataType):
             for k, found in zip(keys, shingle_sets(texts, width), strict=True):
                 if len(found):
                     sig = signature(found)
-                    rows.append((k, len(found), *fingerprint(found), band_keys(sig), (sig >> np.uint32(24)).astype(np.uint8).tobytes()))
+                    rows.append((k, len(found), *fingerprint(found), band_keys(sig), sig_bytes(sig).tobytes()))
                 else:
                     rows.append((k, 0, None, None, None, None))
             yield common.batch(schema, rows)
@@ -213,32 +221,45 @@ def _prefixes(found: DataFrame, per_cent: int) -> DataFrame:
     return common.written(first.where("often > 1").select("pivot", "part", "node", "root"), "prefixes")
 
 
+def _met(group: pa.Table, least: dict[int, int], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block, nodes outside the largest component (side 1) with nodes of the group (side 0), that are in
+    different components, near enough in size, and still in after the last batch of signature values."""
+    side = group.column("side").to_numpy()
+    root, n = (group.column(c).to_numpy() for c in ("root", "n"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(side), -1)
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    x, y = left[:, None], right[None, :]
+    i, j = np.nonzero((root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y])))
+    i, j = left[i], right[j]
+    found, at = np.zeros(len(i), np.int64), 0
+    for upto, m in least.items():
+        found = found + np.concatenate([np.zeros(0, np.int64), *((sig[i[c : c + 65536], at:upto] == sig[j[c : c + 65536], at:upto]).sum(axis=1) for c in range(0, len(i), 65536))])
+        keep = found >= m
+        i, j, found, at = i[keep], j[keep], found[keep], upto
+    return i, j
+
+
+def _wanted(least: dict[int, int], per_cent: int):
+    """The nodes of a block that are in one of its pairs: only their sets are needed."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return group.take(pa.array(np.unique(np.concatenate(_met(group, least, per_cent)))))
+
+    return run
+
+
 def _blocks(least: dict[int, int], per_cent: int):
-    """One block: nodes outside the largest component (side 1) against nodes of the group (side 0). Signatures are
-    compared batch by batch, survivors exactly; of the links found, those that join what is not yet joined are returned."""
+    """The pairs of a block compared exactly; of the links found, those that join what is not yet joined are returned."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(side), -1)
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        if not (len(left) and len(right)):
-            return schema.empty_table()
-        x, y = left[:, None], right[None, :]
-        fits = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y]))
-        i, j = np.nonzero(fits)
-        i, j = left[i], right[j]
-        found, at = np.zeros(len(i), np.int64), 0
-        for upto, m in least.items():
-            found = found + np.concatenate([np.zeros(0, np.int64), *((sig[i[c : c + 65536], at:upto] == sig[j[c : c + 65536], at:upto]).sum(axis=1) for c in range(0, len(i), 65536))])
-            keep = found >= m
-            i, j, found, at = i[keep], j[keep], found[keep], upto
+        i, j = _met(group, least, per_cent)
         if not len(i):
             return schema.empty_table()
+        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
         raw = group.column("shingles").to_pylist()
         used = np.unique(np.concatenate([i, j]))
-        place = np.full(len(side), -1)
+        place = np.full(len(node), -1)
         place[used] = np.arange(len(used))
         sets = [np.frombuffer(raw[k], np.uint64) for k in used]
         values, back, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -278,7 +299,14 @@ def _rest(rows: DataFrame, sets: DataFrame, sig: DataFrame, per_cent: int) -> Da
     """rows(pivot, node, root): links between nodes of one pivot that are in different components."""
     by = rows.groupBy("pivot", "root").agg(F.count("*").alias("m"))
     by = by.groupBy("pivot").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"))
-    rows = rows.join(by, "pivot").withColumn("part", F.lit(0).cast("long"))
+    by = common.written(by, "pivots")
+    counted = common.small(by, 40)
+    if counted is by:  # too many pivots to send around: a pivot's rows are spread
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by.withColumn("salt", salts), ["pivot", "salt"]).drop("salt")
+    else:
+        rows = rows.join(counted, "pivot")
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
     small, large = rows.where(F.col("all") <= GROUP), rows.where(F.col("all") > GROUP)
     # of groups too large for blocks of all members, those that share one of their rarest shingles
     if not large.isEmpty():
@@ -289,8 +317,11 @@ def _rest(rows: DataFrame, sets: DataFrame, sig: DataFrame, per_cent: int) -> Da
     mine = F.pmod(F.xxhash64("node"), across)
     right = small.select("pivot", "part", "node", "root", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("i"), mine.alias("j"))
     left = small.where("root <> main").select("pivot", "part", "node", "root", F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), down).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("j"))
-    cells = left.unionByName(right).join(sig, "node").join(sets, "node")
-    return cells.groupBy("pivot", "part", "i", "j").applyInArrow(_blocks(least_matches(per_cent / 100), per_cent), "a long, b long")
+    cells = left.unionByName(right).join(sig, "node")
+    least, cell = least_matches(per_cent / 100), ["pivot", "part", "i", "j"]
+    # signatures first; sets go only to the blocks that have a pair with them
+    wanted = common.written(cells.groupBy(*cell).applyInArrow(_wanted(least, per_cent), cells.schema.simpleString()[7:-1].replace(":", " ")), "wanted")
+    return wanted.join(sets, "node").groupBy(*cell).applyInArrow(_blocks(least, per_cent), "a long, b long")
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
