@@ -169,3 +169,39 @@ def test_stream_of_hours(spark, tmp_path):
     stream = ingest.hourly(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("hours").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_span_longer_than_the_window(spark):
+    from weighbridge.functions import scalars
+
+    rows = spark.createDataFrame([(50, 0, 30)], "n long, s long, e long")
+    bounds = lambda most: rows.select(scalars.window_bounds(F.col("n"), F.col("s"), F.col("e"), most).alias("w")).first().w
+    assert tuple(bounds(30)) == (0, 30) and tuple(bounds(60)) == (0, 50)
+    with pytest.raises(Exception, match="longer than the window"):
+        bounds(20)
+
+
+def test_label_without_a_document_is_an_error(spark):
+    from weighbridge.sources import tables
+
+    joined = spark.createDataFrame([(1, True), (2, None)], "doc_id long, found boolean")
+    assert tables.labelled(joined.where("doc_id = 1"), "found", "doc_id").count() == 1
+    with pytest.raises(Exception, match="a label without a row: 2"):
+        tables.labelled(joined, "found", "doc_id").collect()
+
+
+def test_keyed_pseudonyms_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    from weighbridge.functions import scalars
+
+    got = {r.id: r.h for r in spark.range(9).select("id", scalars.keyed_hash(b"0123456789abcdef", "customer", F.col("id")).alias("h")).collect()}
+    assert got == {i: hmac.new(b"0123456789abcdef", f"customer\x1f{i}".encode(), hashlib.sha256).hexdigest() for i in range(9)}
+
+
+def test_formats(spark):
+    from weighbridge.functions import scalars
+
+    row = spark.range(1).select(scalars.percent(F.lit(0.1234)), scalars.percent(F.lit(None).cast("double")), scalars.interval(F.lit(-0.5), F.lit(0.25)), scalars.interval(F.lit(None).cast("double"), F.lit(1.0))).first()
+    assert tuple(row) == ("12.3%", "-", "[-0.500, 0.250]", "-")

@@ -60,12 +60,31 @@ def test_markdown(spark):
     assert shown.splitlines() == ["| x | y | z |", "| --- | --- | --- |", "| a | 1.000 | 2 |", "| b | 0.500 | - |"]
 
 
-def test_loose_tree():
+def test_too_many_rows_for_a_table(spark):
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(4), most=3)
+
+
+def test_loose_tree(spark):
+    from weighbridge.operators import loose
+
+    seen = lambda value: sorted(tuple(r) for r in loose.audit(loose.nodes(spark, value)).collect())
     good = {"nodes": [{"name": "A b", "yes_action": "x", "no_node": "a-B 2"}, {"name": "A b 2", "yes_action": "y", "no_node": "End of decision tree"}]}
-    assert specs.audit_loose(good) == ([], [])
+    assert seen(good) == [] and seen({}) == [("", "", "error", "no sections")]
     bad = {"S": {"nodes": [{"name": "a", "yes_action": "", "no_node": "zz"}, {"name": "b", "yes_action": "Continue to node c", "criteria": ["q"], "min_criteria": True}]}}
-    errors, warnings = specs.audit_loose(bad)
-    assert len(errors) == 4 and len(warnings) == 3 and specs.audit_loose({})[0] == ["no sections"]
+    assert seen(bad) == [
+        ("S", "a", "error", "no such node"),
+        ("S", "a", "error", "no yes_action"),
+        ("S", "b", "error", "min_criteria does not suit the criteria"),
+        ("S", "b", "error", "out of reach"),
+        ("S", "b", "warning", "criteria of an aggregate need definitions"),
+        ("S", "b", "warning", "no no_node"),
+        ("S", "b", "warning", "the action goes on to a node that is not named"),
+    ]
+    # two names without an ASCII letter are two nodes; equal names are not
+    two = {"nodes": [{"name": "\u03b1", "yes_action": "x", "no_node": "\u03b2"}, {"name": "\u03b2", "yes_action": "x", "no_node": "end of decision tree"}]}
+    assert seen(two) == []
+    assert ("T", "a", "error", "names repeat") in seen({"T": {"nodes": [{"name": "a", "yes_action": "x"}, {"name": "A", "yes_action": "x", "criteria": "q"}]}})
 
 
 def test_small_files(spark, tmp_path):

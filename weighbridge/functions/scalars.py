@@ -31,7 +31,8 @@ def keyed_hash(salt: bytes, namespace: str, *values: Column) -> Column:
 
 
 def ordered_digest(order: Column, line: Column) -> Column:
-    """An aggregate: the digest of the lines in order, a line feed after each."""
+    """An aggregate: the digest of the lines in order, a line feed after each. A group is gathered: of many rows, digest parts of
+    a bounded size and then, in order, these digests."""
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))
     return F.sha2(F.concat(F.array_join(F.transform(rows, lambda r: r["l"]), "\n"), F.lit("\n")), 256)
 
@@ -43,8 +44,9 @@ def span_holds(text: Column, start: Column, end: Column, mention: Column) -> Col
 
 
 def window_bounds(length: Column, start: Column, end: Column, most: int) -> Column:
-    """(lower, upper) of a window of at most `most` code points around a span, moved in at the edges of the text."""
-    spare = F.lit(most) - (end - start)
+    """(lower, upper) of a window of at most `most` code points around a span, moved in at the edges of the text. A span that is
+    longer than the window is an error, unless the window holds the whole text."""
+    spare = F.when((length > most) & (end - start > most), F.raise_error(F.lit("a span is longer than the window")).cast("long")).otherwise(F.lit(most) - (end - start))
     lower = F.greatest(F.lit(0).cast("long"), start - F.floor(spare / 2))
     upper = F.least(length, end + spare - (start - lower))
     lower = F.when(upper - lower < most, F.greatest(F.lit(0).cast("long"), upper - most)).otherwise(lower)
@@ -79,3 +81,17 @@ def slug(value: Column) -> Column:
 def rendered(value: Column) -> Column:
     """Text of a value; false and 0 are values, only null is missing."""
     return F.coalesce(value.cast("string"), F.lit("missing"))
+
+
+def canonical_digest(**fields: Column) -> Column:
+    """The digest of a JSON object with its keys in order and nothing between its parts; null fields are written as null."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    return F.coalesce(F.concat(F.format_number(100 * value, digits), F.lit("%")), F.lit("-"))
+
+
+def interval(low: Column, high: Column, digits: int = 3) -> Column:
+    shown = lambda v: F.format_string(f"%.{digits}f", v)
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat(F.lit("["), shown(low), F.lit(", "), shown(high), F.lit("]"))).otherwise(F.lit("-"))

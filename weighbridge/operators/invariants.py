@@ -53,3 +53,26 @@ def overlap(x: Column, y: Column) -> list[Column]:
     """both, either, subset (x in y) and jaccard (1 for two empty sets)."""
     both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return [both.cast("long").alias("both"), either.cast("long").alias("either"), (F.size(F.array_except(x, y)) == 0).alias("subset"), F.coalesce(F.try_divide(both, either), F.lit(1.0)).alias("jaccard")]
+
+
+def keyed_differences(expected: DataFrame, found: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, problem) of two tables with one row a key: missing, unexpected, or each field that differs (nulls are equal).
+    Coverage of a registry and a tree is this without fields; preflight against responses and provenance with them."""
+    side = lambda rows, name: rows.select(key, F.struct(F.lit(True).alias("there"), *fields).alias(name))
+    both = side(expected, "a").join(side(found, "b"), key, "full")
+    here = F.col("a").isNotNull() & F.col("b").isNotNull()
+    rules = [F.when(F.col("b").isNull(), F.lit("missing")), F.when(F.col("a").isNull(), F.lit("unexpected"))]
+    rules += [F.when(here & ~F.col("a")[f].eqNullSafe(F.col("b")[f]), F.lit(f"{f} differs")) for f in fields]
+    return both.select(key, F.explode(F.array_compact(F.array(*rules))).alias("problem"))
+
+
+def matched_once(rows: DataFrame, published: DataFrame, key: Sequence[str], value: str, other: str) -> DataFrame:
+    """For each row how many published rows have its key, whether it is one, and whether all have its value."""
+    both = rows.join(published.select(*key, other), list(key), "left")
+    n = F.count(other)
+    return both.groupBy(*key).agg(n.alias("published"), (n == 1).alias("once"), F.coalesce(F.every(F.col(other) == F.col(value)), F.lit(False)).alias("equal"))
+
+
+def union_or_conflict(x: Column, y: Column) -> Column:
+    """The union of two sets of features as a sorted array; null where they overlap, which is a conflict."""
+    return F.when(F.size(F.array_intersect(x, y)) == 0, F.array_sort(F.array_union(x, y)))

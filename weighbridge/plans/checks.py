@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weighbridge.functions import contracts
+from weighbridge.functions import contracts, scalars
 from weighbridge.operators import invariants
 from weighbridge.plans import oracle, responses
 from weighbridge.plans.registry import query
@@ -105,3 +105,56 @@ def leaderboard(spark, sf):
     return by.select(F.row_number().over(Window.orderBy(F.desc("score"), "model")).cast("long").alias("place"), "model", "score")
 
 
+
+
+ROWS_OF = "o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') >= 2 AS met, max(l_quantity) >= 40 AS listed FROM lineitem GROUP BY ALL)"
+
+
+@query("threshold_mismatch", f"WITH {ROWS_OF} SELECT count(*) AS n, count(*) FILTER (met <> listed) AS mismatches FROM o")
+def threshold_mismatch(spark, sf):
+    """Orders that reach the threshold by their lines against those that are listed as reaching it."""
+    by = tables.table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.count_if(F.col("l_returnflag") == "N") >= 2).alias("met"), (F.max("l_quantity") >= 40).alias("listed"))
+    return by.agg(F.count("*").alias("n"), F.count_if(F.col("met") != F.col("listed")).alias("mismatches"))
+
+
+@query("feature_union_conflicts", "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey) FILTER (l_returnflag = 'R')) AS a, list_sort(list(DISTINCT l_suppkey) FILTER (l_returnflag = 'A')) AS b FROM lineitem GROUP BY ALL) SELECT l_orderkey, CASE WHEN len(list_intersect(coalesce(a, []), coalesce(b, []))) = 0 THEN array_to_string(list_sort(list_concat(coalesce(a, []), coalesce(b, []))), ',') END AS features FROM s")
+def feature_union_conflicts(spark, sf):
+    """Two feature sets of a case as one; null where one feature is in both."""
+    of = lambda flag: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey"))))
+    by = tables.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(of("R").alias("a"), of("A").alias("b"))
+    return by.select("l_orderkey", F.array_join(invariants.union_or_conflict(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("features"))
+
+
+@query("registry_coverage", "WITH r AS (SELECT n_name FROM nation WHERE n_nationkey < 22), t AS (SELECT n_name FROM nation WHERE n_nationkey > 2) SELECT coalesce(r.n_name, t.n_name) AS n_name, CASE WHEN t.n_name IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM r FULL JOIN t ON r.n_name = t.n_name WHERE r.n_name IS NULL OR t.n_name IS NULL")
+def registry_coverage(spark, sf):
+    """Criteria of a registry that a tree lacks, and of the tree that the registry lacks."""
+    nation = tables.table(spark, sf, "nation")
+    return invariants.keyed_differences(nation.where("n_nationkey < 22").select("n_name"), nation.where("n_nationkey > 2").select("n_name"), "n_name", [])
+
+
+PREFLIGHT = "p AS (SELECT doc_id AS request_id, n_chars AS tokens, sha256(text) AS prompt FROM documents WHERE doc_id % 11 <> 0), q AS (SELECT doc_id AS request_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS tokens, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' ' ELSE text END) AS prompt FROM documents WHERE doc_id % 13 <> 0)"
+
+
+@query("preflight_check", f"""WITH {PREFLIGHT}, b AS (SELECT coalesce(p.request_id, q.request_id) AS request_id, p.request_id AS l, q.request_id AS r, p.tokens IS DISTINCT FROM q.tokens AS t, p.prompt IS DISTINCT FROM q.prompt AS h FROM p FULL JOIN q ON p.request_id = q.request_id)
+ SELECT request_id, 'missing' AS problem FROM b WHERE r IS NULL UNION ALL SELECT request_id, 'unexpected' FROM b WHERE l IS NULL UNION ALL SELECT request_id, 'tokens differs' FROM b WHERE l = r AND t UNION ALL SELECT request_id, 'prompt differs' FROM b WHERE l = r AND h""")
+def preflight_check(spark, sf):
+    """Token counts and prompt digests of a preflight against those of the responses, by request."""
+    docs = tables.table(spark, sf, "documents").withColumnRenamed("doc_id", "request_id")
+    saved = docs.where("request_id % 11 <> 0").select("request_id", F.col("n_chars").alias("tokens"), F.sha2("text", 256).alias("prompt"))
+    text = F.when(F.col("request_id") % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    run = docs.where("request_id % 13 <> 0").select("request_id", F.when(F.col("request_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("tokens"), F.sha2(text, 256).alias("prompt"))
+    return invariants.keyed_differences(saved, run, "request_id", ["tokens", "prompt"])
+
+
+@query("provenance_staleness", "SELECT n_nationkey AS name, 'digest differs' AS problem FROM nation WHERE n_nationkey % 4 = 0 AND lower(n_name) <> n_name UNION ALL SELECT n_nationkey, 'missing' FROM nation WHERE n_nationkey % 6 = 5 AND n_nationkey % 4 <> 0")
+def provenance_staleness(spark, sf):
+    """Stored digests of inputs against digests made now."""
+    nation = tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("name"), "n_name")
+    stored = nation.select("name", F.sha2("n_name", 256).alias("digest"))
+    now = nation.where("name % 6 <> 5 or name % 4 = 0").select("name", F.sha2(F.when(F.col("name") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")), 256).alias("digest"))
+    return invariants.keyed_differences(stored, now, "name", ["digest"])
+
+
+@query("canonical_digest", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS digest FROM documents""")
+def canonical_digest(spark, sf):
+    return tables.table(spark, sf, "documents").select("doc_id", scalars.canonical_digest(source=F.col("source"), lang=F.col("lang"), doc_id=F.col("doc_id")).alias("digest"))

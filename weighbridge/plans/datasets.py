@@ -53,11 +53,11 @@ def shared_context_choice(spark, sf):
     return rows.groupBy(F.when(F.col("fits"), "full").otherwise("window").alias("context_mode")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("fits"), F.col("n_chars")).otherwise(F.col("upper") - F.col("lower"))).alias("characters"))
 
 
-FEATURES = "WITH c AS (SELECT doc_id, quality, list_distinct(regexp_extract_all(text, '[A-Za-z]+')[1:6]) AS f FROM labels JOIN documents USING (doc_id)), e AS (SELECT doc_id, quality, unnest(f) AS feature FROM c), k AS (SELECT feature FROM e GROUP BY ALL HAVING count(*) >= 3)"
+FEATURES = "WITH c AS (SELECT doc_id, quality, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) AS f FROM labels JOIN documents USING (doc_id)), e AS (SELECT doc_id, quality, unnest(f) AS feature FROM c), k AS (SELECT feature FROM e GROUP BY ALL HAVING count(*) >= 3)"
 
 
 def featured(spark, sf) -> DataFrame:
-    docs = tables.table(spark, sf, "documents").select("doc_id", F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)).alias("f"))
+    docs = tables.table(spark, sf, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("f"))
     return tables.table(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "quality", F.explode("f").alias("feature"))
 
 
@@ -97,10 +97,11 @@ def stable_ids(spark, sf):
     return docs.select("doc_id", scalars.stable_id("d_", F.col("source"), F.col("doc_id")).alias("id"), scalars.namespaced_id("note", F.col("doc_id"), "set1").alias("namespaced"))
 
 
-@query("ordered_digest", "SELECT source, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY ALL")
+@query("ordered_digest", "WITH p AS (SELECT source, doc_id // 4096 AS part, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id) || chr(10)) AS d FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(d, chr(10) ORDER BY part) || chr(10)) AS digest FROM p GROUP BY ALL")
 def ordered_digest(spark, sf):
     line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
-    return tables.table(spark, sf, "documents").groupBy("source").agg(scalars.ordered_digest(F.col("doc_id"), line).alias("digest"))
+    parts = tables.table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 4096).alias("part")).agg(scalars.ordered_digest(F.col("doc_id"), line).alias("d"))
+    return parts.groupBy("source").agg(scalars.ordered_digest(F.col("part"), F.col("d")).alias("digest"))
 
 
 @query("keyed_pseudonyms")

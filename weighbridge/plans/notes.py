@@ -60,6 +60,17 @@ def note_primary_endpoints(spark, sf):
     return per_class(spark, heads(scored(spark, sf))).groupBy(*CELL, "head").agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.round(F.avg("recall"), 9).alias("balanced_accuracy"))
 
 
+@query("five_endpoints", f"""{CLASSES}, e AS (SELECT model, condition, round(avg(f1) FILTER (head = 'detection'), 9) AS detection_macro_f1, round(avg(recall) FILTER (head = 'detection'), 9) AS detection_balanced_accuracy, round(avg(f1) FILTER (head = 'encounter'), 9) AS encounter_macro_f1, round(avg(f1) FILTER (head = 'negation'), 9) AS negation_macro_f1 FROM k2 GROUP BY ALL),
+ j AS (SELECT model, condition, round(count(*) FILTER (joint) / count(*), 9) AS joint_exact_match FROM s GROUP BY ALL) SELECT * FROM e JOIN j USING (model, condition)""")
+def five_endpoints(spark, sf):
+    """Both endpoints of detection, the lower heads' macro F1 and the joint agreement, a row a model and condition."""
+    rows = scored(spark, sf)
+    mean = lambda c, h: F.round(F.avg(F.when(F.col("head") == h, F.col(c))), 9)
+    by = per_class(spark, heads(rows)).groupBy(*CELL).agg(mean("f1", "detection").alias("detection_macro_f1"), mean("recall", "detection").alias("detection_balanced_accuracy"), mean("f1", "encounter").alias("encounter_macro_f1"), mean("f1", "negation").alias("negation_macro_f1"))
+    joint = rows.groupBy(*CELL).agg(F.round(F.count_if("joint") / F.count("*"), 9).alias("joint_exact_match"))
+    return by.join(joint, list(CELL))
+
+
 @query("note_head_coverage", f"{oracle.NOTES}, {HEAD_ROWS} SELECT model, condition, head, count(*) AS n, count(*) FILTER (g = p) AS correct, count(*) FILTER (g = p) / count(*) AS accuracy, count(*) FILTER (p <> '__failure__') / count(*) AS coverage, CASE WHEN count(*) FILTER (p <> '__failure__') > 0 THEN 1 - count(*) FILTER (g = p) / count(*) FILTER (p <> '__failure__') END AS selective_risk FROM hd GROUP BY ALL")
 def note_head_coverage(spark, sf):
     right, valid = F.count_if(F.col("g") == F.col("p")), F.count_if(F.col("p") != contracts.FAILED)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
-from weighbridge.operators import paired, traversal
+from weighbridge.operators import invariants, paired, traversal
 from weighbridge.plans import notes, oracle, responses, trees
 from weighbridge.plans.paired import PAIRS, pairs
 from weighbridge.plans.registry import query
@@ -76,10 +76,7 @@ POLICY = f"{trees.RAWS}, {trees.machine_sql('strict', 'st')}, {trees.machine_sql
 @query("policy_leaderboard", f"{POLICY}, g AS (SELECT policy, domain, count(*) AS n, count(*) FILTER (ok) AS k FROM x GROUP BY ALL) SELECT policy, sum(n)::BIGINT AS n, sum(k)::BIGINT AS correct, sum(k) / sum(n) AS pooled, round(avg(k / n), 9) AS domain_balanced FROM g GROUP BY ALL")
 def policy_leaderboard(spark, sf):
     cases = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), F.col("o_orderpriority").alias("domain"), contracts.terminal_label(F.expr(trees.EXPECTED)).alias("want"))
-    every = None
-    for policy in ("strict", "legacy", "period"):
-        own = trees.walked(spark, sf, policy).select(F.lit(policy).alias("policy"), "case", "action")
-        every = own if every is None else every.unionByName(own)
+    every = trees.walked_by(spark, sf, "strict", "legacy", "period")
     by = every.join(cases, "case").groupBy("policy", "domain").agg(F.count("*").alias("n"), F.count_if(F.col("action") == F.col("want")).alias("k"))
     return by.groupBy("policy").agg(F.sum("n").alias("n"), F.sum("k").alias("correct"), (F.sum("k") / F.sum("n")).alias("pooled"), F.round(F.avg(F.col("k") / F.col("n")), 9).alias("domain_balanced"))
 
@@ -90,7 +87,7 @@ REFERENCE = trees.machine_sql("strict", "g").replace(trees.ANSWER["strict"], "CA
 @query("reference_traversal", f"{trees.RAWS}, {REFERENCE} SELECT case_id, status, action, calls FROM g")
 def reference_traversal(spark, sf):
     """Answers from membership of a question in the features of a case."""
-    orders = tables.table(spark, sf, "orders").where(trees.CASES)
+    orders = tables.table(spark, sf, "orders")
     asked = F.array(*(F.lit(f"q{k}") for k in range(1, 7)))
     positive = F.filter(asked, lambda q: (F.col("o_orderkey") * F.substring(q, 2, 1).cast("int")) % 3 == 0)
     cases = orders.select(F.col("o_orderkey").cast("string").alias("case"), positive.alias("positive"), F.explode(asked).alias("question"))
@@ -99,9 +96,9 @@ def reference_traversal(spark, sf):
     return out.select(F.col("case").alias("case_id"), "status", contracts.terminal_label(F.col("action")).alias("action"), F.col("calls").cast("long").alias("calls"))
 
 
-@query("exhaustive_token_audit", "SELECT k AS question, count(*) AS n, min(o_orderkey % 50 + k) AS least, max(o_orderkey % 50 + k) AS most FROM orders, range(1, 7) t(k) WHERE o_orderkey % 7 = 0 GROUP BY ALL")
+@query("exhaustive_token_audit", "SELECT k AS question, count(*) AS n, min(o_orderkey % 50 + k) AS least, max(o_orderkey % 50 + k) AS most FROM orders, range(1, 7) t(k) GROUP BY ALL")
 def exhaustive_token_audit(spark, sf):
-    cases = tables.table(spark, sf, "orders").where(trees.CASES).select("o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("question"))
+    cases = tables.table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("question"))
     tokens = F.col("o_orderkey") % 50 + F.col("question")
     return cases.groupBy("question").agg(F.count("*").alias("n"), F.min(tokens).alias("least"), F.max(tokens).alias("most"))
 
@@ -137,14 +134,19 @@ def rerun_determinism(spark, sf):
     return rows.join(again, ["model", "request_id"]).groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("raw_output").eqNullSafe(F.col("rerun"))).alias("same"))
 
 
-@query("published_rows_match_once", f"{PAIRS}, p AS (SELECT condition, arm_a, count(*) AS n FROM q GROUP BY ALL) SELECT condition, arm_a, n, n = 1 AS once FROM p")
+@query("published_rows_match_once", f"{PAIRS}, p AS (SELECT condition, arm_a, arm_b, a_only FROM q WHERE a_only <> b_only UNION ALL SELECT condition, arm_a, arm_b, a_only + 1 FROM q WHERE a_only > b_only) SELECT q.condition, q.arm_a, q.arm_b, count(p.a_only) AS published, count(p.a_only) = 1 AS once, coalesce(bool_and(p.a_only = q.a_only), false) AS equal FROM q LEFT JOIN p USING (condition, arm_a, arm_b) GROUP BY ALL")
 def published_rows_match_once(spark, sf):
-    return pairs(spark, sf).groupBy("condition", "arm_a").agg(F.count("*").alias("n")).withColumn("once", F.col("n") == 1)
+    """Recomputed rows against published ones, some of which are missing, repeated or other."""
+    fresh = pairs(spark, sf)
+    key = ["condition", "arm_a", "arm_b"]
+    published = fresh.where("a_only <> b_only").select(*key, F.col("a_only").alias("value"))
+    published = published.unionByName(fresh.where("a_only > b_only").select(*key, (F.col("a_only") + 1).alias("value")))
+    return invariants.matched_once(fresh, published, key, "a_only", "value")
 
 
-@query("rendered_prompts", "SELECT doc_id, sha256('Criterion: ' || source || chr(10) || 'Note: ' || substr(text, 1, 100) || chr(10) || 'Answer in ' || upper(lang) || '.') AS prompt_sha256 FROM documents")
+@query("rendered_prompts", "SELECT doc_id, sha256('Criterion: ' || source || chr(10) || 'Note: ' || text || chr(10) || 'Answer in ' || upper(lang) || '.') AS prompt_sha256 FROM documents")
 def rendered_prompts(spark, sf):
-    shown = F.format_string("Criterion: %s\nNote: %s\nAnswer in %s.", "source", F.substring("text", 1, 100), F.upper("lang"))
+    shown = F.concat(F.lit("Criterion: "), "source", F.lit("\nNote: "), "text", F.lit("\nAnswer in "), F.upper("lang"), F.lit("."))
     return tables.table(spark, sf, "documents").select("doc_id", F.sha2(shown, 256).alias("prompt_sha256"))
 
 
@@ -163,9 +165,12 @@ def report_lines(spark, sf):
     return by.select(F.format_string("| %s | %s | %d / %d |", "model", "condition", "k", "n").alias("line"))
 
 
-def markdown(rows: DataFrame, digits: int = 3) -> str:
-    """A small frame as a table; numbers to so many digits, missing ones as a dash."""
-    shown = [[f"{v:.{digits}f}" if isinstance(v, float) else "-" if v is None else str(v) for v in r] for r in rows.orderBy(*rows.columns).limit(1000).collect()]
+def markdown(rows: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small frame as a table; numbers to so many digits, missing ones as a dash. More than `most` rows are an error."""
+    found = rows.orderBy(*rows.columns).take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows for a table")
+    shown = [[f"{v:.{digits}f}" if isinstance(v, float) else "-" if v is None else str(v) for v in r] for r in found]
     return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *shown])
 
 
@@ -200,18 +205,20 @@ def interval_bounds(spark, sf):
     return endpoint_bootstrap(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.expr("low > high or low < -1 or high > 1")).alias("violations"))
 
 
-@query("feature_count_mismatch", "SELECT count(*) AS n, count(*) FILTER (n_chars % 7 <> len(list_distinct(regexp_extract_all(text, '[A-Za-z]+')[1:6]))) AS mismatches FROM documents")
+@query("feature_count_mismatch", "SELECT count(*) AS n, count(*) FILTER (n_chars % 7 <> len(list_distinct(regexp_extract_all(text, '[A-Za-z]+')))) AS mismatches FROM documents")
 def feature_count_mismatch(spark, sf):
-    size = F.size(F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)))
+    size = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))))
     return tables.table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") % 7 != size).alias("mismatches"))
 
 
-@query("map_equality", "SELECT l_orderkey, count(DISTINCT l_suppkey) >= 0 AS same FROM lineitem GROUP BY ALL")
+@query("map_equality", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') = 0 AS same FROM lineitem GROUP BY ALL")
 def map_equality(spark, sf):
-    """Maps are compared by their sorted entries: one built in another order is the same map."""
-    rows = tables.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("k"))
-    entry = lambda x: F.struct(x.alias("key"), (x * 2).alias("value"))
-    a, b = (F.map_from_entries(F.transform(k, entry)) for k in (F.array_sort("k"), F.reverse(F.array_sort("k"))))
+    """Maps are compared by their sorted entries: one built in another order is the same map. Here lines by supplier against
+    lines by supplier that were not returned, in the opposite order: the same where no line was returned."""
+    lines = tables.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("m"))
+    sets = [F.array_sort(F.collect_list(F.when(F.col(v) > 0, F.struct(F.col("l_suppkey").alias("key"), F.col(v).alias("value"))))).alias(v) for v in ("n", "m")]
+    rows = lines.groupBy("l_orderkey").agg(*sets)
+    a, b = F.map_from_entries("n"), F.map_from_entries(F.reverse("m"))
     return rows.select("l_orderkey", (F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))).alias("same"))
 
 

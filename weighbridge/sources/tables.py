@@ -65,9 +65,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def labelled(joined: DataFrame, found: str, key: str) -> DataFrame:
+    """Labels joined to what they are about: a label without it is an error, not a row less."""
+    missing = F.raise_error(F.concat(F.lit("a label without a row: "), F.col(key).cast("string")))
+    return joined.withColumn(key, F.when(F.col(found).isNull(), missing.cast(joined.schema[key].dataType)).otherwise(F.col(key)))
+
+
 def _derived(spark: SparkSession, folder: str, steps: list[tuple[str, str]], conditions: int) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    rows = table(spark, folder, "labels").join(docs, "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", F.lit(True).alias("found"))
+    rows = labelled(table(spark, folder, "labels").join(docs, "doc_id", "left"), "found", "doc_id").drop("found")
     cells = F.explode(F.sequence(F.lit(0), F.lit(MODELS - 1)))
     rows = rows.withColumn("m", cells).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(conditions - 1))))
     for name, expression in steps:
