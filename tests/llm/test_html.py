@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 import numpy as np
 
@@ -58,3 +60,31 @@ def test_held_out_layouts_and_query(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert h.query(spark, str(tmp_path)).count() == 0
+
+
+def test_long_and_broken_pages_take_linear_time():
+    n = 40_000
+    assert text_of('<a ">"' * n) and text_of("<a" * n) is not None
+    assert text_of("<div>" * n + "x" + "</b>" * n) == ["x"]
+    assert text_of("<p>" + "word " * n + "</p>") == [("word " * n).strip()]
+
+
+def test_known_unclosed_tags_change_nothing(monkeypatch):
+    r = random.Random(5)
+    pages = ["".join(r.choice(["<a ", "<p", ">", '"', "'", " x", "/", "</p>", "<", "=", "<b y='", '<i z="', "w"]) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    got = [text_of(p) for p in pages]
+    monkeypatch.setattr(h, "OPEN", re.compile("(?!)"))
+    assert got == [text_of(p) for p in pages]
+
+
+def test_the_sample_is_bounded(spark):
+    marked = "<article><p>{} One two, three.</p></article><footer>x</footer>"
+    pages = [(None, None, marked.format("same"))] * 500 + [(None, None, marked.format(i)) for i in range(500)]
+    seen = []
+    real, h.labelled = h.labelled, lambda x: seen.append(x) or real(x)
+    try:
+        h.train(spark.createDataFrame(pages, "page_id long, url string, html string"), sample=20)
+    finally:
+        h.labelled = real
+    table = [x for x in seen if "One two, three." in x]
+    assert len(table) == len(set(table)) == 20

@@ -3,8 +3,8 @@
 A page is cut at block-level tags; each block knows its ancestor tags, words of its ancestors' class, id and role, the share of its text
 in links, and simple facts of its text. The field labels the blocks in page order as article or rest; it is trained by
 gradient ascent on labelled pages and decoded by the Viterbi algorithm. Labelled pages are those of the table whose
-markup says where the article is (article, main, role=main, itemprop=articleBody), at most about SAMPLE by a hash of the
-url and none over LONGEST characters, and pages made from the layouts below. Each is seen twice, once without what the
+markup says where the article is (article, main, role=main, itemprop=articleBody), out of the SAMPLE distinct ones with the
+least hash of their html among those of up to LONGEST characters, and pages made from the layouts below. Each is seen twice, once without what the
 label was read from, so that pages without such markup are labelled too.
 
 White space is Unicode white space. A null, empty or textless page has an empty text. Every row gives a row; nulls in
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,10 @@ FEATURES = [*(f"in:{t}" for t in INSIDE), *(f"hint:{h}" for h in HINTS), *(f"own
 AT = {f: i for i, f in enumerate(FEATURES)}
 GIVEN = [AT["in:article"], AT["in:main"], AT["hint:body"]]
 BITS = {f: 1 << i for f, i in AT.items()}
-TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
+TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
+TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: What follows a tag that nothing closes: other starts of tags that the same end leaves unclosed, and what is no such start.
+OPEN = re.compile(r"""(<)(?=/?[a-zA-Z][^\s/>"']*+(?:[\s/]|\Z))|[^"'<>]++|<|"[^"]*"|'[^']*'""")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 DATE = re.compile(r"\b(?:19|20)\d\d\b")
@@ -84,6 +88,8 @@ def _hints(attributes: str) -> tuple[int, bool]:
 def parse(page: str) -> Parsed:
     out = Parsed()
     stack: list[tuple[str, int, bool]] = [("body", 0, False)]
+    held: Counter[str] = Counter()  # tags on the stack
+    unclosed: set[int] = set()  # where tags start that are known to be unclosed
     buffer: list[str] = []
     linked, links, seen_h1, pos, size = 0, 0, False, 0, len(page)
     lower = None
@@ -108,9 +114,12 @@ def parse(page: str) -> Parsed:
     def close(names: set[str], stop: frozenset[str] | set[str]) -> None:
         """Pop to the nearest of names unless something of stop is nearer."""
         nonlocal links
+        if not any(held[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 links -= sum(x[0] == "a" for x in stack[k:])
+                held.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in stop:
@@ -135,9 +144,15 @@ def parse(page: str) -> Parsed:
             end = page.find(">", at)
             pos = size if end < 0 else end + 1
             continue
-        m = TAG.match(page, at + 1)
+        m = None if at in unclosed else TAG.match(page, at + 1)
         if not m:
             if at + 1 < size and (page[at + 1].isalpha() or page[at + 1] == "/"):
+                if at not in unclosed and TAG_NAME.match(page, at + 1):
+                    i = TAG_NAME.match(page, at + 1).end()
+                    while t := OPEN.match(page, i):
+                        if t[1]:
+                            unclosed.add(t.start())
+                        i = t.end()
                 end = page.find(">", at)
                 pos = size if end < 0 else end + 1
             else:
@@ -178,6 +193,7 @@ def parse(page: str) -> Parsed:
             bits |= BITS["in:" + tag]
         out.marked |= article
         stack.append((tag, stack[-1][1] | bits, (stack[-1][2] or article)))
+        held[tag] += 1
         links += tag == "a"
         seen_h1 |= tag == "h1"
     flush()
@@ -302,11 +318,14 @@ class Field:
         return np.array(out[::-1])
 
 
-def train(pages: DataFrame, page: str = "html", url: str = "url", sample: int = SAMPLE, longest: int = LONGEST) -> Field:
+def train(pages: DataFrame, page: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> Field:
+    """A field trained on at most `sample` pages. Equal pages are drawn together and count once, so neither nulls in other
+    columns nor repeated rows make the draw larger; the rows of the draw are cut at `sample` before they reach the driver."""
     total = pages.count()
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(url).cast("string")), 11) / F.lit(float(2**53))
-    drawn = pages.where(F.length(page) <= longest).where(draw < min(1.0, sample / max(1, total))).select(page).toLocalIterator()
-    known = [got for r in drawn if (got := labelled(r[0])) is not None]
+    drawn = pages.where(F.length(page) <= longest).select(F.xxhash64(page).alias("mark"), F.col(page).alias("page"))
+    draw = F.shiftrightunsigned("mark", 11) / F.lit(float(2**53))
+    few = drawn.where(draw < min(1.0, 8 * sample / max(1, total))).groupBy("mark").agg(F.min("page").alias("page"))
+    known = [got for r in few.orderBy(F.shiftrightunsigned("mark", 11), "mark").limit(sample).collect() if (got := labelled(r["page"])) is not None]
     field = Field()
     field.train(known + [got for x in layouts() if (got := labelled(x)) is not None])
     return field
