@@ -28,7 +28,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 KINDS = ("email", "ip", "card", "phone", "context")
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-#: So many code points before an occurrence are read for its patterns.
+#: So many code points before an occurrence are read for its patterns where they hold two whole words, else all of them.
 BEFORE = 96
 #: What earlier matches and tokens are in a pattern.
 HOLE = "\x01"
@@ -37,6 +37,8 @@ CONFIDENT = 0.6
 FOUND = 0.7
 SUPPORT = 3
 SHRINK = 2.0
+#: Scores are rounded, so that the order in which they are added up does not matter.
+DIGITS = 9
 
 
 def digits(value: Column) -> Column:
@@ -61,10 +63,16 @@ def card_like(value: Column) -> Column:
 
 
 def before(gaps: Column, matches: Column) -> Column:
-    """For each match the text before it; the two matches before are holes, and a text starts with a line break."""
-    tail = lambda i: F.right(F.get(gaps, i), F.lit(BEFORE))
+    """For each match the text before it, two whole words at least if there are as many; the two matches before are holes,
+    and a text starts with a line break."""
+
+    def tail(i: Column) -> Column:
+        whole = F.get(gaps, i)
+        near = F.right(whole, F.lit(BEFORE))
+        return F.when((F.length(whole) <= BEFORE) | near.rlike(r"\s\S++\s++\S++\s*+\z"), near).otherwise(whole)
+
     upto = lambda i: F.when(i > 0, F.concat(F.when(i > 1, F.lit(HOLE)).otherwise(F.lit("\n")), tail(i - 1), F.lit(HOLE))).otherwise(F.lit("\n"))
-    return F.transform(matches, lambda _, i: F.right(F.concat(upto(i), tail(i)), F.lit(BEFORE)))
+    return F.transform(matches, lambda _, i: F.concat(upto(i), tail(i)))
 
 
 def patterns(context: Column) -> Column:
@@ -118,12 +126,12 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scores = graph.groupBy("instance").agg(F.max("seed").alias("score"))
     patterns = None
     for _ in range(rounds):
-        by = graph.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence"), F.sum("seed").alias("support"))
+        by = graph.join(scores, "instance").groupBy("pattern").agg(F.round(F.sum("score") / (F.count("*") + SHRINK), DIGITS).alias("confidence"), F.sum("seed").alias("support"))
         patterns = common.written(by.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)), "patterns")
         missed = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
         lifted = graph.join(patterns, "pattern").groupBy("instance").agg((1 - missed).alias("lifted"))
         own = graph.groupBy("instance").agg(F.max("seed").alias("seed")).join(lifted, "instance", "left")
-        scores = common.written(own.select("instance", F.greatest("seed", F.coalesce("lifted", F.lit(0.0))).alias("score")), "scores")
+        scores = common.written(own.select("instance", F.round(F.greatest("seed", F.coalesce("lifted", F.lit(0.0))), DIGITS).alias("score")), "scores")
     good = laid.where(~F.col("seed")).join(patterns.select("pattern"), "pattern").join(scores.where(F.col("score") >= FOUND).select("instance"), "instance")
     span = F.struct(F.col("start"), F.lit(4).alias("kind_no"), F.col("end"), F.lit("context").alias("kind"))
     return good.groupBy("id", "mark").agg(F.collect_set(span).alias("more"))
