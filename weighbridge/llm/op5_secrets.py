@@ -12,6 +12,8 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
-WEAK_ID = r"""(?i)\b(?:access[_-]?key[_-]?id|client[_-]?id|account(?:[_-]?id)?|user(?:name|[_-]?id)?|login)["']?\x20?[:=]\x20?["']?[A-Za-z0-9@._-]{3,}+"""
-WEAK_SECRET = r"""(?i)\b(?:(?:access|private|signing|auth|shared)[_-]?key|pwd|pass(?:phrase)?|credential|signature|auth)["']?\x20?[:=]\x20?["']?[A-Za-z0-9+/_.=~!@#$%^&*-]{6,}+"""
-ENDPOINT = r"""(?i)\b(?:(?:https?|ftp|s3|postgres(?:ql)?|mysql|redis|amqp)://[^\s"'<>]{3,}+|(?:endpoint|hostname|host|server|base[_-]?url)["']?\x20?[:=]\x20?["']?[A-Za-z0-9._:/-]{4,}+)"""
+WEAK_ID = r"""(?i)(?<![A-Za-z0-9_])(?:access[_-]?key[_-]?id|client[_-]?id|account(?:[_-]?id)?|user(?:name|[_-]?id)?|login)["']?\x20?[:=]\x20?["']?[A-Za-z0-9@._-]{3,}+"""
+WEAK_SECRET = r"""(?i)(?<![A-Za-z0-9_])(?:(?:access|private|signing|auth|shared)[_-]?key|pwd|pass(?:phrase)?|credential|signature|auth)["']?\x20?[:=]\x20?["']?[A-Za-z0-9+/_.=~!@#$%^&*-]{6,}+"""
+ENDPOINT = r"""(?i)(?<![A-Za-z0-9_])(?:(?:https?|ftp|s3|postgres(?:ql)?|mysql|redis|amqp)://[^\s"'<>]{3,}+|(?:endpoint|hostname|host|server|base[_-]?url)["']?\x20?[:=]\x20?["']?[A-Za-z0-9._:/-]{4,}+)"""
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 SCOPE = 300
 
@@ -72,3 +74,32 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = [spans.how_many(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]]
     return out.select("doc_id", *n, F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(F.col("spans")).alias("spans"))
+
+
+def _sql_pattern(pattern: str) -> str:
+    """A pattern as an SQL literal for an engine without possessive runs and looks behind, with the same matches: a part
+    starts with a letter, and a word's edge is one of ASCII letters there."""
+    return "'" + re.sub(r"(?<=[\]}])(\+?)\+", r"\1", pattern).replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''") + "'"
+
+
+_PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT), strict=True))
+_FOUND = " UNION ALL ".join(f"SELECT r, {n} AS no, '{k}' AS kind, '{ROLE[k]}' AS role, regexp_extract_all(t, {_sql_pattern(p)}) AS ms, string_split_regex(t, {_sql_pattern(p)}) AS gs FROM d" for n, (k, p) in enumerate(_PATTERNS.items()))
+#: Every pair of parts of a document is looked at.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_FOUND}),
+u AS (SELECT r, no, kind, role, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v, unnest(gs[1:len(ms)]) AS g FROM m WHERE len(ms) > 0),
+p AS (SELECT *, sum(length(g) + length(v)) OVER (PARTITION BY r, no ORDER BY i)::BIGINT AS e FROM u),
+s AS MATERIALIZED (SELECT r, no, kind, role, e - length(v) AS a, e FROM p WHERE no <> 0 OR length(regexp_extract(v, {_sql_pattern(ASSIGN)}, 2)) >= 6),
+near AS (SELECT w.r, w.no, w.kind, w.a, w.e, bool_or(o.role = 'id') AS i, bool_or(o.role = 'secret') AS k, bool_or(o.role = 'endpoint') AS h
+         FROM s w JOIN s o ON w.r = o.r AND w.role <> o.role AND greatest(w.a, o.a) - least(w.e, o.e) <= {SCOPE}
+         WHERE w.no >= 3 GROUP BY ALL),
+kept AS (SELECT r, no, kind, a, e FROM s WHERE no < 3 UNION ALL
+         SELECT r, no, kind, a, e FROM near WHERE CASE kind WHEN 'weak_id' THEN k WHEN 'weak_secret' THEN i OR h ELSE i AND k END),
+l AS (SELECT r, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no, e) FILTER (no < 3) AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no, e) AS spans
+      FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN l USING (r)
+"""

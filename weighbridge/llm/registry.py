@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": op2_mix.SQL,
     "op3_minhash_neardup": op3_neardup.SQL,
+    "op5_secret_scan": op5_secrets.SQL,
     "op7_quality_rules": op7_quality.SQL,
 }
