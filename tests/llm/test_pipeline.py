@@ -41,3 +41,16 @@ def test_quality_stage_removes_lines(spark):
     docs = spark.createDataFrame([(i, f"{line}\n{prose(i)}", "en", "src0", 0) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in corpus_pipeline.quality(spark, docs, "").collect()}
     assert got[0].text == f"{line}\n{prose(0)}" and all(got[i].text == prose(i) and got[i].n_chars == len(prose(i)) for i in range(1, 50))
+
+
+def test_columns_that_clash(spark):
+    """Columns that are called like any name the stages use come back as they were."""
+    extra = ["_size", "_draw", "_source", "_copy", "_copies", "_target", "_i", "_h", "_m", "_s", "_r", "_k", "_c", "mark", "id", "host", "c0", "C1", "a.b", "n"]
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(*(f"{c}{i}" for c in extra), prose(i) + " me@x.org", "src0", i, 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in extra) + ", text string, source string, doc_id long, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert r[: len(extra)] == rows[r.doc_id][: len(extra)] and r.source == "src0", name

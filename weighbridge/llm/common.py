@@ -66,6 +66,13 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named by their place, so that none clashes with a name of ours, and what some are called then.
+    A name that docs does not have stays."""
+    at = {c.lower(): f"c{n}" for n, c in enumerate(docs.columns)}
+    return docs.toDF(*(f"c{n}" for n in range(len(docs.columns)))), [at.get(n.lower(), n) for n in names]
+
+
 def released() -> None:
     """Give freed memory back to the system: workers are reused, and the next step may need it elsewhere."""
     pa.default_memory_pool().release_unused()

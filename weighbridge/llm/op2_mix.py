@@ -3,7 +3,8 @@
 Sizes are summed by source before anything is shuffled, so a source with a third of all rows is one row a task. The
 sources share `share` times all sizes by weight; a target stops at `cap` times its source's size and the excess goes to
 the others by weight until none is above. In sorted order of cap over weight that has a closed form: the first k
-sources are full, the others get one common level times their weight. A document is taken floor(rate) times, and once
+sources are full, the others get one common level times their weight. That order is one task's, over a row of two numbers a source: good for
+some millions of sources, whatever the documents. A document is taken floor(rate) times, and once
 more if a draw seeded by its id and text falls under the fraction; so reruns agree, and equal rows share a draw.
 
 A null text has size 0 and is taken like any other. A null source is a source of its own, last in order. Sources of
@@ -59,9 +60,10 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns are those of docs."""
-    taken = copies(docs, text, source, key, **how).where(F.col("_copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, each as often as the mix takes it; the columns are those of docs, whatever they are called."""
+    plain, (text, source, key) = common.apart(docs, text, source, key)
+    taken = copies(plain, text, source, key, **how).where(F.col("_copies") > 0)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

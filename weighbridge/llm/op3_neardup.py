@@ -401,14 +401,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, per_cent: int = PER_CENT) -> DataFrame:
     """docs with one row of each group of near-duplicates, that with the smallest id; of equal rows one. A row with a null
     id stays. The columns are those of docs."""
+    names = docs.columns
+    docs, (key, text) = common.apart(docs, key, text)
     found = near_duplicates(docs, key, text, width, per_cent)
     found = common.written(found, "found")
     dropped = common.small(common.written(found.where(~F.col("kept")).select(key).distinct(), "dropped"), 16)
     out = docs.join(dropped, key, "left_anti").select(docs.columns)
     again = common.written(found.where("kept").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key).dropna(), "repeated")
     if again.isEmpty():
-        return out
-    return out.join(again, key, "left_anti").select(docs.columns).unionByName(out.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text]))
+        return out.toDF(*names)
+    return out.join(again, key, "left_anti").select(docs.columns).unionByName(out.join(again, key, "left_semi").select(docs.columns).dropDuplicates([key, text])).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

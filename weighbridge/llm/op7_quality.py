@@ -115,15 +115,19 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def reject(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **how) -> DataFrame:
     """docs without the rows that are not kept; the columns are those of docs."""
+    names = docs.columns
+    docs, (key, text, host) = common.apart(docs, key, text, host)
     out = judge(docs, key, text, host, **how).where(~F.col("kept")).select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m")).distinct()
     out = common.small(common.written(out, "rejected"), 128)
     same = docs[key].eqNullSafe(F.col("_i")) & docs[host].cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m"))
-    return docs.join(out, same, "left_anti")
+    return docs.join(out, same, "left_anti").toDF(*names)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", count: str = "n_chars", **how) -> DataFrame:
     """The rows of docs that are kept, each text without the lines that its host has in too many documents; the columns are
     those of docs. count, where docs has it, is the length of the new text where lines were removed."""
+    given = docs.columns
+    docs, (key, text, host, count) = common.apart(docs, key, text, host, count)
     out = judge(docs, key, text, host, **how).where(~F.col("kept") | F.col("removed").isNotNull())
     out = out.select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m"), F.col("kept").alias("_k"), F.when(F.col("kept"), F.col("removed")).alias("_r"))
     out = common.written(out.dropDuplicates(["_i", "_h", "_m"]), "cleaned")
@@ -137,7 +141,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     out = joined.select(*(docs[c] for c in names if c != text), new.alias(text), F.col("_r").isNotNull().alias("_c"))
     if count in names:
         out = out.withColumn(count, F.when(F.col("_c"), F.length(text).cast(docs.schema[count].dataType)).otherwise(F.col(count)))
-    return out.select(*names)
+    return out.select(*names).toDF(*given)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

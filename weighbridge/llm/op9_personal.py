@@ -151,6 +151,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans by the first's.
     count, where docs has it, is the length of the new text; a null text stays null."""
+    given = docs.columns
+    docs, (key, text, count) = common.apart(docs, key, text, count)
     found = find(docs, key, text).where(F.size("spans") > 0).dropDuplicates([key, "mark"])
     found = found.select(F.col(key).alias("_i"), F.col("mark").alias("_m"), F.col("spans").alias("_s"))
     empty = F.struct(F.lit(0).cast("long").alias("end"), F.expr("cast(array() as array<struct<start: bigint, kind_no: int, end: bigint, kind: string>>)").alias("out"))
@@ -173,7 +175,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str
     out = joined.select(*(docs[c] for c in names if c not in (text, count)), new.alias(text))
     if count in names:
         out = out.withColumn(count, F.coalesce(F.length(text).cast(docs.schema[count].dataType), F.lit(0).cast(docs.schema[count].dataType)))
-    return out.select(*names)
+    return out.select(*names).toDF(*given)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
