@@ -131,9 +131,9 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     out = judge(docs, key, text, host, **how).where(~F.col("kept") | F.col("removed").isNotNull())
     out = out.select(F.col(key).alias("_i"), F.col("host").alias("_h"), F.col("mark").alias("_m"), F.col("kept").alias("_k"), F.when(F.col("kept"), F.col("removed")).alias("_r"))
     out = common.written(out.dropDuplicates(["_i", "_h", "_m"]), "cleaned")
-    longest = out.agg(F.coalesce(F.max(F.size("_r")), F.lit(0))).first()[0]
     same = docs[key].eqNullSafe(F.col("_i")) & docs[host].cast("string").eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_m"))
-    joined = docs.join(common.small(out, 8 * max(0, longest) + 128), same, "left").where(F.coalesce(F.col("_k"), F.lit(True)))
+    # rows to be changed are a share of all rows, so they are joined as at size everywhere: by a shuffle that can spill
+    joined = docs.join(out.hint("merge"), same, "left").where(F.coalesce(F.col("_k"), F.lit(True)))
     normal = lambda line: F.translate(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), UPPER, LOWER)
     left = F.filter(F.split(docs[text], "\n", -1), lambda line: ~F.array_contains(F.col("_r"), F.xxhash64(normal(line))))
     new = F.when(F.col("_r").isNull(), docs[text]).otherwise(F.array_join(left, "\n"))
