@@ -113,11 +113,11 @@ READ = {"strict": contracts.strict_answer, "legacy": contracts.legacy_answer, "p
 
 
 def walked_by(spark, sf, *policies: str) -> DataFrame:
-    """One walk of all cases under each policy: policy, case, status, action, calls."""
+    """One walk of all cases under each policy: policy, case, status, action, calls, visited, branches."""
     answers = F.array(*(F.struct(F.lit(p).alias("policy"), READ[p](F.col("raw")).alias("answer")) for p in policies))
     laid = said(spark, sf).select("case", "question", F.inline(answers))
     out = traversal.walk(spark, MACHINE, "s1", laid.select(F.struct("policy", "case").alias("case"), "question", "answer"))
-    return out.select(F.col("case")["policy"].alias("policy"), F.col("case")["case"].alias("case"), "status", contracts.terminal_label(F.col("action")).alias("action"), "calls")
+    return out.select(F.col("case")["policy"].alias("policy"), F.col("case")["case"].alias("case"), "status", contracts.terminal_label(F.col("action")).alias("action"), "calls", "visited", "branches")
 
 
 def walked(spark, sf, policy: str) -> DataFrame:
