@@ -45,6 +45,12 @@ def test_interval_rules(spark):
     assert tuple(got.i) == (1.0, 40.0) and tuple(got.o) == (2.0, 39.0)
 
 
+def test_linear_interval(spark):
+    rows = spark.createDataFrame([("a", 0.207145445)] * 9 + [("b", float(i)) for i in range(41)] + [("c", None)], "k string, v double")
+    got = {r.k: (r.i.low, r.i.high) for r in rows.groupBy("k").agg(paired.interval_linear(F.collect_list("v")).alias("i")).collect()}
+    assert got == {"a": (0.207145445, 0.207145445), "b": (1.0, 39.0), "c": (None, None)}
+
+
 def test_bootstrap_equals_rematerialised_rows(spark):
     r = random.Random(1)
     rows = [(f"s{i % 7}", r.random() < 0.6) for i in range(60)]
@@ -52,7 +58,7 @@ def test_bootstrap_equals_rematerialised_rows(spark):
     drawn = paired.weights(df.select("cluster").distinct(), "cluster", 15)
     sums = df.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
     got = {x.replicate: (x.n, x.k) for x in paired.replicate_sums(sums, drawn, ["cluster"], [], ["n", "k"]).collect()}
-    ids = sorted({c for c, _ in rows})
+    ids = sorted({c for c, _ in rows}, key=lambda c: (hashlib.sha256(c.encode()).hexdigest()[:3], c))
     for rep in range(15):
         sample = [ids[int(hashlib.sha256(f"{rep}|{slot}".encode()).hexdigest()[:8], 16) % len(ids)] for slot in range(len(ids))]
         again = [ok for c in sample for d, ok in rows if d == c]

@@ -56,11 +56,11 @@ def shares(rows: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
 
 def rates_by_reference(rows: DataFrame, keys: Sequence[str], part: str, reference: str) -> DataFrame:
     """For each part: its count, its rate over all rows and its mean rate over reference strata, absent ones as 0."""
-    by = rows.groupBy(*keys, reference, part).agg(F.count("*").alias("n"))
-    strata = by.groupBy(*keys, reference).agg(F.sum("n").alias("d"))
-    grid = by.select(*keys, part).distinct().join(strata, list(keys))
-    full = grid.join(by, [*keys, reference, part], "left").na.fill(0, ["n"])
-    return full.groupBy(*keys, part).agg(F.sum("n").alias("n"), (F.sum("n") / F.sum("d")).alias("micro"), F.round(F.avg(F.col("n") / F.col("d")), 9).alias("macro"))
+    cells = rows.groupBy(*keys, reference, part).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    cells = cells.withColumns({"d": F.sum("n").over(Window.partitionBy(*keys, reference)), "total": F.sum("n").over(group), "strata": F.size(F.collect_set(F.struct(reference)).over(group))})
+    macro = F.round(F.sum(F.col("n") / F.col("d")) / F.max("strata"), 9)
+    return cells.groupBy(*keys, part).agg(F.sum("n").alias("n"), (F.sum("n") / F.max("total")).alias("micro"), macro.alias("macro"))
 
 
 def domain_weights(requests: DataFrame) -> DataFrame:

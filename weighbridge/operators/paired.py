@@ -45,9 +45,14 @@ def holm(rows: DataFrame, p: str, tie: Sequence[str], family: Sequence[str] = ()
 
 def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence[str] = ()) -> DataFrame:
     """clusters(strata, cluster), one row each, to (replicate, strata, cluster, w): how often each replicate draws a cluster.
-    A slot draws by a hash of replicate and slot, so any engine draws alike; only weights over 0 are kept."""
-    within = Window.partitionBy(*strata)
-    numbered = clusters.select(*strata, cluster, (F.row_number().over(within.orderBy(cluster)) - 1).cast("long").alias("at"), F.count("*").over(within).alias("size"))
+    A slot draws by a hash of replicate and slot, so any engine draws alike; only weights over 0 are kept. Clusters are
+    numbered by the first three digits of their digest, then by themselves: a task sorts one of 4,096 buckets, never all."""
+    dealt = clusters.select(*strata, cluster, F.coalesce(F.substring(F.sha2(F.col(cluster).cast("string"), 256), 1, 3), F.lit("")).alias("bucket"))
+    whole = Window.partitionBy(*strata)  # over the sizes of buckets only
+    held = dealt.groupBy(*strata, "bucket").agg(F.count("*").alias("held"))
+    before = held.select(*strata, "bucket", (F.sum("held").over(whole.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("size"))
+    place = dealt.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "bucket").orderBy(cluster)))
+    numbered = place.join(before, [*strata, "bucket"]).select(*strata, cluster, (F.col("before") + F.col("place") - 1).cast("long").alias("at"), "size")
     slots = numbered.select(*strata, F.col("at").alias("slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     mark = F.concat_ws("|", F.col("replicate").cast("string"), *strata, F.col("slot").cast("string"))
     drawn = slots.withColumn("at", F.conv(F.substring(F.sha2(mark, 256), 1, 8), 16, 10).cast("long") % F.col("size"))
@@ -71,6 +76,25 @@ def interval_by_index(values: Column, low: float = 0.025, style: str = "inner")
     return F.struct(F.element_at(s, (a + 1).cast("int")).alias("low"), F.element_at(s, (b + 1).cast("int")).alias("high"))
 
 
+def interval_linear(values: Column, low: float = 0.025) -> Column:
+    """(low, high) quantiles of a list, interpolated as a + (b - a) * share, so that between equal neighbours they are exactly
+    these; null for an empty list."""
+    s, n = F.array_sort(values), F.size(values)
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (n - 1)
+        a, b = F.element_at(s, (F.floor(place) + 1).cast("int")), F.element_at(s, (F.ceil(place) + 1).cast("int"))
+        return F.when(n > 0, a + (b - a) * (place - F.floor(place)))
+
+    return F.struct(at(low).alias("low"), at(1 - low).alias("high"))
+
+
+def scaled_round(value: Column, digits: int = 8) -> Column:
+    """Rounds a double by its scaled value, halves away from 0, as SQL engines do that do not go through its decimal digits:
+    interpolated quantiles of rounded values lie on halves often enough for the two to differ."""
+    return F.signum(value) * F.floor(F.abs(value) * 10.0**digits + 0.5) / 10.0**digits
+
+
 def midranks(rows: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Adds midrank: rank by descending score, ties share the mean of their places."""
     order, same = Window.partitionBy(*keys).orderBy(F.desc(score)), Window.partitionBy(*keys, score)

@@ -24,22 +24,26 @@ def scored(spark, sf: str) -> DataFrame:
     return tables.score_notes(tables.note_panel(spark, sf))
 
 
-def heads(rows: DataFrame) -> DataFrame:
-    """One row a head that counts: the lower heads only below a reference of yes."""
+def heads(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row a head that counts: the lower heads only below a reference of yes; keep are further columns of rows."""
     each = [F.struct(F.lit(h).alias("head"), F.col(h).alias("g"), F.col(f"p_{h}").alias("p"), F.lit(h == "detection").alias("always")) for h in LABELS]
-    return rows.select(*CELL, "request_id", "detection", F.inline(F.array(*each))).where(F.col("always") | (F.col("detection") == "yes"))
+    return rows.select(*CELL, *keep, "request_id", "detection", F.inline(F.array(*each))).where(F.col("always") | (F.col("detection") == "yes"))
 
 
-def labels(spark) -> DataFrame:
-    return spark.createDataFrame([(h, x) for h, xs in LABELS.items() for x in xs], "head string, label string")
+def labels(spark, of=LABELS) -> DataFrame:
+    return spark.createDataFrame([(h, x) for h, xs in of.items() for x in xs], "head string, label string")
 
 
 def per_class(spark, rows: DataFrame) -> DataFrame:
     """Counts for each head and each of its labels, labels that never occur included."""
-    cells = rows.groupBy(*CELL, "head", "g", "p").agg(F.count("*").alias("n"))
-    grid = cells.join(F.broadcast(labels(spark)), "head")
+    return class_rates(rows.groupBy(*CELL, "head", "g", "p").agg(F.count("*").alias("n")), labels(spark), CELL)
+
+
+def class_rates(cells: DataFrame, of: DataFrame, keys) -> DataFrame:
+    """Cells (keys, head, g, p, n) to support, predicted, tp and rates of each label of each head."""
+    grid = cells.join(F.broadcast(of), "head")
     n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).alias
-    out = grid.groupBy(*CELL, "head", "label").agg(n(F.col("g") == F.col("label"))("support"), n(F.col("p") == F.col("label"))("predicted"), n((F.col("g") == F.col("label")) & (F.col("p") == F.col("label")))("tp"))
+    out = grid.groupBy(*keys, "head", "label").agg(n(F.col("g") == F.col("label"))("support"), n(F.col("p") == F.col("label"))("predicted"), n((F.col("g") == F.col("label")) & (F.col("p") == F.col("label")))("tp"))
     out = out.withColumns({"precision": metrics.ratio(F.col("tp"), F.col("predicted")), "recall": metrics.ratio(F.col("tp"), F.col("support"))})
     return out.withColumn("f1", metrics.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 

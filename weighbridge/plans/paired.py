@@ -9,7 +9,8 @@ from weighbridge.operators import paired
 from weighbridge.plans import notes, oracle, responses
 from weighbridge.plans.registry import query
 
-REPLICATES = 40
+#: Replicates of the contract analyses.
+REPLICATES = 10_000
 PAIRS = f"{oracle.SCORED}, q AS (SELECT a.condition, a.model AS arm_a, b.model AS arm_b, count(*) FILTER (a.state_correct AND NOT b.state_correct) AS a_only, count(*) FILTER (NOT a.state_correct AND b.state_correct) AS b_only, count(*) FILTER (a.state_correct AND b.state_correct) AS both, count(*) AS n FROM s a JOIN s b ON a.request_id = b.request_id AND a.condition = b.condition AND a.model < b.model GROUP BY ALL)"
 EXACT = "CASE WHEN a_only + b_only > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1), lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2.0))))) END"
 
@@ -34,7 +35,7 @@ def holm_adjusted(spark, sf):
     return paired.holm(rows, "p", ["arm_a", "arm_b"], ["condition"]).withColumn("adjusted", F.round("adjusted", 7))
 
 
-DRAW = f"""cl AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT case_id FROM s)),
+DRAW = f"""cl AS (SELECT case_id, row_number() OVER (ORDER BY substr(sha256(case_id::VARCHAR), 1, 3), case_id) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT case_id FROM s)),
  dr AS (SELECT r, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)),
  w AS (SELECT r AS replicate, case_id, count(*) AS w FROM dr JOIN cl ON cl.slot = dr.pick GROUP BY ALL),
  cs AS (SELECT case_id, model, condition, count(*) AS n, {responses.COUNTS} FROM s GROUP BY ALL),
@@ -83,8 +84,8 @@ def cluster_bootstrap_micro(spark, sf):
 
 @query("cluster_bootstrap_macro", f"{DIFF} SELECT condition, model_a, model_b, round(quantile_cont(macro, 0.025), 8) AS low, round(quantile_cont(macro, 0.975), 8) AS high, count(macro) AS used, count(*) - count(macro) AS excluded FROM df GROUP BY ALL")
 def cluster_bootstrap_macro(spark, sf):
-    p = F.percentile("macro", F.array(F.lit(0.025), F.lit(0.975)))
-    return differences(spark, sf).groupBy(*KEYS).agg(F.round(p[0], 8).alias("low"), F.round(p[1], 8).alias("high"), F.count("macro").alias("used"), (F.count("*") - F.count("macro")).alias("excluded"))
+    p = paired.interval_linear(F.collect_list("macro"))
+    return differences(spark, sf).groupBy(*KEYS).agg(paired.scaled_round(p["low"]).alias("low"), paired.scaled_round(p["high"]).alias("high"), F.count("macro").alias("used"), (F.count("*") - F.count("macro")).alias("excluded"))
 
 
 @query("interval_outer_index", f"{DIFF}, o AS (SELECT condition, model_a, model_b, list_sort(list(micro)) AS v FROM df GROUP BY ALL) SELECT condition, model_a, model_b, v[floor(0.025 * len(v))::INT + 1] AS low, v[least(len(v) - 1, ceil(0.975 * len(v)) - 1)::INT + 1] AS high FROM o")
@@ -102,11 +103,11 @@ def interval_inverted_cdf(spark, sf):
 def bootstrap_interaction(spark, sf):
     terms = spark.createDataFrame([("compact_constrained", 1), ("full_unconstrained", 1), ("compact_unconstrained", -1), ("full_constrained", -1)], "condition string, weight int")
     z = responses.metrics.linear(replicates(spark, sf), terms, "condition", ["replicate", "model"], "macro", "z")
-    p = F.percentile("z", F.array(F.lit(0.025), F.lit(0.975)))
-    return z.groupBy("model").agg(F.round(p[0], 8).alias("low"), F.round(p[1], 8).alias("high"))
+    p = paired.interval_linear(F.collect_list("z"))
+    return z.groupBy("model").agg(paired.scaled_round(p["low"]).alias("low"), paired.scaled_round(p["high"]).alias("high"))
 
 
-STRATA = f"""{oracle.SCORED}, cl AS (SELECT domain, request_id, row_number() OVER (PARTITION BY domain ORDER BY request_id) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS size FROM (SELECT DISTINCT domain, request_id FROM s)),
+STRATA = f"""{oracle.SCORED}, cl AS (SELECT domain, request_id, row_number() OVER (PARTITION BY domain ORDER BY substr(sha256(request_id::VARCHAR), 1, 3), request_id) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS size FROM (SELECT DISTINCT domain, request_id FROM s)),
  dr AS (SELECT r, domain, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, domain, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)),
  w AS (SELECT r AS replicate, cl.domain, request_id, count(*) AS w FROM dr JOIN cl ON cl.slot = dr.pick AND cl.domain = dr.domain GROUP BY ALL),
  d AS (SELECT replicate, model, s.domain, sum(w * state_correct::INT) / sum(w) AS acc FROM s JOIN w ON s.request_id = w.request_id AND s.domain = w.domain WHERE condition = 'full_constrained' GROUP BY ALL),
@@ -135,7 +136,7 @@ def bootstrap_midranks(spark, sf):
     return ranked.withColumn("top", top).groupBy("model").agg(F.avg("midrank").alias("mean_rank"), (F.count_if("top") / F.count("*")).alias("top_share"), F.expr("percentile_disc(0.5) within group (order by midrank)").alias("median_rank"))
 
 
-NOTE_BOOT = f"""{oracle.NOTES}, cl AS (SELECT subject_cluster, row_number() OVER (ORDER BY subject_cluster) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT subject_cluster FROM s)),
+NOTE_BOOT = f"""{oracle.NOTES}, cl AS (SELECT subject_cluster, row_number() OVER (ORDER BY substr(sha256(subject_cluster::VARCHAR), 1, 3), subject_cluster) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT subject_cluster FROM s)),
  dr AS (SELECT r, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)), w AS (SELECT r AS replicate, subject_cluster, count(*) AS w FROM dr JOIN cl ON cl.slot = dr.pick GROUP BY ALL),
  cs AS (SELECT subject_cluster, model, condition, count(*) AS n, count(*) FILTER (joint) AS ok FROM s GROUP BY ALL), rr AS (SELECT replicate, model, condition, round(sum(w * ok) / sum(w * n), 9) AS joint_rate FROM cs JOIN w USING (subject_cluster) GROUP BY ALL)"""
 
@@ -146,5 +147,5 @@ def subject_bootstrap_joint(spark, sf):
     by = rows.groupBy("subject_cluster", "model", "condition").agg(F.count("*").alias("n"), F.count_if("joint").alias("ok"))
     drawn = paired.weights(rows.select("subject_cluster").distinct(), "subject_cluster", REPLICATES)
     sums = paired.replicate_sums(by, drawn, ["subject_cluster"], ["model", "condition"], ["n", "ok"]).withColumn("r", F.round(F.col("ok") / F.col("n"), 9))
-    p = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
-    return sums.groupBy("model", "condition").agg(F.round(p[0], 8).alias("low"), F.round(p[1], 8).alias("high"), F.count("*").alias("replicates"))
+    p = paired.interval_linear(F.collect_list("r"))
+    return sums.groupBy("model", "condition").agg(paired.scaled_round(p["low"]).alias("low"), paired.scaled_round(p["high"]).alias("high"), F.count("*").alias("replicates"))

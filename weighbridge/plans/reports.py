@@ -174,33 +174,42 @@ def markdown(rows: DataFrame, digits: int = 3, most: int = 1000) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *shown])
 
 
-ENDPOINTS = f"""{notes.CLASSES.replace("k AS (", "k_unused AS (", 1).split(", k_unused AS")[0]}, cl AS (SELECT subject_cluster, row_number() OVER (ORDER BY subject_cluster) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT subject_cluster FROM s)),
- dr AS (SELECT r, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, 20) t(r)), w AS (SELECT r AS replicate, subject_cluster, count(*) AS w FROM dr JOIN cl ON cl.slot = dr.pick GROUP BY ALL),
- x AS (SELECT replicate, model, label, sum(w) FILTER (detection = label) AS support, sum(w) FILTER (p_detection = label) AS predicted, sum(w) FILTER (detection = label AND p_detection = label) AS tp FROM s JOIN w USING (subject_cluster), (VALUES ('yes'), ('no')) v(label) WHERE condition = 'constrained' GROUP BY ALL),
- y AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall FROM x), z AS (SELECT replicate, model, avg(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)) AS f1 FROM y GROUP BY ALL),
- o AS (SELECT a.model AS model_a, b.model AS model_b, list_sort(list(round(b.f1 - a.f1, 8))) AS v FROM z a JOIN z b ON a.replicate = b.replicate AND a.model < b.model GROUP BY ALL)
- SELECT model_a, model_b, v[floor(0.025 * len(v))::INT + 1] AS low, v[least(len(v) - 1, ceil(0.975 * len(v)) - 1)::INT + 1] AS high FROM o"""
-
-
-@query("endpoint_bootstrap", ENDPOINTS)
+#: Replicates of the endpoint report.
+REPLICATES = 2_000
+#: Each endpoint: the column that is averaged over the labels of a head. Joint agreement is the recall of its one label.
+MEANS = {"detection_macro_f1": ("f1", "detection"), "detection_balanced_accuracy": ("recall", "detection"), "encounter_macro_f1": ("f1", "encounter"), "negation_macro_f1": ("f1", "negation"), "joint_exact_match": ("recall", "joint")}
+ENDPOINTS = f"""{oracle.NOTES}, c AS (SELECT * FROM s WHERE condition = 'constrained'), hx AS (SELECT subject_cluster, model, 'detection' AS head, detection AS g, p_detection AS p FROM c UNION ALL SELECT subject_cluster, model, 'encounter', encounter, p_encounter FROM c WHERE detection = 'yes'
+ UNION ALL SELECT subject_cluster, model, 'negation', negation, p_negation FROM c WHERE detection = 'yes' UNION ALL SELECT subject_cluster, model, 'joint', 'yes', CASE WHEN joint THEN 'yes' ELSE 'no' END FROM c),
+ cx AS (SELECT subject_cluster, model, head, g, p, count(*) AS n FROM hx GROUP BY ALL), {notes.LABEL_ROWS[:-1]}, ('joint', 'yes')),
+ cl AS (SELECT subject_cluster, row_number() OVER (ORDER BY substr(sha256(subject_cluster::VARCHAR), 1, 3), subject_cluster) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT subject_cluster FROM c)),
+ dr AS (SELECT r, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)), w AS (SELECT r AS replicate, subject_cluster, count(*) AS w FROM dr JOIN cl ON cl.slot = dr.pick GROUP BY ALL),
+ x AS (SELECT replicate, model, head, label, coalesce(sum(w * n) FILTER (g = label), 0) AS support, coalesce(sum(w * n) FILTER (p = label), 0) AS predicted, coalesce(sum(w * n) FILTER (g = label AND p = label), 0) AS tp FROM cx JOIN w USING (subject_cluster) JOIN lb USING (head) GROUP BY ALL),
+ y AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall FROM x), f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM y),
+ e AS (SELECT replicate, model, {", ".join(f"coalesce(avg({c}) FILTER (head = '{h}'), 0) AS {name}" for name, (c, h) in MEANS.items())} FROM f GROUP BY ALL), u AS (SELECT * FROM e UNPIVOT (v FOR endpoint IN ({", ".join(MEANS)}))),
+ o AS (SELECT a.model AS model_a, b.model AS model_b, a.endpoint, list_sort(list(round(b.v - a.v, 8))) AS d FROM u a JOIN u b ON a.replicate = b.replicate AND a.endpoint = b.endpoint AND a.model < b.model GROUP BY ALL),
+ b AS (SELECT model_a, model_b, endpoint, d[floor(0.025 * len(d))::INT + 1] AS low, d[least(len(d) - 1, ceil(0.975 * len(d)) - 1)::INT + 1] AS high FROM o)"""
+
+
+@query("endpoint_bootstrap", f"{ENDPOINTS} SELECT * FROM b")
 def endpoint_bootstrap(spark, sf):
-    """Interval of the difference in macro F1 of the first head: weights meet confusion counts of subjects, not rows."""
+    """Intervals of the differences in all five endpoints: weights meet confusion counts of subjects, not rows. A head that a
+    replicate has no row for counts as 0."""
     rows = notes.scored(spark, sf).where("condition = 'constrained'")
-    cells = rows.groupBy("subject_cluster", "model", F.col("detection").alias("g"), F.col("p_detection").alias("p")).agg(F.count("*").alias("n"))
-    drawn = paired.weights(rows.select("subject_cluster").distinct(), "subject_cluster", 20)
-    sums = paired.replicate_sums(cells, drawn, ["subject_cluster"], ["model", "g", "p"], ["n"])
-    each = sums.select("*", F.explode(F.array(F.lit("yes"), F.lit("no"))).alias("label"))
-    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    k = each.groupBy("replicate", "model", "label").agg(n(F.col("g") == F.col("label")).alias("support"), n(F.col("p") == F.col("label")).alias("predicted"), n((F.col("g") == F.col("label")) & (F.col("p") == F.col("label"))).alias("tp"))
-    precision, recall = responses.metrics.ratio(F.col("tp"), F.col("predicted")), responses.metrics.ratio(F.col("tp"), F.col("support"))
-    k = k.withColumns({"precision": precision, "recall": recall}).withColumn("f1", responses.metrics.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    z = k.groupBy("replicate", "model").agg(F.avg("f1").alias("f1"))
-    a, b = z.select("replicate", F.col("model").alias("model_a"), F.col("f1").alias("fa")), z.select("replicate", F.col("model").alias("model_b"), F.col("f1").alias("fb"))
-    diff = a.join(b, "replicate").where("model_a < model_b").withColumn("d", F.round(F.col("fb") - F.col("fa"), 8))
-    return diff.groupBy("model_a", "model_b").agg(paired.interval_by_index(F.collect_list("d"), style="outer").alias("i")).select("model_a", "model_b", "i.*")
-
-
-@query("interval_bounds", f"{ENDPOINTS.replace(' SELECT model_a, model_b, v[floor', ', b AS (SELECT model_a, model_b, v[floor')}) SELECT count(*) AS n, count(*) FILTER (low > high OR low < -1 OR high > 1) AS violations FROM b")
+    joint = rows.select("subject_cluster", "model", F.lit("joint").alias("head"), F.lit("yes").alias("g"), F.when(F.col("joint"), "yes").otherwise("no").alias("p"))
+    each = notes.heads(rows, "subject_cluster").select(*joint.columns).unionByName(joint)
+    cells = each.groupBy(*joint.columns).agg(F.count("*").alias("n"))
+    drawn = paired.weights(rows.select("subject_cluster").distinct(), "subject_cluster", REPLICATES)
+    sums = paired.replicate_sums(cells, drawn, ["subject_cluster"], ["model", "head", "g", "p"], ["n"])
+    k = notes.class_rates(sums, notes.labels(spark, notes.LABELS | {"joint": ("yes",)}), ["replicate", "model"])
+    means = [F.coalesce(F.avg(F.when(F.col("head") == h, F.col(c))), F.lit(0.0)).alias(name) for name, (c, h) in MEANS.items()]
+    z = k.groupBy("replicate", "model").agg(*means)
+    z = z.select("replicate", "model", F.inline(F.array(*(F.struct(F.lit(name).alias("endpoint"), F.col(name).alias("v")) for name in MEANS))))
+    a, b = z.select("replicate", "endpoint", F.col("model").alias("model_a"), F.col("v").alias("va")), z.select("replicate", "endpoint", F.col("model").alias("model_b"), F.col("v").alias("vb"))
+    diff = a.join(b, ["replicate", "endpoint"]).where("model_a < model_b").withColumn("d", F.round(F.col("vb") - F.col("va"), 8))
+    return diff.groupBy("model_a", "model_b", "endpoint").agg(paired.interval_by_index(F.collect_list("d"), style="outer").alias("i")).select("model_a", "model_b", "endpoint", "i.*")
+
+
+@query("interval_bounds", f"{ENDPOINTS} SELECT count(*) AS n, count(*) FILTER (low > high OR low < -1 OR high > 1) AS violations FROM b")
 def interval_bounds(spark, sf):
     return endpoint_bootstrap(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.expr("low > high or low < -1 or high > 1")).alias("violations"))
 
