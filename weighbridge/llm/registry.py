@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op10_language, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op8_html, op9_personal
+from weighbridge.llm import op1_bpe, op10_language, op11_chunks, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op8_html, op9_personal
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_article": op8_html.query,
     "op9_personal_data": op9_personal.query,
     "op10_language_id": op10_language.query,
+    "op11_chunk_reuse": op11_chunks.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
