@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weighbridge.llm import op1_bpe, op10_language, op11_chunks, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op8_html, op9_personal
+from weighbridge.llm import op1_bpe, op10_language, op11_chunks, op12_search, op13_codes, op2_mix, op3_neardup, op4_repeats, op5_secrets, op6_neighbours, op7_quality, op8_html, op9_personal
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_personal_data": op9_personal.query,
     "op10_language_id": op10_language.query,
     "op11_chunk_reuse": op11_chunks.query,
+    "op12_ranked_search": op12_search.query,
+    "op13_vector_codes": op13_codes.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": op3_neardup.SQL,
     "op5_secret_scan": op5_secrets.SQL,
     "op7_quality_rules": op7_quality.SQL,
+    "op12_ranked_search": op12_search.SQL,
+    "op13_vector_codes": op13_codes.SQL,
 }
