@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weighbridge.functions import scalars
-from weighbridge.operators import metrics, paired, traversal
+from weighbridge.operators import metrics, paired, resample, traversal
 from weighbridge.plans import trees
 from weighbridge.sources import files
 from weighbridge.streaming import ingest
@@ -55,9 +55,11 @@ def test_bootstrap_equals_rematerialised_rows(spark):
     r = random.Random(1)
     rows = [(f"s{i % 7}", r.random() < 0.6) for i in range(60)]
     df = spark.createDataFrame(rows, "cluster string, ok boolean")
-    drawn = paired.weights(df.select("cluster").distinct(), "cluster", 15)
+    clusters = df.select("cluster").distinct()
     sums = df.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
-    got = {x.replicate: (x.n, x.k) for x in paired.replicate_sums(sums, drawn, ["cluster"], [], ["n", "k"]).collect()}
+    got = {x.replicate: (x.n, x.k) for x in resample.resampled(sums, clusters, "cluster", 15, [], ["n", "k"]).collect()}
+    joined = sums.join(paired.weights(clusters, "cluster", 15), "cluster").groupBy("replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("k")).alias("k"))
+    assert got == {x.replicate: (x.n, x.k) for x in joined.collect()}
     ids = sorted({c for c, _ in rows}, key=lambda c: (hashlib.sha256(c.encode()).hexdigest()[:3], c))
     for rep in range(15):
         sample = [ids[int(hashlib.sha256(f"{rep}|{slot}".encode()).hexdigest()[:8], 16) % len(ids)] for slot in range(len(ids))]
@@ -65,6 +67,33 @@ def test_bootstrap_equals_rematerialised_rows(spark):
         assert got[rep] == (len(again), sum(again))
 
 
+def test_blocks_of_clusters_and_strata(spark, monkeypatch):
+    """Many blocks, strata that are null or small, cells that few clusters have, names like the operator's own."""
+    monkeypatch.setattr(resample, "BLOCK", 8)
+    monkeypatch.setattr(resample, "CHUNK", 7)
+    monkeypatch.setattr(resample, "SLOTS", 5)
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", "b", "b"]), i, r.choice(["x", "y", None]), r.randrange(5)) for i in range(90) for _ in range(3)] + [("a", 500, "rare", 4), (None, 501, "x", 9), ("c", 502, "x", 1)]
+    sums = spark.createDataFrame(rows, "at string, block long, cell string, size int").groupBy("at", "block", "cell").agg(F.sum("size").alias("size"))
+    clusters = sums.select("at", "block").distinct()
+    got = {(x.replicate, x.at, x.cell): x["size"] for x in resample.resampled(sums, clusters, "block", 20, ["at", "cell"], ["size"], ["at"]).collect()}
+    named = clusters.withColumnsRenamed({"at": "stratum", "block": "c"})
+    drawn = paired.weights(named, "c", 20, ["stratum"])
+    want = sums.withColumnsRenamed({"at": "stratum", "block": "c"}).join(drawn, ["stratum", "c"]).groupBy("replicate", "stratum", "cell").agg(F.sum(F.col("w") * F.col("size")).alias("n"))
+    assert got == {(x.replicate, x.stratum, x.cell): x.n for x in want.collect()} and any(k[2] == "rare" for k in got) and len([k for k in got if k[2] == "rare"]) < 20
+
+
+def test_differences_of_all_pairs(spark):
+    rows = spark.createDataFrame([(1, "b", 3.0), (1, "a", 1.0), (1, "c", None), (2, "a", 1.0)], "r int, m string, v double")
+    got = {(x.r, x.arm_a, x.arm_b, x.v) for x in resample.paired_differences(rows, ["r"], "m", ["v"]).collect()}
+    assert got == {(1, "a", "b", 2.0), (1, "a", "c", None), (1, "b", "c", None)}
+
+
+def test_no_clusters(spark):
+    sums = spark.createDataFrame([], "c string, k string, n long")
+    assert resample.resampled(sums, sums.select("c"), "c", 5, ["k"], ["n"]).count() == 0
+
+
 def test_failures_count_as_false_negatives(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b"), ("b", "x")], "g string, p string")
     got = {r.label: r for r in metrics.classes(rows, [], "g", "p").collect()}

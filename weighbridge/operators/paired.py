@@ -1,8 +1,4 @@
-"""Paired statistics and cluster resampling.
-
-A bootstrap replicate is linear in the sums of each cluster, so rows are first added up to one row a cluster and cell;
-only these meet the weights, and the work of a replicate no longer depends on the number of rows.
-"""
+"""Paired statistics, intervals over replicates, and the weights of a cluster bootstrap as rows."""
 
 from __future__ import annotations
 
@@ -11,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weighbridge.operators import resample
+
 
 def discordance(cells: DataFrame, keys: Sequence[str], arm: str, outcome: str, on: str) -> DataFrame:
     """For each pair of arms: how often only the first, only the second, or both are right on the same unit."""
@@ -45,14 +43,9 @@ def holm(rows: DataFrame, p: str, tie: Sequence[str], family: Sequence[str] = ()
 
 def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence[str] = ()) -> DataFrame:
     """clusters(strata, cluster), one row each, to (replicate, strata, cluster, w): how often each replicate draws a cluster.
-    A slot draws by a hash of replicate and slot, so any engine draws alike; only weights over 0 are kept. Clusters are
-    numbered by the first three digits of their digest, then by themselves: a task sorts one of 4,096 buckets, never all."""
-    dealt = clusters.select(*strata, cluster, F.coalesce(F.substring(F.sha2(F.col(cluster).cast("string"), 256), 1, 3), F.lit("")).alias("bucket"))
-    whole = Window.partitionBy(*strata)  # over the sizes of buckets only
-    held = dealt.groupBy(*strata, "bucket").agg(F.count("*").alias("held"))
-    before = held.select(*strata, "bucket", (F.sum("held").over(whole.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("size"))
-    place = dealt.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "bucket").orderBy(cluster)))
-    numbered = place.join(before, [*strata, "bucket"]).select(*strata, cluster, (F.col("before") + F.col("place") - 1).cast("long").alias("at"), "size")
+    A slot draws by a hash of replicate and slot, so any engine draws alike; only weights over 0 are kept. A row for each
+    weight: to list them; `resample.resampled` adds up without."""
+    numbered = resample.numbered(clusters, cluster, strata)
     slots = numbered.select(*strata, F.col("at").alias("slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     mark = F.concat_ws("|", F.col("replicate").cast("string"), *strata, F.col("slot").cast("string"))
     drawn = slots.withColumn("at", F.conv(F.substring(F.sha2(mark, 256), 1, 8), 16, 10).cast("long") % F.col("size"))
@@ -60,11 +53,6 @@ def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence
     return counted.join(numbered.drop("size"), [*strata, "at"]).select("replicate", *strata, cluster, "w")
 
 
-def replicate_sums(sums: DataFrame, drawn: DataFrame, on: Sequence[str], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The weighted sums of each replicate and cell from the sums of each cluster and cell."""
-    return sums.join(drawn, list(on)).groupBy("replicate", *keys).agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
-
-
 def interval_by_index(values: Column, low: float = 0.025, style: str = "inner") -> Column:
     """(low, high) order statistics of a list: style `inner` takes floor(q(n-1)) and ceil((1-q)(n-1)); style `outer`
     takes floor(qn) and ceil((1-q)n)-1."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.operators import paired
+from weighbridge.operators import paired, resample
 from weighbridge.plans import notes, oracle, responses
 from weighbridge.plans.registry import query
 
@@ -48,9 +48,8 @@ def replicates(spark, sf) -> DataFrame:
     """Micro and macro agreement of each replicate, model and condition, one draw for all cells."""
     rows = responses.scored(spark, sf)
     by = responses.metrics.by_state(rows, ["case_id", "model", "condition"])
-    drawn = paired.weights(rows.select("case_id").distinct(), "case_id", REPLICATES)
     counts = ["n", "n_present", "n_absent", "n_present_ok", "n_absent_ok"]
-    return responses.metrics.with_rates(paired.replicate_sums(by.select("case_id", "model", "condition", *counts), drawn, ["case_id"], ["model", "condition"], counts))
+    return responses.metrics.with_rates(resample.resampled(by, by.select("case_id").distinct(), "case_id", REPLICATES, ["model", "condition"], counts))
 
 
 @query("bootstrap_weights", f"{BOOT} SELECT replicate, case_id, w FROM w")
@@ -68,10 +67,8 @@ DIFF = f"{BOOT}, df AS (SELECT a.replicate, a.condition, a.model AS model_a, b.m
 
 
 def differences(spark, sf) -> DataFrame:
-    rows = replicates(spark, sf).select("replicate", "condition", "model", "micro", "macro")
-    a = rows.select("replicate", "condition", F.col("model").alias("model_a"), F.col("micro").alias("i"), F.col("macro").alias("a"))
-    b = rows.withColumnRenamed("model", "model_b")
-    return a.join(b, ["replicate", "condition"]).where("model_a < model_b").select("replicate", "condition", "model_a", "model_b", F.round(F.col("micro") - F.col("i"), 9).alias("micro"), F.round(F.col("macro") - F.col("a"), 9).alias("macro"))
+    diff = resample.paired_differences(replicates(spark, sf), ["replicate", "condition"], "model", ["micro", "macro"])
+    return diff.select("replicate", "condition", F.col("arm_a").alias("model_a"), F.col("arm_b").alias("model_b"), F.round("micro", 9).alias("micro"), F.round("macro", 9).alias("macro"))
 
 
 KEYS = ("condition", "model_a", "model_b")
@@ -116,9 +113,8 @@ STRATA = f"""{oracle.SCORED}, cl AS (SELECT domain, request_id, row_number() OVE
 
 def stratified(spark, sf) -> DataFrame:
     rows = responses.scored(spark, sf).where("condition = 'full_constrained'")
-    drawn = paired.weights(rows.select("domain", "request_id").distinct(), "request_id", REPLICATES, ["domain"])
     by = rows.groupBy("domain", "request_id", "model").agg(F.count("*").alias("n"), F.count_if("state_correct").alias("ok"))
-    sums = paired.replicate_sums(by, drawn, ["domain", "request_id"], ["model", "domain"], ["n", "ok"])
+    sums = resample.resampled(by, by.select("domain", "request_id").distinct(), "request_id", REPLICATES, ["model", "domain"], ["n", "ok"], ["domain"])
     return sums.groupBy("replicate", "model").agg(F.round(F.avg(F.col("ok") / F.col("n")), 9).alias("score"))
 
 
@@ -145,7 +141,6 @@ NOTE_BOOT = f"""{oracle.NOTES}, cl AS (SELECT subject_cluster, row_number() OVER
 def subject_bootstrap_joint(spark, sf):
     rows = notes.scored(spark, sf)
     by = rows.groupBy("subject_cluster", "model", "condition").agg(F.count("*").alias("n"), F.count_if("joint").alias("ok"))
-    drawn = paired.weights(rows.select("subject_cluster").distinct(), "subject_cluster", REPLICATES)
-    sums = paired.replicate_sums(by, drawn, ["subject_cluster"], ["model", "condition"], ["n", "ok"]).withColumn("r", F.round(F.col("ok") / F.col("n"), 9))
+    sums = resample.resampled(by, by.select("subject_cluster").distinct(), "subject_cluster", REPLICATES, ["model", "condition"], ["n", "ok"]).withColumn("r", F.round(F.col("ok") / F.col("n"), 9))
     p = paired.interval_linear(F.collect_list("r"))
     return sums.groupBy("model", "condition").agg(paired.scaled_round(p["low"]).alias("low"), paired.scaled_round(p["high"]).alias("high"), F.count("*").alias("replicates"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
-from weighbridge.operators import invariants, paired, traversal
+from weighbridge.operators import invariants, paired, resample, traversal
 from weighbridge.plans import notes, oracle, responses, trees
 from weighbridge.plans.paired import PAIRS, pairs
 from weighbridge.plans.registry import query
@@ -198,14 +198,12 @@ def endpoint_bootstrap(spark, sf):
     joint = rows.select("subject_cluster", "model", F.lit("joint").alias("head"), F.lit("yes").alias("g"), F.when(F.col("joint"), "yes").otherwise("no").alias("p"))
     each = notes.heads(rows, "subject_cluster").select(*joint.columns).unionByName(joint)
     cells = each.groupBy(*joint.columns).agg(F.count("*").alias("n"))
-    drawn = paired.weights(rows.select("subject_cluster").distinct(), "subject_cluster", REPLICATES)
-    sums = paired.replicate_sums(cells, drawn, ["subject_cluster"], ["model", "head", "g", "p"], ["n"])
+    sums = resample.resampled(cells, rows.select("subject_cluster").distinct(), "subject_cluster", REPLICATES, ["model", "head", "g", "p"], ["n"])
     k = notes.class_rates(sums, notes.labels(spark, notes.LABELS | {"joint": ("yes",)}), ["replicate", "model"])
     means = [F.coalesce(F.avg(F.when(F.col("head") == h, F.col(c))), F.lit(0.0)).alias(name) for name, (c, h) in MEANS.items()]
     z = k.groupBy("replicate", "model").agg(*means)
     z = z.select("replicate", "model", F.inline(F.array(*(F.struct(F.lit(name).alias("endpoint"), F.col(name).alias("v")) for name in MEANS))))
-    a, b = z.select("replicate", "endpoint", F.col("model").alias("model_a"), F.col("v").alias("va")), z.select("replicate", "endpoint", F.col("model").alias("model_b"), F.col("v").alias("vb"))
-    diff = a.join(b, ["replicate", "endpoint"]).where("model_a < model_b").withColumn("d", F.round(F.col("vb") - F.col("va"), 8))
+    diff = resample.paired_differences(z, ["replicate", "endpoint"], "model", ["v"]).select("endpoint", F.col("arm_a").alias("model_a"), F.col("arm_b").alias("model_b"), F.round("v", 8).alias("d"))
     return diff.groupBy("model_a", "model_b", "endpoint").agg(paired.interval_by_index(F.collect_list("d"), style="outer").alias("i")).select("model_a", "model_b", "endpoint", "i.*")
 
 
