@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
 from weighbridge.plans.registry import query
-from weighbridge.sources import files, tables
+from weighbridge.sources import files, shared, tables
 from weighbridge.streaming import ingest
 
 MOST = 200
@@ -151,8 +149,7 @@ def folder_inventory(spark, sf):
 @query("checkpoint_resume", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY ALL")
 def checkpoint_resume(spark, sf):
     """The events table ingested as a stream in two runs over one checkpoint; the second finds nothing new."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weighbridge-")
-    base = f"{base}/ingest-{__import__('uuid').uuid4().hex}"
+    base = shared.folder(spark, "ingest")
     events = tables.table(spark, sf, "events")
     for _ in range(2):
         stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")

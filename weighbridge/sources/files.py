@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weighbridge.sources import splits
+
 #: Name spaces of the spreadsheet format, and how far repeated cells and rows are unrolled.
 SHEET = {"table": "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "text": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
 REPEAT = 100
@@ -33,13 +35,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes; missing values are empty strings; header names are unique."""
-    options = {"multiLine": True, "escape": '"', "quote": '"', "encoding": "UTF-8", "nullValue": "\0"}
-    first = spark.read.csv(path, header=False, **options).first()  # the reader renames repeated names, so they are looked at here
-    names = [str(c or "").removeprefix("\ufeff") for c in (first or ())]
-    if len({n.lower() for n in names}) < len(names):
-        raise ValueError(f"{path}: a column name repeats")
-    df = spark.read.csv(path, header=True, **options).toDF(*names).na.fill("")
+    """CSV with a header, quoted line breaks and doubled quotes; missing values are empty strings; header names are unique.
+    A large file is read by as many tasks as it has splits (`splits.read_csv`)."""
+    df = splits.read_csv(spark, path)
     return select_columns(df, required) if required else df
 
 
