@@ -66,10 +66,13 @@ def test_cuts_follow_content():
 
 
 def test_character_classes_are_the_librarys(library):
-    split, newer = regex.compile(op11_chunks.WORDS).findall, regex.compile(op11_chunks.NEWER).search
-    for c in (chr(i) for i in range(0xD800)):
-        if not newer(c):
-            t = f"a{c}1 {c}."
+    split, newer = op11_chunks.splitter()
+    named = regex.compile(op11_chunks.WORDS).findall
+    steady = [chr(c) for a, z in op11_chunks.STEADY for c in range(a, z + 1)]
+    assert not any(map(newer, steady)) and newer("\u0530") and newer("\uA7CE") and newer("\U0001F600")
+    for c in steady:
+        for t in (f"a{c}1 {c}.", f"{c}{c} {c}{c}x"):
+            assert split(t) == named(t)
             assert [t[a:z] for _, (a, z) in library.pre_tokenizer.pre_tokenize_str(t)] == split(t)
 
 

@@ -19,8 +19,10 @@ again, such as a scan of a table: blocks of another content stop with an error.
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
@@ -34,17 +36,31 @@ from weighbridge.llm import common
 #: A cut needs this many zero bits at the top of the 32-bit rolling hash, so chunks are about LEAST + 2 ** BITS bytes.
 BITS, LEAST = 10, 256
 #: Bytes that are encoded at once, and rows decoded at once.
-AT_ONCE, ROWS = 1 << 18, 64
+AT_ONCE, ROWS = 1 << 21, 64
 #: Fixed: how byte-level pre-tokenization cuts words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters outside these ranges may be of other classes in the library than in the pattern above (Unicode's versions differ), so
-#: chunks that hold one go to the library whole.
-NEWER = r"[^\x00-\u052F\u20A0-\uA7CD]"
-#: Words whose ids a task remembers at most; beyond it starts anew.
-MEMORY = 1 << 18
+#: Characters in these ranges are of the same classes in all of Unicode's recent versions. The library may see others in another
+#: way than the pattern above, so chunks that hold one go to the library whole.
+STEADY = ((0x00, 0x52F), (0x20A0, 0xA7CD))
+#: Words whose ids a worker remembers: so many of the latest, and as many before.
+MEMORY = 1 << 17
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("text", pa.binary()), ("mark", pa.binary())])
 
 
+@functools.cache
+def splitter() -> tuple[Callable, Callable]:
+    """(words of a text, whether it holds a character that is not steady). The classes are written out, since the standard
+    library's expressions, which know none by name, take half the time."""
+    import regex
+
+    every = "".join(chr(c) for a, z in STEADY for c in range(a, z + 1))
+    named = {name: "".join(re.escape(c) for c in regex.findall(name, every)) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    pattern = WORDS.replace(r"\S", rf"[^{named[r'\s']}]").replace(r"[^\s", rf"[^{named[r'\s']}").replace(r"\s", rf"[{named[r'\s']}]")
+    for name in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(f" ?{name}", f" ?[{named[name]}]").replace(name, named[name])
+    return re.compile(pattern).findall, re.compile("[^" + "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in STEADY) + "]").search
+
+
 class Vocabulary:
     """A tokenizer file: the library's encoder, and the bytes of each id."""
 
@@ -62,8 +78,10 @@ class Vocabulary:
         pieces |= {i: content for content, i in self.special.items()}
         self.pieces = [pieces.get(i) for i in range(max(pieces, default=-1) + 1)]
         self.lengths = np.array([len(p or b"") for p in self.pieces], np.int64)
-        self._engine = None
-        self._ids: dict[str, list[int]] = {}
+        self._engine = self._model = None
+        self._ids: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._letters = {b: c for c, b in letters.items()}
 
     def engine(self):
         if self._engine is None:
@@ -75,10 +93,11 @@ class Vocabulary:
             self._engine = Tokenizer.from_str(self.spec)
             self._engine.no_truncation()
             self._engine.no_padding()
+            self._model = self._engine.model
         return self._engine
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_engine": None, "_ids": {}}
+        return self.__dict__ | {"_engine": None, "_model": None, "_ids": {}, "_older": {}}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, on its own."""
@@ -94,19 +113,39 @@ class Vocabulary:
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Words are remembered, so the library encodes each distinct one once."""
-        import regex
-
-        split, newer, library = regex.compile(WORDS).findall, regex.compile(NEWER).search, self.engine().encode_batch_fast
-        cut = [None if newer(t) else split(t) for t in texts]
-        new = [w for w in set().union(*(c for c in cut if c)) if w not in self._ids]
-        if len(self._ids) + len(new) > MEMORY:
-            self._ids = {}
-            new = list(set().union(*(c for c in cut if c)))
-        self._ids |= {w: e.ids for w, e in zip(new, library(new, add_special_tokens=False), strict=True)}
-        whole = iter(library([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
-        ids = self._ids
-        return [np.array(next(whole).ids if c is None else [i for w in c for i in ids[w]], np.int32) for c in cut]
+        """Each distinct word of the texts is looked up once, and encoded by the library's model if it isn't remembered."""
+        split, newer = splitter()
+        library = self.engine().encode_batch_fast
+        words: list[str] = []
+        upto = [0]
+        whole = []
+        for t in texts:
+            if newer(t):
+                whole.append(t)
+            else:
+                words += split(t)
+            upto.append(len(words))
+        table = pa.array(words, pa.string()).dictionary_encode()
+        own = [self._word(w) for w in table.dictionary.to_pylist()]
+        sizes = np.array([len(i) for i in own], np.int64)
+        flat = np.array([i for ids in own for i in ids], np.int32)
+        codes = table.indices.to_numpy()
+        lengths = sizes[codes]
+        ids = flat[common.ragged((np.cumsum(sizes) - sizes)[codes], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.array(upto)]
+        wholes = iter(library(whole, add_special_tokens=False))
+        return [np.array(next(wholes).ids, np.int32) if newer(t) else ids[a:z] for t, a, z in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self._ids.get(word)
+        if ids is None:
+            ids = self._older.get(word)
+            if ids is None:
+                ids = tuple(t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._letters)))
+            if len(self._ids) >= MEMORY:
+                self._ids, self._older = {}, self._ids
+            self._ids[word] = ids
+        return ids
 
     def segments(self, text: bytes) -> Iterator[tuple[int, int, int]]:
         """(start, end, -1) of what special tokens leave, and (start, end, id) of each of these, leftmost and longest first."""
@@ -392,7 +431,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", digests: bool = Fals
         flat = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
         starts = np.cumsum(lens) - lens
         known = np.array([p is not None for p in pieces], bool)
-        names = [str(i) for i in range(len(pieces))]
+        decimals = [b"%d," % i for i in range(len(pieces))]
+        digits, wide = np.frombuffer(b"".join(decimals), np.uint8), np.array([len(d) for d in decimals], np.int64)
+        begins = np.cumsum(wide) - wide
         for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             column = b.column(ids)
             values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -404,8 +445,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", digests: bool = Fals
             cuts = np.concatenate([[0], np.cumsum(lens[values])])[ends]
             texts = [data[a:z].decode(errors="replace") for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
             if digests:
-                said = [names[i] for i in values.tolist()]
-                more = [pa.array([sha256(",".join(said[a:z]).encode()).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.string()), pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string())]
+                said = digits[common.ragged(begins[values], wide[values])].tobytes()
+                shown = np.concatenate([[0], np.cumsum(wide[values])])[ends]
+                more = [pa.array([sha256(said[a : max(a, z - 1)]).hexdigest() for a, z in zip(shown[:-1], shown[1:], strict=True)], pa.string()), pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string())]
             else:
                 more = [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, *added])
