@@ -1,9 +1,12 @@
+import math
 import random
 import re
 from hashlib import sha256
 
 import duckdb
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from weighbridge.llm import op5_secrets, op9_personal
 
@@ -102,7 +105,7 @@ def test_base_spans_of_all_kinds_are_seeds(spark):
     cards = [f"charged to the card on file {c} today" for c in ("4111 1111 1111 1111", "5500 0055 5555 5559", "3400 0000 0000 009", "6011-0009-9013-9424", "3530 1113 3330 0000", "4012 8888 8888 1881", "3056 9309 0259 04")]
     got = contexts(spark, [*phones, *cards, "the phone number is 555-3824 today", "charged to the card on file 77123456, today", "the house number was 555-9999 today"])
     n = len(phones) + len(cards)
-    assert got[n] == ["555-3824"] and got[n + 1] == ["77123456,"] and got[n + 2] == [] and not any(got[i] for i in range(n))
+    assert got[n] == ["555-3824"] and got[n + 1] == ["77123456"] and got[n + 2] == [] and not any(got[i] for i in range(n))
 
 
 def test_contexts_reach_over_earlier_tokens_and_lines(spark):
@@ -115,6 +118,129 @@ def test_contexts_reach_over_earlier_tokens_and_lines(spark):
     assert got[n + 4] == got[n + 5] == [] and not any(got[i] for i in range(n))
 
 
+def test_values_without_what_touches_them(spark):
+    seeds = [f"my phone number is +1743555{i}38" for i in range(10, 30)]
+    got = contexts(spark, [*seeds, "so my phone number is (555-3824-11).", "my phone number is 77-4431-998, ok", 'my phone number is "id=1234567"!', "phone number is <5553824>", "my phone number is tel:5553824;", "my phone number is (1)"])
+    n = len(seeds)
+    assert [got[n + i] for i in range(6)] == [["555-3824-11"], ["77-4431-998"], [], ["5553824"], [], []]
+    labels = [f"call tel:+1743555{i}38 now" for i in range(10, 30)]
+    got = contexts(spark, [*labels, "call tel:5553824. now", "call fax:5553824, then"])
+    assert got[20] == ["5553824"] and got[21] == []
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*seeds, "my phone number is (555-3824-11)."])], "doc_id long, text string")
+    assert [r.text for r in op9_personal.redact(docs).where("doc_id = 20").collect()] == ["my phone number is (<CONTEXT>)."]
+
+
+def test_contexts_after_an_occurrence(spark):
+    seeds = [f"+1743555{i}38 is my phone number" for i in range(10, 30)]
+    got = contexts(spark, [*seeds, "77-4431-998 is my phone number", "so 77-4431-998, is my car", "(88-1234) is\nmy own", "4431 was my phone number"])
+    assert [got[20 + i] for i in range(4)] == [["77-4431-998"], ["77-4431-998"], ["88-1234"], []]
+
+
+WHITE = " \t\n\r\f\v"
+RAW = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "token": f"(?<![^{WHITE}])[^{WHITE}]*[0-9@][^{WHITE}]*"}
+
+
+def words_of(context):
+    text = regex.sub(rf"[^{WHITE},;&|0-9@\x01]*[0-9@\x01][^{WHITE},;&|]*", "\x01", context).lower()
+    return text, [w for w in re.split(f"[{WHITE}]+", text) if w]
+
+
+def brute_contexts(docs):
+    """Spans by context of {id: text}, and scores, straight from the definition."""
+    occurrences = []
+    for i, t in docs.items():
+        base = [x for x in personal(t)]
+        for kind, pattern in RAW.items():
+            found = list(regex.finditer(pattern, t))
+            edges = [0, *(x for m in found for x in m.span()), len(t)]
+            gaps = [t[edges[2 * n] : edges[2 * n + 1]] for n in range(len(found) + 1)]
+            for n, m in enumerate(found):
+                start, end, value, label = *m.span(), m[0], ""
+                if kind == "token":
+                    label = regex.match(f"[^{WHITE}0-9@]*[=:]|", value)[0]
+                    rest = value[len(label) :]
+                    lead = regex.match(r"[^A-Za-z0-9+@]*", rest)[0]
+                    value = regex.sub(r"[^A-Za-z0-9]+$", "", rest[len(lead) :])
+                    start += len(label) + len(lead)
+                    end = start + len(value)
+                    if len(re.sub("[^0-9]", "", value)) < 4 and "@" not in value or any(a < end and start < z for a, _, z, _ in base):
+                        continue
+                elif (start, end, kind) not in {(a, z, k) for a, _, z, k in base}:
+                    continue
+                before = ("\n" if n == 0 else ("\x01" if n > 1 else "\n") + gaps[n - 1] + "\x01") + gaps[n] + label
+                behind = gaps[n + 1] + ("\n" if n + 1 == len(found) else "\x01" + gaps[n + 2] + ("\x01" if n + 2 < len(found) else "\n"))
+                text, words = words_of(regex.sub(rf"(?<![^{WHITE}])[^{WHITE}\p{{L}}\p{{N}}\x01]+$", "", before))
+                some = {" ".join(words[-2:])} if len(words) > 1 else set()
+                some |= {"\n" + x[1] for x in [regex.search(rf"\n[ \t\r\f\v]*([^{WHITE}]+)[ \t\r\f\v]*\Z", text)] if x}
+                _, words = words_of(regex.sub(rf"^[^{WHITE}\p{{L}}\p{{N}}\x01]+(?![^{WHITE}])", "", behind))
+                some |= {"\x02" + " ".join(words[:2])} if len(words) > 1 and "\x01" not in words[0] + words[1] else set()
+                occurrences.append((i, start, end, value, some, kind != "token"))
+    pairs = {(p, v) for *_, v, some, _ in occurrences for p in some}
+    seed = {v: float(any(s for *_, w, _, s in occurrences if w == v)) for *_, v, _, _ in occurrences}
+    score = dict(seed)
+    for _ in range(3):
+        sure = {}
+        for p in {p for p, _ in pairs}:
+            own = [v for q, v in pairs if q == p]
+            known = sum(score[v] for v in own)
+            confidence = round(known / (known + 0.5 * (len(own) - known) + 2.0), 9)
+            if sum(seed[v] for v in own) >= 3 and confidence >= 0.6:
+                sure[p] = confidence
+        score = {v: round(max(seed[v], 1 - math.prod(1 - sure[p] for p, w in pairs if w == v and p in sure)), 9) for v in seed}
+    return {(i, a, z) for i, a, z, v, some, s in occurrences if not s and some & set(sure) and score[v] >= 0.7 and not seed[v]}
+
+
+def made_texts(n=240, seed=8):
+    r = random.Random(seed)
+    seeds = lambda: r.choice([f"+1743555{r.randrange(1000, 1060)}", f"u{r.randrange(40)}@b.org", f"10.0.0.{r.randrange(30)}", "4111 1111 1111 1111", "4012 8888 8888 1881"])
+    unseen = lambda: r.choice([f"555-{r.randrange(1000, 1030)}", f"({r.randrange(7000, 7030)}).", f"id={r.randrange(10000, 10030)},", f"acct:{r.randrange(5000, 5020)}", f"'{r.randrange(100)}'", f"[x@{r.randrange(9)}]"])
+    word = lambda: r.choice(["\n", "\n ", "(é)", ",", "id:", *("".join(r.choice("abcdeé") for _ in range(3)) for _ in range(9))])
+    out = {}
+    for i in range(n):
+        parts = [r.choice([word, word, word, seeds, unseen])() for _ in range(r.randrange(0, 40))]
+        parts += r.choice([[], ["my phone number is", seeds()], ["my phone number is", unseen()], [seeds(), "is my id"], [unseen(), "is my id"], ["\nTel", unseen(), "\n"], ["\nTel", seeds(), "\n"]])
+        out[i] = " ".join(parts)
+    return out
+
+
+def test_contexts_equal_brute_force(spark, monkeypatch):
+    docs = made_texts()
+    want = brute_contexts(docs)
+    frame = spark.createDataFrame([*docs.items(), (0, docs[0])], "doc_id long, text string").repartition(3)
+    for most in (op9_personal.common.BROADCAST_BYTES, 0):  # 0: everything by shuffles, spread
+        monkeypatch.setattr(op9_personal.common, "BROADCAST_BYTES", most)
+        got = {(r.doc_id, s.start, s.end) for r in op9_personal.find(frame).collect() for s in r.spans if s.kind == "context"}
+        assert got == want
+    assert len(want) > 20
+
+
+def test_planted_identifiers(spark):
+    """Unseen identifiers in contexts that seeds share are found; numbers elsewhere are left alone."""
+    r = random.Random(9)
+    filler = lambda: " ".join("".join(r.choice("aeioulmnrst") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(3, 30)))
+    frames = ["my phone number is {}", "{} is my account", "reach me under {} please", "\nPhone: {}\n", "{}, my number"]
+    rows, planted, other = [], set(), set()
+    for i in range(3000):
+        kind = r.randrange(3)
+        what = f"+1743{r.randrange(10**6, 10**7)}" if kind == 0 else f"{r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+        text = filler() + " " + (r.choice(frames).format(what) if kind < 2 else f"{filler()} {what} {filler()}") + " " + filler()
+        rows.append((i, text))
+        (planted if kind == 1 else other).add(i) if kind else None
+    found = {r_.doc_id for r_ in op9_personal.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r_.spans if s.kind == "context"}
+    print("recall", len(found & planted) / len(planted), "precision", len(found & planted) / max(1, len(found)))
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & other) <= 0.01 * len(other)
+
+
+def test_a_pattern_that_most_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(op9_personal.common, "BROADCAST_BYTES", 0)
+    rows = [(i, f"my phone number is +17435{i:06d}" if i % 3 else f"my phone number is 555-{i:06d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op9_personal.occurrences(op9_personal.evidence(docs, "doc_id", "text")).withColumn("pattern", F.explode("patterns"))
+    few = spark.createDataFrame([("number is",)], "pattern string")
+    assert op9_personal.met(found.select("id", "start", "pattern"), few, "pattern").count() == 3000
+    assert sum(1 for r in op9_personal.find(docs).collect() for s in r.spans if s.kind == "context") == 1000
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (743) 555-3824.", "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in op9_personal.redact(docs).collect()}

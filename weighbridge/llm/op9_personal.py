@@ -2,13 +2,16 @@
 
 Base spans (email, ip, card, phone) are reported wherever they are. Then extraction is bootstrapped: base spans are
 instances and seeds with score 1, however many tokens they have; tokens that carry digits or an at sign and that no base
-span touches are instances too. The two words before an occurrence are its pattern, where earlier matches and tokens
-are holes; if one word stands between it and the start of its line or text, that is a pattern of its own as well.
+span touches are instances too. Of a token only the value counts: not brackets, quotes and stops at its edges, nor a label
+that ends in = or : (which belongs to the words before). The two words before an occurrence are a pattern, and so are
+the two words after it; other matches and tokens are holes in words before, and not allowed in words after. If one word stands between it and the start of its
+line or text, a label, that is a pattern of its own as well.
 Pattern and instance scores are computed in turn over the graph of distinct (pattern, instance) pairs, ROUNDS times: a
-pattern scores the mean of its instances', shrunk by its support; an instance scores 1 - product of (1 - score) over its
+pattern scores what its instances' scores sum to, over that, DOUBT times what they lack and SHRINK; an instance scores 1 - product of (1 - score) over its
 patterns with enough confidence. Unseen instances over FOUND next to a pattern over CONFIDENT are reported as spans of
-the kind `context`. Pairs are counted before anything is gathered, so a very common pattern or instance is a row a task
-and is spread over its partners.
+the kind `context`. Pairs are counted before anything is gathered, so a very common pattern or instance is a row a task.
+What patterns and instances say goes back to their occurrences by a broadcast where it is small; else each of their rows
+is laid out SALTS times and occurrences are spread over them, so no task gets all occurrences of a common pattern.
 
 Null texts count as empty. Rows that repeat get the same result, and count once as evidence. Only built-in functions.
 """
@@ -28,15 +31,19 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 KINDS = ("email", "ip", "card", "phone", "context")
 TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-#: So many code points before an occurrence are read for its patterns where they hold two whole words, else all of them.
-BEFORE = 96
-#: What earlier matches and tokens are in a pattern.
-HOLE = "\x01"
+#: So many code points beside an occurrence are read for its patterns where they hold two whole words, else all of them.
+BESIDE = 96
+#: What other matches and tokens are in a pattern, and what begins the patterns after an occurrence.
+HOLE, AFTER = "\x01", "\x02"
+#: Ways to spread the occurrences of a pattern or instance.
+SALTS = 64
 ROUNDS = 3
 CONFIDENT = 0.6
 FOUND = 0.7
 SUPPORT = 3
 SHRINK = 2.0
+#: How much an instance of which nothing is known counts against a pattern, where a known one counts 1 for it.
+DOUBT = 0.5
 #: Scores are rounded, so that the order in which they are added up does not matter.
 DIGITS = 9
 
@@ -68,21 +75,57 @@ def before(gaps: Column, matches: Column) -> Column:
 
     def tail(i: Column) -> Column:
         whole = F.get(gaps, i)
-        near = F.right(whole, F.lit(BEFORE))
-        return F.when((F.length(whole) <= BEFORE) | near.rlike(r"\s\S++\s++\S++\s*+\z"), near).otherwise(whole)
+        near = F.right(whole, F.lit(BESIDE))
+        return F.when((F.length(whole) <= BESIDE) | near.rlike(r"\s\S++\s++\S++\s*+\z"), near).otherwise(whole)
 
     upto = lambda i: F.when(i > 0, F.concat(F.when(i > 1, F.lit(HOLE)).otherwise(F.lit("\n")), tail(i - 1), F.lit(HOLE))).otherwise(F.lit("\n"))
     return F.transform(matches, lambda _, i: F.concat(upto(i), tail(i)))
 
 
-def patterns(context: Column) -> Column:
-    """The two words at the end of a context, and the word that is alone after a line break, which its pattern keeps."""
+def after(gaps: Column, matches: Column) -> Column:
+    """The same of the text after each match, which ends with a line break."""
+
+    def head(i: Column) -> Column:
+        whole = F.get(gaps, i)
+        near = F.left(whole, F.lit(BESIDE))
+        return F.when((F.length(whole) <= BESIDE) | near.rlike(r"\A\s*+\S++\s++\S++\s"), near).otherwise(whole)
+
+    last = F.size(matches) - 1
+    on = lambda i: F.when(i < last, F.concat(F.lit(HOLE), head(i + 2), F.when(i < last - 1, F.lit(HOLE)).otherwise(F.lit("\n")))).otherwise(F.lit("\n"))
+    return F.transform(matches, lambda _, i: F.concat(head(i + 1), on(i)))
+
+
+def _words(context: Column) -> tuple[Column, Column]:
+    """A context in lower case with tokens as holes, and its words."""
+    text = F.lower(F.regexp_replace(context, r"[^\s,;&|0-9@\x01]*+[0-9@\x01][^\s,;&|]*+", HOLE))
+    return text, F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def patterns(context: Column, beyond: Column) -> Column:
+    """Before: the two words at the end of a context, and the word that is alone after a line break, which its pattern keeps.
+    After: the two words at the start of what is beyond."""
     opened = F.regexp_replace(context, r"(?<![^\s])[^\s\p{L}\p{N}\x01]++\z", "")  # brackets and quotes that touch the occurrence
-    text = F.lower(F.regexp_replace(opened, r"[^\s,;&|0-9@\x01]*+[0-9@\x01][^\s,;&|]*+", HOLE))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    text, words = _words(opened)
     two = F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
     alone = F.regexp_extract(text, r"\n[^\S\n]*+(\S++)[^\S\n]*+\z", 1)
-    return F.array_compact(F.array(two, F.when(alone != "", F.concat(F.lit("\n"), alone))))
+    closed = F.regexp_replace(beyond, r"\A[^\s\p{L}\p{N}\x01]++(?![^\s])", "")
+    behind = _words(closed)[1]
+    near = F.array_join(F.slice(behind, 1, 2), " ")
+    two_behind = F.when((F.size(behind) >= 2) & ~F.contains(near, F.lit(HOLE)), F.concat(F.lit(AFTER), near))
+    return F.array_compact(F.array(two, F.when(alone != "", F.concat(F.lit("\n"), alone)), two_behind))
+
+
+#: A label within a token, and what else its value is not.
+LABEL, LEAD, TRAIL = r"^[^\s0-9@]*[=:]", r"^[^A-Za-z0-9+@]+", r"[^A-Za-z0-9]+$"
+
+
+def value_of(token: Column) -> Column:
+    """A token's value within it: the text before it that belongs to the context, its start, and itself."""
+    label = F.regexp_extract(token, LABEL, 0)
+    rest = F.substring(token, F.length(label) + 1, F.length(token))
+    lead = F.length(F.regexp_extract(rest, LEAD, 0))
+    own = F.regexp_replace(F.substring(rest, lead + 1, F.length(rest)), TRAIL, "")
+    return F.struct(label.alias("label"), (F.length(label) + lead).cast("long").alias("skip"), own.alias("own"))
 
 
 def evidence(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,19 +137,32 @@ def evidence(docs: DataFrame, key: str, text: str) -> DataFrame:
     kinds = {"email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, has_digit), "phone": (PHONE, F.contains(t, F.lit("+"))), "token": (TOKEN, has_digit | F.contains(t, F.lit("@")))}
     cut = {k: spans.found(t, p, guard) for k, (p, guard) in kinds.items()}
     raw = raw.select("id", "mark", *(x.alias(f"{k}_{n}") for k, pair in cut.items() for n, x in zip("gm", pair, strict=True)))
-    context = lambda k: F.zip_with(spans.places(F.col(f"{k}_g"), F.col(f"{k}_m")), before(F.col(f"{k}_g"), F.col(f"{k}_m")), lambda s, b: s.withField("before", b))
+
+
+    def context(k: str) -> Column:
+        gaps, matches = F.col(f"{k}_g"), F.col(f"{k}_m")
+        beside = F.arrays_zip(before(gaps, matches).alias("before"), after(gaps, matches).alias("after"))
+        return F.zip_with(spans.places(gaps, matches), beside, lambda s, b: s.withField("before", b["before"]).withField("after", b["after"]))
+
     placed = raw.select("id", "mark", *(context(k).alias(k) for k in kinds))
-    trimmed = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-    candidate = lambda s: (F.length(digits(s["value"])) >= 4) | F.contains(trimmed(s["value"]), F.lit("@"))
+    candidate = lambda s: (F.length(digits(s["value"])) >= 4) | F.contains(value_of(s["value"])["own"], F.lit("@"))
     tests = {"email": None, "ip": lambda s: s["value"].rlike(SMALL), "card": lambda s: card_like(s["value"]), "phone": lambda s: F.length(digits(s["value"])).between(9, 15), "token": candidate}
     kept = placed.select("id", "mark", *((F.col(k) if f is None else F.filter(F.col(k), f)).alias(k) for k, f in tests.items()))
     base = F.array_sort(F.concat(*(spans.tagged(F.col(k), k, n) for n, k in enumerate(KINDS[:4]))))
 
-    def instances(k: str) -> Column:
-        value = trimmed if k == "token" else lambda v: v
-        return F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s["value"]).alias("instance"), patterns(s["before"]).alias("patterns"), F.lit(k != "token").alias("seed")))
+    def instance(s: Column, seed: bool) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("instance"), patterns(s["before"], s["after"]).alias("patterns"), F.lit(seed).alias("seed"))
 
-    return kept.select("id", "mark", base.alias("base"), F.concat(*(instances(k) for k in kinds)).alias("tokens"))
+    def inner(s: Column) -> Column:
+        """The token's value in its place; what is cut off at its edges belongs to the texts beside it, as far as words go."""
+        v = value_of(s["value"])
+        start = s["start"] + v["skip"]
+        moved = s.withField("start", start).withField("end", start + F.length(v["own"])).withField("value", v["own"])
+        return moved.withField("before", F.concat(s["before"], v["label"]))
+
+    every = [F.transform(F.col(k), lambda s: instance(s, True)) for k in KINDS[:4]]
+    every.append(F.transform(F.transform(F.col("token"), inner), lambda s: instance(s, False)))
+    return kept.select("id", "mark", base.alias("base"), F.concat(*every).alias("tokens"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -119,20 +175,36 @@ def occurrences(found: DataFrame) -> DataFrame:
     return laid.withColumn("touched", touched).where(F.col("seed") | ~F.col("touched")).drop("touched")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The tokens of each (id, mark) that high-confidence patterns and instances name."""
-    laid = common.written(occurrences(found).withColumn("pattern", F.explode("patterns")).drop("patterns"), "occurrences")
-    graph = common.written(laid.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "graph")
-    scores = graph.groupBy("instance").agg(F.max("seed").alias("score"))
-    patterns = None
+def met(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """rows joined to few, a written table of distinct strings `on`, so that no task gets all rows of a common one."""
+    longest = few.agg(F.coalesce(F.max(F.octet_length(on)), F.lit(0))).first()[0]
+    sent = common.small(few, 64 + longest)
+    if sent is not few:
+        return rows.join(sent, on)
+    laid = few.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(laid, [on, "_s"]).drop("_s")
+
+
+def scored(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """graph(pattern, instance, seed) to the patterns with enough confidence and support, and every instance's score."""
+    scores = graph.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("seed").alias("score"))
     for _ in range(rounds):
-        by = graph.join(scores, "instance").groupBy("pattern").agg(F.round(F.sum("score") / (F.count("*") + SHRINK), DIGITS).alias("confidence"), F.sum("seed").alias("support"))
+        by = graph.drop("seed").join(scores, "instance").groupBy("pattern").agg(F.round(F.sum("score") / (F.sum("score") + DOUBT * (F.count("*") - F.sum("score")) + SHRINK), DIGITS).alias("confidence"), F.sum("seed").alias("support"))
         patterns = common.written(by.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)), "patterns")
         missed = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        lifted = graph.join(patterns, "pattern").groupBy("instance").agg((1 - missed).alias("lifted"))
+        lifted = met(graph.drop("seed"), patterns, "pattern").groupBy("instance").agg((1 - missed).alias("lifted"))
         own = graph.groupBy("instance").agg(F.max("seed").alias("seed")).join(lifted, "instance", "left")
-        scores = common.written(own.select("instance", F.round(F.greatest("seed", F.coalesce("lifted", F.lit(0.0))), DIGITS).alias("score")), "scores")
-    good = laid.where(~F.col("seed")).join(patterns.select("pattern"), "pattern").join(scores.where(F.col("score") >= FOUND).select("instance"), "instance")
+        scores = common.written(own.select("instance", "seed", F.round(F.greatest("seed", F.coalesce("lifted", F.lit(0.0))), DIGITS).alias("score")), "scores")
+    return patterns, scores
+
+
+def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The tokens of each (id, mark) that high-confidence patterns and instances name."""
+    laid = common.written(occurrences(found).withColumn("pattern", F.explode("patterns")).drop("patterns"), "occurrences")
+    graph = common.written(laid.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "graph")
+    patterns, scores = scored(graph, rounds)
+    unseen = common.written(scores.where((F.col("score") >= FOUND) & (F.col("seed") == 0)).select("instance"), "unseen")
+    good = met(met(laid.where(~F.col("seed")), patterns.select("pattern"), "pattern"), unseen, "instance")
     span = F.struct(F.col("start"), F.lit(4).alias("kind_no"), F.col("end"), F.lit("context").alias("kind"))
     return good.groupBy("id", "mark").agg(F.collect_set(span).alias("more"))
 
