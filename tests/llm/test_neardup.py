@@ -105,3 +105,28 @@ def test_pivots_that_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(nd.common, "small", lambda df, row_bytes: df)
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in nd.near_duplicates(docs, width=4).collect()}
     assert got == dict(enumerate(brute(texts)))
+
+
+def test_many_texts_of_one_id(spark, monkeypatch):
+    """Null ids and an id that repeats, each with many texts, among them near copies: every text is hashed once."""
+    r = random.Random(12)
+    words = ["w%d" % i for i in range(3000)]
+    near = family(r, words, 30, 6)
+    rows = [(None, " ".join(r.choice(words) for _ in range(40))) for _ in range(600)] + [(5, " ".join(r.choice(words) for _ in range(40))) for _ in range(300)]
+    rows += [(None if i % 3 else 5, t) for i, t in enumerate(near[:20])] + [(100 + i, t) for i, t in enumerate(near[20:])] + [(7, rows[3][1]), (8, rows[700][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {}
+    for (i, _), (n, top, _) in zip(rows, brute([t for _, t in rows]), strict=True):
+        want.setdefault(top, []).append((i, n))
+    small = {top: min((i for i, _ in own if i is not None), default=None) for top, own in want.items()}
+    expected = sorted(((i, n, small[top]) for top, own in want.items() for i, n in own), key=str)
+    for most in (nd.common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(nd.common, "BROADCAST_BYTES", most)
+        got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in nd.near_duplicates(docs, width=4).collect()), key=str)
+        assert got == expected
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six"), ("c", "other")], "doc_id string, text string")
+    got = {x.doc_id: (x.component_id, x.kept) for x in nd.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), None: ("a", False), "c": ("c", True)}

@@ -172,6 +172,36 @@ def _sets(key: str, text: str, width: int):
     return run
 
 
+def _own_sets(width: int):
+    """Texts to (hi, lo, shingles): for rows that their id does not tell apart."""
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.binary())])
+
+    @common.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 64):
+                found = shingle_sets([t or "" for t in b.column("_text").slice(a, 64).to_pylist()], width)
+                yield common.batch(schema, [(*fingerprint(s), s.tobytes()) for s in found if len(s)])
+
+    return run
+
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """wanted(node, hi, lo, id), texts(of, _text) to (node, shingles). A class finds its text by its smallest id. Where that is
+    null, or that of several classes, each of their texts is hashed once and meets its class by the fingerprint: n texts of
+    one id are n sets, not n by n."""
+    several = common.written(wanted.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("odd")), "odd")
+    by_id = "node long, shingles binary"
+    if several.isEmpty():
+        return wanted.join(texts, F.col("id") == F.col("of")).select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), by_id).dropDuplicates(["node"])
+    odd = common.small(several, 64 + (several.agg(F.max(F.octet_length(F.col("odd").cast("string")))).first()[0] or 0))
+    one = wanted.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left_anti").join(texts, F.col("id") == F.col("of"))
+    plain = one.select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), by_id)
+    own = texts.join(odd, F.col("of").eqNullSafe(F.col("odd")), "left_semi").select("_text").mapInArrow(_own_sets(width), "hi long, lo long, shingles binary").dropDuplicates(["hi", "lo"])
+    rest = wanted.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left_semi").join(own, ["hi", "lo"]).select("node", "shingles")
+    return plain.unionByName(rest).dropDuplicates(["node"])
+
+
 def _prune(threshold: float):
     least = least_matches(threshold)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -351,9 +381,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """Per row of docs: its key, n_shingles, component_id (smallest key of its component) and kept (its key is that)."""
     common.lean(docs.sparkSession)
     rows = docs.select(key, text)
-    kind, sql = {"bigint": (pa.int64(), "long"), "int": (pa.int32(), "int")}[dict(rows.dtypes)[key]]
+    kind, sql = common.key_type(rows, key)
     measured = common.written(rows.mapInArrow(_measure(key, text, width, kind), f"`{key}` {sql}, n_shingles long, hi long, lo long, bands array<long>, sig binary"), "shingles")
-    classes = measured.where("hi is not null").groupBy("hi", "lo").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig"), F.coalesce(F.col(key), F.lit(2**31 - 1))).alias("x"))
+    classes = measured.where("hi is not null").groupBy("hi", "lo").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.min_by(F.struct("bands", "sig"), F.struct(F.col(key).isNull(), F.col(key))).alias("x"))
     nodes = common.written(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "id", "n", "x.bands", "x.sig"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -366,9 +396,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return frame.groupBy("band").agg(F.max(F.struct("meets", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
 
     wanted = buckets.select("node").distinct().join(nodes.select("node", "hi", "lo", "id"), "node")
-    texts = rows.select(F.col(key).alias("of"), F.col(text).alias("_text"))
-    found = wanted.join(texts, F.col("id").eqNullSafe(F.col("of"))).select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), "node long, shingles binary").dropDuplicates(["node"])
-    sets = common.written(found, "sets")
+    sets = common.written(_sets_of(common.written(wanted, "wanted"), rows.select(F.col(key).alias("of"), F.col(text).alias("_text")), width), "sets")
     sig = nodes.select("node", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
