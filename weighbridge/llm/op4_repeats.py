@@ -197,9 +197,8 @@ class Passages:
         self.buckets, self.docs = x.buckets, len(x.lens)
         self.owner = np.searchsorted(x.begin + x.lens, start, side="right")
         last = np.searchsorted(self.owner, self.owner, side="right")  # for each word, the end of its document
-        names = HASHER.windows(x.sums, start, size)[0]
-        self.sums = np.zeros(len(names) + 1, np.uint64)
-        np.cumsum(names * HASHER.up[: len(names)], out=self.sums[1:])
+        self.words = HASHER.windows(x.sums, start, size)[0]
+        self.sums = self._sums(self.words)
         at = np.arange(len(start))
         self.at = at[at + PASSAGE <= last]
         part = self.named(at[: max(0, len(at) - PART + 1)], PART)
@@ -214,8 +213,15 @@ class Passages:
         fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
         self.group, self.key, self.of = np.cumsum(fresh) - 1, key[fresh], of[fresh]
 
-    def named(self, at: np.ndarray, width: int) -> np.ndarray:
-        return common.mixed((self.sums[at + width] - self.sums[at]) * HASHER.down[at])
+    @staticmethod
+    def _sums(words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * HASHER.up[: len(words)], out=out[1:])
+        return out
+
+    def named(self, at: np.ndarray, width: int, sums: np.ndarray | None = None) -> np.ndarray:
+        sums = self.sums if sums is None else sums
+        return common.mixed((sums[at + width] - sums[at]) * HASHER.down[at])
 
     def parts(self) -> Asked:
         return Asked((self.key, self.key), self.buckets, False, self.of)
@@ -225,8 +231,8 @@ class Passages:
 
     def whole(self, repeated: np.ndarray) -> Asked:
         at = self.candidates(repeated)
-        names = self.named(at, PASSAGE)
-        return Asked((names, names), self.buckets, False, self.owner[at])
+        more = self.named(at, PASSAGE, self._sums(common.mixed(self.words ^ np.uint64(0x94D049BB133111EB)))) if len(at) else at.astype(np.uint64)
+        return Asked((self.named(at, PASSAGE), more), self.buckets, True, self.owner[at])
 
     def counted(self, repeated: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """For each document, how many stretches of passages that another document has too."""
@@ -307,7 +313,8 @@ def _third(buckets: int):
 
 
 def _meet(buckets: int, wide: bool):
-    """The names of a bucket, compared; passages and halves have buckets of their own. What blocks keep for themselves is passed on."""
+    """The names of a bucket, compared; passages and halves have buckets of their own, and only those of halves are short where
+    others are wide. What blocks keep for themselves is passed on."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = [(block, OWN, 0, known) for block, known in zip(group.column("block").to_pylist(), group.column("known").to_pylist(), strict=True) if known is not None]
@@ -315,7 +322,7 @@ def _meet(buckets: int, wide: bool):
         raw = group.column("names").to_pylist()
         order = [int(i) for i in np.argsort(blocks, kind="stable") if raw[i] is not None]
         bucket = group.column("bucket")[0].as_py()
-        long = wide and bucket < buckets
+        long = wide and bucket < 2 * buckets
         parts = []
         for i in order:
             one, two = common.unpack(raw[i])
