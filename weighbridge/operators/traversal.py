@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weighbridge.sources import shared
+
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -171,3 +173,50 @@ def walk(spark: SparkSession, machine: Sequence[dict], root: str, answers: DataF
             F.when(live & ~bad, F.concat("branches", F.array(F.concat_ws(":", "state", "branch")))).otherwise(F.col("branches")).alias("branches"), F.coalesce("status", "now").alias("status"), F.when(live & (F.col("now") == "COMPLETED"), F.col("next")).otherwise(F.col("action")).alias("action"),
         )
     return rows.select("case", "status", "action", "calls", "visited", "branches")
+
+
+def walk_tables(states: DataFrame, questions: DataFrame, cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """Machines as data, as many as there are domains: every case walks that of its own.
+
+    states(domain, state, root, minimum, yes_kind, yes_to, no_kind, no_to): one root a domain; kinds are 'state' and 'terminal'.
+    questions(domain, state, question, at); cases(case, domain); answers(case, question, answer). What a case says is
+    counted per state first; a round then joins the cases that still walk with the table of transitions, by domain and state: a
+    broadcast where that table is small, else a shuffle. The walks that end leave the loop, which ends when none is left.
+    Result as walk(), and the domain; a case whose domain has no root, or more than one, is a TREE_FAILURE without calls."""
+    states, questions = shared.written(states, "states"), shared.written(questions, "questions")
+    table = shared.small(states, 256)
+    said = cases.join(answers, "case").join(shared.small(questions, 256), ["domain", "question"]).groupBy("case", "domain", "state").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("said"))
+    sizes = questions.groupBy("domain", "state").agg(F.count("*").alias("questions")).join(states.select("domain", "state", "minimum"), ["domain", "state"])
+    zero = F.struct(F.lit(0).alias("calls"), F.lit(0).alias("yes"), F.lit(None).cast("string").alias("end"))
+
+    def ask(acc, x):
+        yes = acc["yes"] + (x["answer"] == "yes").cast("int")
+        end = F.when(~F.coalesce(x["answer"].isin("yes", "no"), F.lit(False)), "INVALID_OUTPUT").when(yes >= F.col("minimum"), "yes").when(x["at"] + 1 >= F.col("questions"), "no")
+        return F.when(acc["end"].isNotNull(), acc).otherwise(F.struct((acc["calls"] + 1).alias("calls"), yes.alias("yes"), end.alias("end")))
+
+    outcome = said.join(shared.small(shared.written(sizes, "sizes"), 128), ["domain", "state"]).select("case", F.struct("state", F.aggregate("said", zero, ask).alias("o")).alias("known"))
+    known = outcome.groupBy("case").agg(F.map_from_entries(F.collect_list("known")).alias("known"))
+    roots = states.where("root").groupBy("domain").agg(F.when(F.count("*") == 1, F.max("state")).alias("state"))
+    blank = {"calls": F.lit(0), "visited": F.expr(EMPTY), "branches": F.expr(EMPTY), "status": F.lit(None).cast("string"), "action": F.lit(None).cast("string")}
+    live = cases.join(shared.small(shared.written(roots, "roots"), 128), "domain", "left").join(known, "case", "left").withColumns(blank)
+    shown = ["case", "domain", "status", "action", "calls", "visited", "branches"]
+    done = live.where("state is null").withColumn("status", F.lit("TREE_FAILURE")).select(shown)
+    live = shared.written(live.where("state is not null"), "walks")
+    while not live.isEmpty():
+        met = live.join(table, ["domain", "state"], "left").withColumn("o", F.try_element_at("known", F.col("state")))
+        branch = F.coalesce(F.col("o")["end"], F.lit("INVALID_OUTPUT"))
+        yes = branch == "yes"
+        met = met.withColumns({"branch": branch, "kind": F.when(yes, F.col("yes_kind")).otherwise(F.col("no_kind")), "next": F.when(yes, F.col("yes_to")).otherwise(F.col("no_to"))})
+        missing = F.col("minimum").isNull()  # no such state
+        bad = F.col("branch") == "INVALID_OUTPUT"
+        seen = F.concat("visited", F.array("state"))
+        loops = (F.col("kind") == "state") & F.array_contains(seen, F.col("next"))
+        status = F.when(missing, "TREE_FAILURE").when(bad, "INVALID_OUTPUT").when(loops, "TREE_FAILURE").when(F.col("kind") == "terminal", "COMPLETED")
+        step = met.select(
+            "case", "domain", "known", F.when(missing, F.col("state")).otherwise(F.col("next")).alias("state"), (F.col("calls") + F.when(missing, 0).otherwise(F.coalesce(F.col("o")["calls"], F.lit(0)))).alias("calls"), F.when(missing, F.col("visited")).otherwise(seen).alias("visited"),
+            F.when(missing | bad, F.col("branches")).otherwise(F.concat("branches", F.array(F.concat_ws(":", "state", "branch")))).alias("branches"), status.alias("status"), F.when(status == "COMPLETED", F.col("next")).alias("action"),
+        )
+        step = shared.written(step, "walks")
+        done = done.unionByName(step.where("status is not null").select(shown))
+        live = step.where("status is null")
+    return done

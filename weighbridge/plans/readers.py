@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.plans.registry import query
 from weighbridge.sources import shared, splits, tables
+from weighbridge.streaming import ingest
 
 
 def ordered_lines(spark, rows: DataFrame, key: str, line: Column) -> str:
@@ -45,3 +46,19 @@ def quoted_csv(spark, sf):
     docs = tables.table(spark, sf, "documents").select("doc_id", "text", "source")
     docs.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
     return splits.read_csv(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source")
+
+
+@query("stale_batches", """WITH o AS (SELECT o_orderkey // 512 AS batch, round(o_totalprice * 100)::BIGINT AS cents FROM orders), b AS (SELECT batch, count(*) AS n, sum(cents)::BIGINT AS cents FROM o GROUP BY ALL)
+ SELECT batch, 'p1' AS run, 'landed' AS outcome, n, cents FROM b WHERE batch % 2 = 0 UNION ALL SELECT batch, 'p2', CASE WHEN batch % 2 = 1 THEN 'landed' WHEN batch % 5 = 0 THEN 'stale' ELSE 'skipped' END, n, CASE WHEN batch % 2 = 1 THEN cents + CASE WHEN batch % 5 = 0 THEN n ELSE 0 END ELSE cents END FROM b""")
+def stale_batches(spark, sf):
+    """Orders land in batches. A first run has every other batch; a second has all, a fifth of them with changed amounts: what is
+    finished is skipped, what came in other rows is stale, and what has landed stays as it was."""
+    base = shared.folder(spark, "batches")
+    orders = tables.table(spark, sf, "orders").select(F.expr("o_orderkey div 512").alias("batch"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    tampered = orders.withColumn("cents", F.col("cents") + F.when(F.col("batch") % 5 == 0, 1).otherwise(0))
+    for name, rows in (("p1", orders.where("batch % 2 = 0")), ("p2", tampered)):
+        rows.write.parquet(f"{base}/{name}")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{base}/{name}")
+        ingest.resume(stream, f"{base}/sink", f"{base}/checkpoint-{name}", "orders", name)
+    there = spark.read.option("recursiveFileLookup", "true").schema(orders.schema).parquet(f"{base}/sink/rows").groupBy("batch").agg(F.sum("cents").alias("cents"))
+    return ingest.log(spark, f"{base}/sink").select("batch", "run", "outcome", "n").join(there, "batch")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weighbridge.functions import contracts
-from weighbridge.operators import metrics, traversal
+from weighbridge.functions import contracts, scalars
+from weighbridge.operators import forests, metrics, traversal
 from weighbridge.plans.registry import query
 from weighbridge.sources import tables
 
@@ -196,11 +196,51 @@ def binary_action_metrics(spark, sf):
     return labelled(spark, sf).groupBy("k").agg(F.count("*").alias("n"), F.count("p").alias("valid"), tp.alias("tp"), F.count_if(~e & q).alias("fp"), F.count_if(e & ~F.coalesce(q, F.lit(False))).alias("fn"), tn.alias("tn"), ((tp + tn) / F.count("*")).alias("accuracy"))
 
 
-@query("tree_problems")
+#: Trees out of the orders of each customer: order i asks and leads on to 2 i + 1 and 2 i + 2, or ends; some are faulty.
+FOREST = f"""WITH RECURSIVE o AS (SELECT o_custkey AS tree, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ nd AS (SELECT tree, i AS node, CASE WHEN k % 29 = 0 THEN 'leaf' WHEN 2 * i + 2 < n THEN 'criterion' WHEN i % 2 = 0 THEN 'terminal' ELSE 'path_end' END AS kind, CASE WHEN 2 * i + 2 < n AND k % 47 <> 0 THEN 'c' || k % 7 END AS criterion, CASE WHEN k % 11 <> 0 THEN 'a' || k % 5 ELSE ' ' END AS action FROM o),
+ n2 AS (SELECT * FROM nd UNION ALL SELECT tree, i, 'terminal', NULL, 'a' FROM o WHERE k % 31 = 0 AND 2 * i + 2 >= n),
+ ed AS (SELECT tree, i AS node, branch, CASE WHEN k % 17 = 0 AND branch = 'no' THEN i // 2 WHEN k % 13 = 0 AND branch = 'yes' THEN i + 1000 ELSE 2 * i + b END AS target FROM o, (VALUES ('yes', 1), ('no', 2)) t(branch, b) WHERE (2 * i + 2 < n OR k % 53 = 0) AND NOT (k % 19 = 0 AND branch = 'no')),
+ st AS (SELECT tree, i AS node, CASE WHEN k % 37 = 0 AND s = 5 THEN 'OTHER' ELSE 's' || s END AS state, CASE WHEN s = 0 THEN 'yes' WHEN s = 1 THEN 'no' WHEN k % 41 = 0 THEN 'maybe' ELSE 'yes' END AS branch FROM o, range(6) t(s) WHERE 2 * i + 2 < n AND NOT (k % 23 = 0 AND s = 4) UNION ALL SELECT tree, i, 's0', 'yes' FROM o WHERE k % 43 = 0 AND 2 * i + 2 < n),
+ rt AS (SELECT DISTINCT tree, CASE WHEN tree % 59 = 0 THEN -1 ELSE 0 END AS root FROM o),
+ oc AS (SELECT tree, node, any_value(kind ORDER BY kind) AS kind, any_value(criterion) AS criterion, any_value(action) AS action FROM n2 GROUP BY ALL),
+ ask AS (SELECT tree, node FROM nd WHERE kind = 'criterion'),
+ fe AS (SELECT DISTINCT tree, node, target FROM ed SEMI JOIN ask USING (tree, node) WHERE (tree, target) IN (SELECT (tree, node) FROM nd)),
+ re(tree, node) AS (SELECT tree, root FROM rt WHERE root >= 0 UNION SELECT fe.tree, fe.target FROM re JOIN fe USING (tree, node)),
+ ce AS (SELECT fe.* FROM fe SEMI JOIN re USING (tree, node)),
+ cl(tree, a, z) AS (SELECT tree, node, target FROM ce UNION SELECT cl.tree, cl.a, ce.target FROM cl JOIN ce ON ce.tree = cl.tree AND ce.node = cl.z),
+ pr AS (SELECT tree, node, 'duplicate node' AS problem FROM n2 GROUP BY tree, node HAVING count(*) > 1 UNION ALL SELECT tree, node, 'unknown kind' FROM nd WHERE kind = 'leaf'
+ UNION ALL SELECT tree, node, 'terminal without an action' FROM nd WHERE kind = 'terminal' AND trim(action) = '' UNION ALL SELECT tree, node, 'criterion without a name' FROM nd WHERE kind = 'criterion' AND criterion IS NULL
+ UNION ALL SELECT DISTINCT tree, node, 'branches of an end' FROM nd SEMI JOIN ed USING (tree, node) WHERE kind IN ('terminal', 'path_end') UNION ALL SELECT tree, root, 'missing root' FROM rt WHERE root < 0
+ UNION ALL SELECT tree, node, 'fewer than two branches' FROM ask LEFT JOIN ed USING (tree, node) GROUP BY tree, node HAVING count(branch) < 2 UNION ALL SELECT DISTINCT tree, node, 'missing target' FROM ed SEMI JOIN ask USING (tree, node) WHERE (tree, target) NOT IN (SELECT (tree, node) FROM nd)
+ UNION ALL SELECT DISTINCT tree, node, 'missing state' FROM ask, range(6) t(s) WHERE (tree, node, 's' || s) NOT IN (SELECT (tree, node, state) FROM st) UNION ALL SELECT DISTINCT tree, node, 'unknown state' FROM st SEMI JOIN ask USING (tree, node) WHERE state = 'OTHER'
+ UNION ALL SELECT DISTINCT tree, node, 'state of an unknown branch' FROM st SEMI JOIN ask USING (tree, node) ANTI JOIN ed USING (tree, node, branch) UNION ALL SELECT DISTINCT tree, node, 'branch twice in a state' FROM (SELECT tree, node FROM st SEMI JOIN ask USING (tree, node) GROUP BY tree, node, state, branch HAVING count(*) > 1)
+ UNION ALL SELECT tree, node, 'criterion of several nodes' FROM nd JOIN (SELECT tree, criterion FROM nd WHERE kind = 'criterion' AND criterion IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (tree, criterion) WHERE kind = 'criterion'
+ UNION ALL SELECT DISTINCT tree, node, 'out of reach' FROM nd JOIN rt USING (tree) ANTI JOIN re USING (tree, node) WHERE root >= 0 UNION ALL SELECT DISTINCT tree, a, 'on a cycle' FROM cl WHERE a = z)"""
+REQUIRED = tuple(f"s{k}" for k in range(6))
+
+
+def forest(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """nodes, edges, states and roots of the trees."""
+    own = Window.partitionBy("tree")
+    o = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("tree"), F.col("o_orderkey").alias("k"))
+    o = o.withColumns({"i": (F.row_number().over(own.orderBy("k")) - 1).cast("long"), "n": F.count("*").over(own)})
+    inner, each = F.expr("2 * i + 2 < n"), lambda *rows: F.inline(F.array(*(F.struct(F.lit(a).alias("branch"), F.lit(b).alias("b")) for a, b in rows)))
+    kind = F.when(F.col("k") % 29 == 0, "leaf").when(inner, "criterion").when(F.col("i") % 2 == 0, "terminal").otherwise("path_end")
+    nodes = o.select("tree", F.col("i").alias("node"), kind.alias("kind"), F.when(inner & (F.col("k") % 47 != 0), F.concat(F.lit("c"), F.col("k") % 7)).alias("criterion"), F.when(F.col("k") % 11 != 0, F.concat(F.lit("a"), F.col("k") % 5)).otherwise(" ").alias("action"))
+    nodes = nodes.unionByName(o.where(~inner & (F.col("k") % 31 == 0)).select("tree", F.col("i").alias("node"), F.lit("terminal").alias("kind"), F.lit(None).cast("string").alias("criterion"), F.lit("a").alias("action")))
+    target = F.expr("case when k % 17 = 0 and branch = 'no' then i div 2 when k % 13 = 0 and branch = 'yes' then i + 1000 else 2 * i + b end")
+    edges = o.where(inner | (F.col("k") % 53 == 0)).select("*", each(("yes", 1), ("no", 2))).where("not (k % 19 = 0 and branch = 'no')").select("tree", F.col("i").alias("node"), "branch", target.alias("target"))
+    held = o.where(inner).select("tree", "k", F.col("i").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("s")).where("not (k % 23 = 0 and s = 4)")
+    states = held.select("tree", "node", F.expr("case when k % 37 = 0 and s = 5 then 'OTHER' else concat('s', s) end").alias("state"), F.expr("case when s = 0 then 'yes' when s = 1 then 'no' when k % 41 = 0 then 'maybe' else 'yes' end").alias("branch"))
+    states = states.unionByName(o.where(inner & (F.col("k") % 43 == 0)).select("tree", F.col("i").alias("node"), F.lit("s0").alias("state"), F.lit("yes").alias("branch")))
+    return nodes, edges, states, o.select("tree", F.expr("case when tree % 59 = 0 then -1L else 0L end").alias("root")).distinct()
+
+
+@query("tree_problems", FOREST + " SELECT tree, node::VARCHAR AS node, problem FROM pr")
 def tree_problems(spark, sf):
-    """A tree with a dangling edge, a cycle and a node out of reach, as the validator sees it. No tables are read."""
-    broken = traversal.Tree("a", {"a": ("criterion", "x", None), "b": ("criterion", "y", None), "z": ("terminal", None, "k")}, {("a", "yes"): ("b", []), ("b", "no"): ("a", []), ("a", "no"): ("gone", [])}, {("a", "S"): ["yes", "other"]})
-    return spark.createDataFrame(broken.problems(), "node string, problem string")
+    """All that is wrong with the trees, whose tables are validated together."""
+    return forests.problems(*forest(spark, sf), REQUIRED)
 
 
 @query("stored_outcome", f"{RAWS}, {machine_sql('strict', 'st')}, ex AS (SELECT o_orderkey::VARCHAR AS case_id, o_orderkey % 4 = 0 AS stored, CASE o_orderkey % 3 WHEN 0 THEN 'Refer' WHEN 1 THEN 'End of Decision Tree' ELSE 'Treat' END AS want FROM orders) SELECT status, count(*) AS n, count(*) FILTER (stored <> coalesce(status = 'COMPLETED' AND action = want, false)) AS differing FROM st JOIN ex USING (case_id) GROUP BY ALL")
@@ -209,3 +249,43 @@ def stored_outcome(spark, sf):
     want = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), contracts.terminal_label(F.expr(EXPECTED)).alias("want"), (F.col("o_orderkey") % 4 == 0).alias("stored"))
     right = F.coalesce((F.col("status") == "COMPLETED") & (F.col("action") == F.col("want")), F.lit(False))
     return walked(spark, sf, "strict").join(want, "case").groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("stored") != right).alias("differing"))
+
+
+#: A second machine; orders of the third domain have none.
+SECOND = (
+    {"state": "s1", "questions": ["q1", "q4"], "minimum": 1, "yes": ("terminal", "Refer"), "no": ("state", "s2")},
+    {"state": "s2", "questions": ["q2"], "minimum": 1, "yes": ("terminal", "Treat"), "no": ("terminal", "End")},
+)
+
+
+def domain_sql(policy: str, p: str) -> str:
+    """Status, action, calls and route of each order by the machine of its domain."""
+    return f"""{machine_sql(policy, p)}, {p}d AS (SELECT o_orderkey::VARCHAR AS case_id, 'd' || o_custkey % 3 AS domain FROM orders),
+ {p}e AS (SELECT *, CASE WHEN q1 IS NULL OR q1 = 'yes' THEN 1 ELSE 2 END AS e1, CASE WHEN q1 = 'yes' THEN 'yes' WHEN q1 = 'no' THEN q4 END AS f1 FROM {p}w), {p}f AS (SELECT *, CASE f1 WHEN 'no' THEN 1 ELSE 0 END AS e2, CASE f1 WHEN 'no' THEN q2 END AS f2 FROM {p}e),
+ {p}m AS (SELECT case_id, domain, status, action, calls, 's1:' || b1 || CASE b1 WHEN 'yes' THEN '>s2:' ELSE '>s3:' END || b2 AS route FROM {p}d JOIN {p} USING (case_id) JOIN {p}2 ON o_orderkey::VARCHAR = case_id WHERE domain = 'd0'
+ UNION ALL SELECT case_id, domain, CASE WHEN f1 IS NULL OR (f1 = 'no' AND f2 IS NULL) THEN 'INVALID_OUTPUT' ELSE 'COMPLETED' END, CASE WHEN f1 = 'yes' THEN 'Refer' WHEN f2 = 'yes' THEN 'Treat' WHEN f2 = 'no' THEN 'End of Decision Tree' END, e1 + e2, 's1:' || f1 || coalesce('>s2:' || f2, '') FROM {p}d JOIN {p}f ON o_orderkey::VARCHAR = case_id WHERE domain = 'd1'
+ UNION ALL SELECT case_id, domain, 'TREE_FAILURE', NULL, 0, '' FROM {p}d WHERE domain = 'd2')"""
+
+
+def by_domain(spark, sf, policy: str) -> DataFrame:
+    """All orders, each walked through the machine of its domain; machines are tables."""
+    both = [("d0", m) for m in MACHINE] + [("d1", m) for m in SECOND]
+    states = spark.createDataFrame([(d, m["state"], m["state"] == "s1", m["minimum"], *m["yes"], *m["no"]) for d, m in both], "domain string, state string, root boolean, minimum int, yes_kind string, yes_to string, no_kind string, no_to string")
+    questions = spark.createDataFrame([(d, m["state"], q, i) for d, m in both for i, q in enumerate(m["questions"])], "domain string, state string, question string, at int")
+    cases = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), F.concat(F.lit("d"), F.col("o_custkey") % 3).alias("domain"))
+    answers = said(spark, sf).select("case", "question", READ[policy](F.col("raw")).alias("answer"))
+    return traversal.walk_tables(states, questions, cases, answers).withColumn("action", contracts.terminal_label(F.col("action")))
+
+
+@query("machines_by_domain", f"{RAWS}, {domain_sql('strict', 'st')} SELECT domain, status, action, count(*) AS cases, sum(calls)::BIGINT AS calls FROM stm GROUP BY ALL")
+def machines_by_domain(spark, sf):
+    return by_domain(spark, sf, "strict").groupBy("domain", "status", "action").agg(F.count("*").alias("cases"), F.sum("calls").alias("calls"))
+
+
+@query("case_rows_with_routes", f"{RAWS}, {domain_sql('legacy', 'lg')} SELECT 'e2_case_' || substr(sha256(concat_ws(chr(31), domain, case_id)), 1, 24) AS case_id, domain, CASE case_id::BIGINT % 3 WHEN 0 THEN 'Refer' WHEN 1 THEN 'End of Decision Tree' ELSE 'Treat' END AS expected_action, action, calls, route, coalesce(action = expected_action, false) AS route_matches FROM lgm")
+def case_rows_with_routes(spark, sf):
+    """Rows of cases with the route that their reference answers take."""
+    want = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), contracts.terminal_label(F.expr(EXPECTED)).alias("expected_action"))
+    rows = by_domain(spark, sf, "legacy").join(want, "case")
+    matches = F.coalesce(F.col("action") == F.col("expected_action"), F.lit(False))
+    return rows.select(scalars.stable_id("e2_case_", F.col("domain"), F.col("case")).alias("case_id"), "domain", "expected_action", "action", F.col("calls").cast("long").alias("calls"), F.array_join("branches", ">").alias("route"), matches.alias("route_matches"))
