@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("responses", "notes", "paired", "checks", "trees", "datasets", "reports", "readers")
+MODULES = ("responses", "notes", "paired", "checks", "trees", "datasets", "reports", "readers", "composed")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
