@@ -240,3 +240,16 @@ def test_formats(spark):
 
     row = spark.range(1).select(scalars.percent(F.lit(0.1234)), scalars.percent(F.lit(None).cast("double")), scalars.interval(F.lit(-0.5), F.lit(0.25)), scalars.interval(F.lit(None).cast("double"), F.lit(1.0))).first()
     assert tuple(row) == ("12.3%", "-", "[-0.500, 0.250]", "-")
+
+
+def test_canonical_digest_orders_every_level(spark):
+    a = spark.sql("select struct(2 as b, struct(1 as z, array(struct('q' as y, 'p' as x)) as a) as a) as v, map('k', map('b', 1, 'a', 2), 'c', map('d', 3)) as m, 1 as n")
+    b = spark.sql("select struct(struct(array(struct('p' as x, 'q' as y)) as a, 1 as z) as a, 2 as b) as v, map('c', map('d', 3), 'k', map('a', 2, 'b', 1)) as m, 1 as n")
+    got = [df.select(scalars.canonical_digest({f.name: f.dataType for f in df.schema}, v=F.col("v"), m=F.col("m"), n=F.col("n"))).first()[0] for df in (a, b)]
+    text = '{"m":{"c":{"d":3},"k":{"a":2,"b":1}},"n":1,"v":{"a":{"a":[{"x":"p","y":"q"}],"z":1},"b":2}}'
+    assert got == [hashlib.sha256(text.encode()).hexdigest()] * 2
+
+
+def test_large_percents_and_folded_slugs(spark):
+    row = spark.range(1).select(scalars.percent(F.lit(12.5)), scalars.slug(F.lit("Straße ﬁne ıx"))).first()
+    assert tuple(row) == ("1250.0%", "strasse_fine_x")

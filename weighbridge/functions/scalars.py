@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = "\x1f"
 
@@ -75,7 +76,9 @@ def is_digest(value: Column) -> Column:
 
 
 def slug(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
+    """Letters whose capitals are several count as these: ß as ss, a ligature as its letters."""
+    folded = F.lower(F.upper(F.translate(value, "\u0131", "_")))  # a dotless i has a plain I as its capital
+    return F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
 
 
 def rendered(value: Column) -> Column:
@@ -83,13 +86,28 @@ def rendered(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("missing"))
 
 
-def canonical_digest(**fields: Column) -> Column:
-    """The digest of a JSON object with its keys in order and nothing between its parts; null fields are written as null."""
-    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A value whose structs have their fields by name and whose maps have their entries by key, at every level."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(canonical(value[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value)) if isinstance(kind.valueType, T.AtomicType) else F.transform(F.array_sort(F.map_keys(value)), lambda k: F.struct(k.alias("key"), F.element_at(value, k).alias("value")))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value"))))
+    return value
+
+
+def canonical_digest(kinds: dict[str, T.DataType] | None = None, **fields: Column) -> Column:
+    """The digest of a JSON object with its keys in order and nothing between its parts; null fields are written as null. kinds
+    are the types of fields that have keys of their own, which are ordered at every level then."""
+    whole = F.struct(*(canonical(fields[k], (kinds or {}).get(k, T.NullType())).alias(k) for k in sorted(fields)))
+    return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
 
 
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.coalesce(F.concat(F.format_number(100 * value, digits), F.lit("%")), F.lit("-"))
+    return F.coalesce(F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", 100 * value)), F.lit("-"))
 
 
 def interval(low: Column, high: Column, digits: int = 3) -> Column:

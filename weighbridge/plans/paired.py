@@ -96,6 +96,17 @@ def interval_inverted_cdf(spark, sf):
     return d.groupBy(*KEYS).agg(*(F.expr(f"percentile_disc({q}) within group (order by micro)").alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
 
 
+#: Pairs of models of a condition: their intervals hold together at the level divided by this.
+FAMILY = 6
+
+
+@query("interval_inverted_cdf_family", f"{DIFF} SELECT condition, model_a, model_b, quantile_disc(micro, {0.025 / FAMILY!r}) AS low, quantile_disc(micro, {1 - 0.025 / FAMILY!r}) AS high FROM df GROUP BY ALL")
+def interval_inverted_cdf_family(spark, sf):
+    """The same at the Bonferroni level of all pairs of a condition."""
+    d = differences(spark, sf)
+    return d.groupBy(*KEYS).agg(*(F.expr(f"percentile_disc({q!r}D) within group (order by micro)").alias(n) for n, q in (("low", 0.025 / FAMILY), ("high", 1 - 0.025 / FAMILY))))
+
+
 @query("bootstrap_interaction", f"{BOOT}, x AS (SELECT replicate, model, round(sum(macro * CASE condition WHEN 'compact_constrained' THEN 1 WHEN 'full_unconstrained' THEN 1 ELSE -1 END), 9) AS z FROM rr GROUP BY ALL) SELECT model, round(quantile_cont(z, 0.025), 8) AS low, round(quantile_cont(z, 0.975), 8) AS high FROM x GROUP BY ALL")
 def bootstrap_interaction(spark, sf):
     terms = spark.createDataFrame([("compact_constrained", 1), ("full_unconstrained", 1), ("compact_unconstrained", -1), ("full_constrained", -1)], "condition string, weight int")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
-from weighbridge.operators import forests, metrics, traversal
+from weighbridge.operators import forests, metrics, paired, replay, resample, traversal
 from weighbridge.plans.registry import query
-from weighbridge.sources import tables
+from weighbridge.sources import shared, tables
 
+#: Replicates of the replay report.
+REPLICATES = 10_000
 TREE = traversal.Tree(
     "n1",
     {"n1": ("criterion", "c1", None), "n2": ("criterion", "c2", None), "n3": ("criterion", "c3", None), "t1": ("terminal", None, "refer"), "t2": ("terminal", None, "treat"), "t3": ("terminal", None, "watch"), "e1": ("path_end", None, None)},
@@ -289,3 +291,65 @@ def case_rows_with_routes(spark, sf):
     rows = by_domain(spark, sf, "legacy").join(want, "case")
     matches = F.coalesce(F.col("action") == F.col("expected_action"), F.lit(False))
     return rows.select(scalars.stable_id("e2_case_", F.col("domain"), F.col("case")).alias("case_id"), "domain", "expected_action", "action", F.col("calls").cast("long").alias("calls"), F.array_join("branches", ">").alias("route"), matches.alias("route_matches"))
+
+
+#: Logs that a run of the lenient policy would have saved, by the machine of the first domain; some are damaged.
+PATH = f"""{machine_sql('legacy', 'lg')}, {machine_sql('period', 'pd')}, {machine_sql('strict', 'st')},
+ pt AS (SELECT o_orderkey, list_concat(CASE WHEN q1 = 'yes' AND q2 = 'yes' THEN [1, 2] ELSE [1, 2, 3] END, CASE WHEN b1 = 'yes' THEN [4] WHEN q5 = 'yes' THEN [5] ELSE [5, 6] END) AS qs FROM lg2),
+ pa AS (SELECT o_orderkey, [q1, q2, q3, q4, q5, q6] AS a FROM pdw),
+ ps AS (SELECT o_orderkey, qs, CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE coalesce(list_min(list_filter(range(1, len(qs) + 1), lambda i: a[qs[i]] IS NULL)), 0) END AS stop, o_orderkey % 89 = 0 AND o_orderkey % 83 <> 0 AND o_orderkey % 97 <> 0 AS more FROM pt JOIN pa USING (o_orderkey)),
+ rp AS (SELECT o_orderkey, o_orderkey::VARCHAR AS case_id, CASE WHEN o_orderkey % 83 = 0 THEN 'duplicate round' WHEN o_orderkey % 97 = 0 THEN 'gap in rounds' WHEN stop = 0 AND more THEN 'log goes on after the walk' END AS problem,
+  CASE WHEN o_orderkey % 101 = 0 THEN 'RUNTIME_FAILURE' WHEN stop > 0 THEN 'OUTPUT_FAILURE' ELSE 'COMPLETED' END AS status, CASE WHEN stop > 0 THEN stop ELSE len(qs) END AS consumed, len(qs) + more::INT - CASE WHEN stop > 0 THEN stop ELSE len(qs) END AS unconsumed, CASE WHEN stop > 0 THEN 'q' || qs[stop] END AS failure_question, lg.action
+  FROM ps JOIN lg ON lg.case_id = o_orderkey::VARCHAR)"""
+
+
+def saved_logs(spark, sf) -> DataFrame:
+    """The decisions of the lenient run, with what the strict reading with an optional period makes of each output."""
+    both = said(spark, sf).select("case", "question", READ["legacy"](F.col("raw")).alias("frozen"), READ["period"](F.col("raw")).alias("answer"))
+    by = both.groupBy("case").agg(F.map_from_entries(F.collect_list(F.struct("question", F.struct("frozen", "answer")))).alias("told"))
+    yes = lambda q: F.element_at("told", q)["frozen"] == "yes"
+    at = lambda state, *qs: F.array(*(F.struct(F.lit(state).alias("state"), F.lit(q).alias("question")) for q in qs))
+    two, first = yes("q1") & yes("q2"), (yes("q1").cast("int") + yes("q2").cast("int") + (~(yes("q1") & yes("q2")) & yes("q3")).cast("int")) >= 2
+    path = F.concat(at("s1", "q1", "q2"), F.when(two, F.slice(at("s1", "q3"), 1, 0)).otherwise(at("s1", "q3")), F.when(first, at("s2", "q4")).when(yes("q5"), at("s3", "q5")).otherwise(at("s3", "q5", "q6")))
+    key = F.col("case").cast("long")
+    rounds = F.transform(path, lambda d, i: F.struct(i.alias("round"), d["state"].alias("state"), d["question"].alias("question")))
+    damaged = F.when(key % 83 == 0, F.concat(rounds, F.slice(rounds, 1, 1))).when(key % 97 == 0, F.filter(rounds, lambda d: d["round"] != 1)).when(key % 89 == 0, F.concat(rounds, F.array(F.struct(F.size(rounds).alias("round"), F.lit("s1").alias("state"), F.lit("q1").alias("question"))))).otherwise(rounds)
+    laid = by.select("case", "told", F.inline(damaged))
+    return laid.select("case", F.lit("d0").alias("domain"), "round", "state", "question", F.element_at("told", F.col("question"))["answer"].alias("answer"), F.element_at("told", F.col("question"))["frozen"].alias("frozen"), (key % 101 == 0).alias("runtime_failed"))
+
+
+def replayed(spark, sf) -> DataFrame:
+    rows = [("d0", m["state"], m["state"] == "s1", m["minimum"], *m["yes"], *m["no"]) for m in MACHINE]
+    states = spark.createDataFrame(rows, "domain string, state string, root boolean, minimum int, yes_kind string, yes_to string, no_kind string, no_to string")
+    questions = spark.createDataFrame([("d0", m["state"], q, i) for m in MACHINE for i, q in enumerate(m["questions"])], "domain string, state string, question string, at int")
+    logs = shared.written(saved_logs(spark, sf), "logs")
+    return replay.replay(replay.packed(states, questions), logs.select("case", "domain").distinct(), logs)
+
+
+@query("replayed_decisions", f"{RAWS}, {PATH} SELECT case_id, problem, CASE WHEN problem IS NULL THEN status END AS status, CASE WHEN problem IS NULL AND status = 'COMPLETED' THEN action END AS action, CASE WHEN problem IS NULL THEN consumed END AS consumed, CASE WHEN problem IS NULL THEN unconsumed END AS unconsumed, CASE WHEN problem IS NULL THEN failure_question END AS failure_question FROM rp")
+def replayed_decisions(spark, sf):
+    out = replayed(spark, sf)
+    return out.select(F.col("case").alias("case_id"), "problem", "status", contracts.terminal_label(F.col("action")).alias("action"), F.col("consumed").cast("long").alias("consumed"), F.col("unconsumed").cast("long").alias("unconsumed"), "failure_question")
+
+
+@query("replay_report", f"""{RAWS}, {PATH}, ou AS (SELECT o_orderkey, o_custkey, 'r' || o_custkey % 3 AS domain, CASE o_orderkey % 3 WHEN 0 THEN 'Refer' WHEN 1 THEN 'End of Decision Tree' ELSE 'Treat' END AS want FROM orders),
+ k AS (SELECT domain, o_custkey, coalesce(st.action = want, false)::INT AS a, (problem IS NULL AND rp.status = 'COMPLETED' AND coalesce(rp.action = want, false))::INT AS b FROM ou JOIN rp USING (o_orderkey) JOIN st ON st.case_id = rp.case_id),
+ cs AS (SELECT domain, o_custkey, count(*) AS n, sum(a) AS a, sum(b) AS b FROM k GROUP BY ALL), cl AS (SELECT domain, o_custkey, row_number() OVER (PARTITION BY domain ORDER BY substr(sha256(o_custkey::VARCHAR), 1, 3), o_custkey) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS size FROM cs),
+ dr AS (SELECT r, domain, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, domain, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)), dd AS (SELECT r, domain, round((sum(b) - sum(a)) / sum(n), 9) AS d FROM dr JOIN cl ON cl.domain = dr.domain AND cl.slot = dr.pick JOIN cs ON cs.domain = cl.domain AND cs.o_custkey = cl.o_custkey GROUP BY r, dr.domain, domain),
+ mm AS (SELECT r, round(avg(d), 9) AS d FROM dd GROUP BY r) SELECT (SELECT count(*) FROM k) AS n, (SELECT count(*) FILTER (a = 0 AND b = 1) FROM k) AS rescued, (SELECT count(*) FILTER (a = 1 AND b = 0) FROM k) AS lost, (SELECT round(avg(x), 9) FROM (SELECT domain, round((sum(b) - sum(a)) / sum(n), 9) AS x FROM cs GROUP BY ALL)) AS difference, round(quantile_cont(d, 0.025), 8) AS low, round(quantile_cont(d, 0.975), 8) AS high FROM mm""".replace("GROUP BY r, dr.domain, domain)", "GROUP BY ALL)").replace("SELECT r, domain, round((sum(b)", "SELECT r, dr.domain, round((sum(b)"))
+def replay_report(spark, sf):
+    """What the replayed policy rescues and loses against the strict one, and the mean difference of the domains' accuracies with
+    its interval; customers are drawn within domains."""
+    orders = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), "o_custkey", F.concat(F.lit("r"), F.col("o_custkey") % 3).alias("domain"), contracts.terminal_label(F.expr(EXPECTED)).alias("want"))
+    side = lambda rows, n: rows.select("case", contracts.terminal_label(F.col("action")).alias(n))
+    both = orders.join(side(walked(spark, sf, "strict"), "x"), "case").join(side(replayed(spark, sf), "y"), "case")
+    right = lambda c: F.coalesce(F.col(c) == F.col("want"), F.lit(False)).cast("int")
+    k = shared.written(both.select("domain", "o_custkey", right("x").alias("a"), right("y").alias("b")), "outcomes")
+    by = k.groupBy("domain", "o_custkey").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    drawn = resample.resampled(by, by.select("domain", "o_custkey"), "o_custkey", REPLICATES, ["domain"], ["n", "a", "b"], ["domain"])
+    both = drawn.unionByName(by.groupBy("domain").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b"))).withColumn("replicate", F.lit(-1)))
+    mean = both.withColumn("d", F.round((F.col("b") - F.col("a")) / F.col("n"), 9)).groupBy("replicate").agg(F.round(F.avg("d"), 9).alias("d"))
+    i = paired.interval_linear(F.collect_list(F.when(F.col("replicate") >= 0, F.col("d"))))
+    stats = mean.agg(F.max(F.when(F.col("replicate") < 0, F.col("d"))).alias("difference"), paired.scaled_round(i["low"]).alias("low"), paired.scaled_round(i["high"]).alias("high"))
+    counts = k.agg(F.count("*").alias("n"), F.count_if(F.expr("a = 0 and b = 1")).alias("rescued"), F.count_if(F.expr("a = 1 and b = 0")).alias("lost"))
+    return counts.crossJoin(F.broadcast(stats))  # a row each
