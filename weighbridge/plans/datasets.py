@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
+from weighbridge.operators import candidates
 from weighbridge.plans.registry import query
 from weighbridge.sources import files, shared, tables
 from weighbridge.streaming import ingest
@@ -155,3 +156,39 @@ def checkpoint_resume(spark, sf):
         stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
         ingest.ingest(stream, f"{base}/rows", f"{base}/checkpoint")
     return ingest.landed(spark, f"{base}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+KINDS = ("symptom", "finding")
+CANDIDATES = f"""WITH lb AS (SELECT l.doc_id AS label_id, CASE WHEN l.doc_id % 11 = 0 THEN l.doc_id + 1000000000 ELSE l.doc_id END AS note_id, mention, strpos(text, mention) - 1 + CASE WHEN l.doc_id % 7 = 0 THEN 1 WHEN l.doc_id % 17 = 0 THEN 10000000 ELSE 0 END AS s, quality, CASE WHEN l.doc_id % 13 = 0 THEN 'other' WHEN toxic = 1 THEN 'finding' ELSE 'symptom' END AS kind
+  FROM labels l JOIN (SELECT doc_id, text, regexp_extract(text, '[^ ]+') AS mention FROM documents) USING (doc_id)),
+ j AS (SELECT lb.*, s + length(mention) AS e, d.text, d.source, length(d.text) AS n FROM lb LEFT JOIN documents d ON d.doc_id = lb.note_id),
+ r AS (SELECT *, CASE WHEN text IS NULL THEN 'missing note' WHEN s IS NULL OR s < 0 OR e <= s OR e > n THEN 'span outside the note' WHEN substr(text, s + 1, e - s) <> mention THEN 'span differs from its mention' WHEN e - s > {MOST} THEN 'span over the window' WHEN kind = 'other' THEN 'unknown kind' END AS reason FROM j),
+ a AS (SELECT *, {MOST} - (e - s) AS spare, greatest(0, s - ({MOST} - (e - s)) // 2) AS l0 FROM r WHERE reason IS NULL), b AS (SELECT *, least(n, e + spare - (s - l0)) AS u0 FROM a),
+ w AS (SELECT *, CASE WHEN n <= {MOST} THEN 0 WHEN u0 - l0 < {MOST} THEN greatest(0, u0 - {MOST}) ELSE l0 END AS lower, CASE WHEN n <= {MOST} THEN n ELSE u0 END AS upper FROM b),
+ q AS (SELECT label_id, 'n_' || substr(sha256(concat_ws(chr(31), label_id::VARCHAR, kind)), 1, 24) AS request_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS detection, sha256(concat_ws(chr(0), 'subject', 'set1', source)) AS subject_cluster, sha256({TAGGED}) AS context_sha256 FROM w)"""
+
+
+def annotated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Labels with spans, some of them bad, and the notes that they are about."""
+    docs = tables.table(spark, sf, "documents")
+    first = docs.select("doc_id", "text", F.regexp_extract("text", "[^ ]+", 0).alias("mention"))
+    shift = F.expr("case when doc_id % 7 = 0 then 1 when doc_id % 17 = 0 then 10000000 else 0 end")
+    rows = tables.table(spark, sf, "labels").join(first, "doc_id").withColumn("start", F.instr("text", F.col("mention")) - 1 + shift)
+    labels = rows.select(F.col("doc_id").alias("label_id"), F.expr("case when doc_id % 11 = 0 then doc_id + 1000000000 else doc_id end").alias("note_id"), "mention", "start", (F.col("start") + F.length("mention")).alias("end"), F.expr("case when doc_id % 13 = 0 then 'other' when toxic = 1 then 'finding' else 'symptom' end").alias("kind"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("detection"))
+    return labels, docs.select(F.col("doc_id").alias("note_id"), "text", F.col("source").alias("subject"))
+
+
+@query("prepared_candidates", f"{CANDIDATES} SELECT label_id, NULL AS reason, request_id, detection, subject_cluster, context_sha256 FROM q UNION ALL SELECT label_id, reason, NULL, NULL, NULL, NULL FROM r WHERE reason IS NOT NULL")
+def prepared_candidates(spark, sf):
+    """Requests, and the rejected labels with their reasons, from one plan."""
+    fine, bad = candidates.prepare(*annotated(spark, sf), KINDS, MOST, ("<T>", "</T>"), "set1")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    shown = fine.select("label_id", none("reason"), "request_id", "detection", "subject_cluster", F.sha2("context", 256).alias("context_sha256"))
+    return shown.unionByName(bad.select("label_id", "reason", none("request_id"), none("detection"), none("subject_cluster"), none("context_sha256")))
+
+
+@query("prepared_fingerprints", f"{CANDIDATES} SELECT subject_cluster, count(*) AS n, sum(('0x' || substr(sha256(request_id || ':' || context_sha256), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS fingerprint FROM q GROUP BY ALL")
+def prepared_fingerprints(spark, sf):
+    fine, _ = candidates.prepare(*annotated(spark, sf), KINDS, MOST, ("<T>", "</T>"), "set1")
+    n, digest = candidates.fingerprint(F.concat_ws(":", "request_id", F.sha2("context", 256)))
+    return fine.groupBy("subject_cluster").agg(n.alias("n"), digest.alias("fingerprint"))
