@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weighbridge.functions import contracts, scalars
-from weighbridge.operators import invariants
+from weighbridge.operators import invariants, rules
 from weighbridge.plans import oracle, responses
 from weighbridge.plans.registry import query
 from weighbridge.sources import tables
@@ -158,3 +158,43 @@ def provenance_staleness(spark, sf):
 @query("canonical_digest", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS digest FROM documents""")
 def canonical_digest(spark, sf):
     return tables.table(spark, sf, "documents").select("doc_id", scalars.canonical_digest(source=F.col("source"), lang=F.col("lang"), doc_id=F.col("doc_id")).alias("digest"))
+
+
+#: Customers as manifests, and what is asked of them.
+RULES = [
+    ("name", "c_name", "pattern", "Customer#[0-9]+[0-8]", "error"),
+    ("segment", "c_mktsegment", "one_of", "AUTOMOBILE|BUILDING|FURNITURE|MACHINERY", "warning"),
+    ("segment_there", "c_mktsegment", "required", None, "error"),
+    ("balance", "c_acctbal", "least", "0", "blocker"),
+    ("balance_bound", "c_acctbal", "most", "9000", "warning"),
+    ("nation", "c_nationkey", "in_table", "nation", "error"),
+    ("nation_alone", "c_nationkey", "unique", None, "warning"),
+    ("frozen_nation", "c_nationkey", "frozen", None, "blocker"),
+    ("wrapper", "c_wrapper", "required", None, "warning"),
+]
+BROKEN = """WITH m AS (SELECT c_custkey AS manifest, CASE WHEN c_custkey % 37 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 41 <> 0 THEN c_mktsegment ELSE ' ' END AS seg, c_acctbal AS bal, CASE WHEN c_custkey % 43 <> 0 THEN c_nationkey + CASE WHEN c_custkey % 47 = 0 THEN 100 + c_custkey ELSE 0 END END AS nat FROM customer),
+ z AS (SELECT c_custkey AS manifest, c_nationkey AS was FROM customer WHERE c_custkey % 53 <> 0),
+ v AS (SELECT manifest, 'name' AS rule, 'error' AS level FROM m WHERE c_name IS NOT NULL AND NOT regexp_full_match(c_name, 'Customer#[0-9]+[0-8]') UNION ALL SELECT manifest, 'segment', 'warning' FROM m WHERE seg NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') UNION ALL SELECT manifest, 'segment_there', 'error' FROM m WHERE trim(seg) = ''
+ UNION ALL SELECT manifest, 'balance', 'blocker' FROM m WHERE bal < 0 UNION ALL SELECT manifest, 'balance_bound', 'warning' FROM m WHERE bal > 9000 UNION ALL SELECT manifest, 'nation', 'error' FROM m WHERE nat NOT IN (SELECT n_nationkey FROM nation)
+ UNION ALL SELECT manifest, 'nation_alone', 'warning' FROM m WHERE nat IN (SELECT nat FROM m WHERE nat IS NOT NULL GROUP BY nat HAVING count(*) > 1) UNION ALL SELECT manifest, 'frozen_nation', 'blocker' FROM m LEFT JOIN z USING (manifest) WHERE z.manifest IS NULL OR was IS DISTINCT FROM nat UNION ALL SELECT manifest, 'wrapper', 'warning' FROM m)"""
+
+
+def manifests(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Manifests out of customers, some damaged, and the rules that they break."""
+    given = tables.table(spark, sf, "customer")
+    damaged = {"c_name": F.expr("case when c_custkey % 37 <> 0 then c_name end"), "c_mktsegment": F.expr("case when c_custkey % 41 <> 0 then c_mktsegment else ' ' end"), "c_nationkey": F.expr("case when c_custkey % 43 <> 0 then c_nationkey + case when c_custkey % 47 = 0 then 100 + c_custkey else 0 end end")}
+    rows = given.select("c_custkey", *(e.alias(c) for c, e in damaged.items()), "c_acctbal")
+    references = tables.table(spark, sf, "nation").select(F.lit("nation").alias("name"), F.col("n_nationkey").alias("value"))
+    frozen = rules.laid_out(given.where("c_custkey % 53 <> 0").select("c_custkey", "c_nationkey"), "c_custkey")
+    return rows, rules.violations(rows, "c_custkey", spark.createDataFrame(RULES, rules.RULES), references, frozen)
+
+
+@query("manifest_violations", BROKEN + " SELECT * FROM v")
+def manifest_violations(spark, sf):
+    return manifests(spark, sf)[1]
+
+
+@query("manifest_verdicts", BROKEN + ", c AS (SELECT manifest, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'blocker') AS blockers, count(*) FILTER (level = 'warning') AS warnings FROM v GROUP BY ALL) SELECT manifest, CASE WHEN errors > 0 THEN 'invalid' WHEN blockers > 0 THEN 'blocked' ELSE 'ready' END AS verdict, errors, blockers, warnings FROM c")
+def manifest_verdicts(spark, sf):
+    rows, found = manifests(spark, sf)
+    return rules.verdicts(rows, "c_custkey", found)
