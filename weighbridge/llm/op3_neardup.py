@@ -189,13 +189,13 @@ def _own_sets(width: int):
 def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """wanted(node, hi, lo, id), texts(of, _text) to (node, shingles). A class finds its text by its smallest id. Where that is
     null, or that of several classes, each of their texts is hashed once and meets its class by the fingerprint: n texts of
-    one id are n sets, not n by n."""
+    one id are n sets, not n by n. Texts are joined by a shuffle at every size, so figures of small tables tell about large ones."""
     several = common.written(wanted.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("odd")), "odd")
     by_id = "node long, shingles binary"
     if several.isEmpty():
-        return wanted.join(texts, F.col("id") == F.col("of")).select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), by_id).dropDuplicates(["node"])
+        return wanted.join(texts.hint("merge"), F.col("id") == F.col("of")).select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), by_id).dropDuplicates(["node"])
     odd = common.small(several, 64 + (several.agg(F.max(F.octet_length(F.col("odd").cast("string")))).first()[0] or 0))
-    one = wanted.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left_anti").join(texts, F.col("id") == F.col("of"))
+    one = wanted.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left_anti").join(texts.hint("merge"), F.col("id") == F.col("of"))
     plain = one.select("node", "hi", "lo", "_text").mapInArrow(_sets("node", "_text", width), by_id)
     own = texts.join(odd, F.col("of").eqNullSafe(F.col("odd")), "left_semi").select("_text").mapInArrow(_own_sets(width), "hi long, lo long, shingles binary").dropDuplicates(["hi", "lo"])
     rest = wanted.join(odd, F.col("id").eqNullSafe(F.col("odd")), "left_semi").join(own, ["hi", "lo"]).select("node", "shingles")
