@@ -13,6 +13,8 @@ from weighbridge.plans.registry import ORACLE_SQL, query
 from weighbridge.sources import shared
 
 COLUMNS = {"section": "string", "model": "string", "other": "string", "condition": "string", "domain": "string", "metric": "string", "value": "double", "n": "long", "low": "double", "high": "double", "p": "double", "adjusted": "double"}
+#: Quantiles between values of 9 digits have 12: rounded to fewer, some lie on a half, where engines differ.
+FINE = 12
 COUNTS = ("n", "n_present", "n_absent", "n_present_ok", "n_absent_ok")
 
 
@@ -44,7 +46,7 @@ def tested(slim: DataFrame, keys: list[str], outcome: str) -> DataFrame:
 NAMED = {"strict_micro": "micro", "state_macro": "macro"}
 LONG = "unnest([{metric: 'strict_micro', value: strict_micro}, {metric: 'state_macro', value: state_macro}], recursive := true)"
 TYPED_SQL = f"""WITH cl AS ({ORACLE_SQL["state_macro_micro"]}), dm AS ({oracle.SCORED}, g AS (SELECT model, condition, domain, count(*) AS n, {responses.COUNTS} FROM s GROUP BY ALL) SELECT model, condition, domain, n, {responses.SAFE_MACRO} AS state_macro, (n_present_ok + n_absent_ok) / n AS strict_micro FROM g),
- mi AS ({ORACLE_SQL["cluster_bootstrap_micro"]}), ma AS ({ORACLE_SQL["cluster_bootstrap_macro"]}), ho AS ({ORACLE_SQL["holm_adjusted"]}), pc AS (SELECT model, condition, n, {LONG} FROM cl), pd AS (SELECT model, condition, domain, n, {LONG} FROM dm),
+ mi AS ({ORACLE_SQL["cluster_bootstrap_micro"]}), ma AS ({ORACLE_SQL["cluster_bootstrap_macro"].replace("), 8) AS", f"), {FINE}) AS")}), ho AS ({ORACLE_SQL["holm_adjusted"]}), pc AS (SELECT model, condition, n, {LONG} FROM cl), pd AS (SELECT model, condition, domain, n, {LONG} FROM dm),
  iv AS (SELECT condition, model_a, model_b, 'strict_micro' AS metric, low, high FROM mi UNION ALL SELECT condition, model_a, model_b, 'state_macro', low, high FROM ma)
 SELECT 'cell' AS section, model, NULL AS other, condition, NULL AS domain, metric, round(value, 9) AS value, n, NULL AS low, NULL AS high, NULL AS p, NULL AS adjusted FROM pc UNION ALL SELECT 'domain', model, NULL, condition, domain, metric, round(value, 9), n, NULL, NULL, NULL, NULL FROM pd
 UNION ALL SELECT 'pair', a.model, b.model, a.condition, NULL, a.metric, round(b.value - a.value, 9), NULL, low, high, CASE WHEN a.metric = 'strict_micro' THEN p END, CASE WHEN a.metric = 'strict_micro' THEN adjusted END
@@ -69,7 +71,7 @@ def typed_report(spark, sf):
     own = lambda c: F.collect_list(F.when(F.col("replicate") >= 0, F.col(c)))
     point = lambda c: F.max(F.when(F.col("replicate") < 0, F.col(c)))
     linear = paired.interval_linear(own("macro"))
-    found = diff.groupBy("condition", "arm_a", "arm_b").agg(point("micro").alias("v_micro"), point("macro").alias("v_macro"), paired.interval_by_index(own("micro")).alias("i_micro"), F.struct(paired.scaled_round(linear["low"]).alias("low"), paired.scaled_round(linear["high"]).alias("high")).alias("i_macro"))
+    found = diff.groupBy("condition", "arm_a", "arm_b").agg(point("micro").alias("v_micro"), point("macro").alias("v_macro"), paired.interval_by_index(own("micro")).alias("i_micro"), F.struct(paired.scaled_round(linear["low"], FINE).alias("low"), paired.scaled_round(linear["high"], FINE).alias("high")).alias("i_macro"))
     found = found.join(tested(slim, ["condition"], "state_correct"), ["condition", "arm_a", "arm_b"])
     each = [F.struct(F.lit(m).alias("metric"), F.col(f"v_{c}").alias("value"), F.col(f"i_{c}.low").alias("low"), F.col(f"i_{c}.high").alias("high"), *(F.when(F.lit(c == "micro"), F.col(x)).alias(x) for x in ("p", "adjusted"))) for m, c in NAMED.items()]
     pairs = found.select("condition", F.col("arm_a").alias("model"), F.col("arm_b").alias("other"), F.inline(F.array(*each)))
@@ -93,7 +95,7 @@ ABLATION_SQL = f"""{tests.BOOT}, c4 AS (SELECT case_id, model, condition, count(
  r4 AS (SELECT replicate, model, condition, {", ".join(f"sum(w * {c}) AS {c}" for c in SUMS)} FROM c4 JOIN w USING (case_id) GROUP BY ALL UNION ALL SELECT -1, model, condition, {", ".join(f"sum({c})" for c in SUMS)} FROM c4 GROUP BY ALL),
  u4 AS (SELECT replicate, model, condition, {_ENDPOINTS} FROM r4), tm(contrast, condition, weight) AS (VALUES {", ".join(map(str, TERMS))}),
  k4 AS (SELECT replicate, model, contrast, metric, CASE WHEN count(v) = count(*) THEN round(sum(v * weight), 9) END AS d FROM u4 JOIN tm USING (condition) GROUP BY ALL)
-SELECT model, contrast, metric, max(d) FILTER (replicate < 0) AS value, round(quantile_cont(d, 0.025) FILTER (replicate >= 0), 8) AS low, round(quantile_cont(d, 0.975) FILTER (replicate >= 0), 8) AS high, count(d) FILTER (replicate >= 0) AS used, count(*) FILTER (replicate >= 0 AND d IS NULL) AS excluded FROM k4 GROUP BY ALL"""
+SELECT model, contrast, metric, max(d) FILTER (replicate < 0) AS value, round(quantile_cont(d, 0.025) FILTER (replicate >= 0), {FINE}) AS low, round(quantile_cont(d, 0.975) FILTER (replicate >= 0), {FINE}) AS high, count(d) FILTER (replicate >= 0) AS used, count(*) FILTER (replicate >= 0 AND d IS NULL) AS excluded FROM k4 GROUP BY ALL"""
 
 
 @query("ablation_report", ABLATION_SQL)
@@ -115,7 +117,7 @@ def ablation_report(spark, sf):
     own = F.col("replicate") >= 0
     i = paired.interval_linear(F.collect_list(F.when(own, F.col("d"))))
     return d.groupBy("model", "contrast", "metric").agg(
-        F.max(F.when(~own, F.col("d"))).alias("value"), paired.scaled_round(i["low"]).alias("low"), paired.scaled_round(i["high"]).alias("high"), F.count(F.when(own, F.col("d"))).alias("used"), F.count_if(own & F.col("d").isNull()).alias("excluded")
+        F.max(F.when(~own, F.col("d"))).alias("value"), paired.scaled_round(i["low"], FINE).alias("low"), paired.scaled_round(i["high"], FINE).alias("high"), F.count(F.when(own, F.col("d"))).alias("used"), F.count_if(own & F.col("d").isNull()).alias("excluded")
     )
 
 

@@ -336,7 +336,7 @@ def replayed_decisions(spark, sf):
  k AS (SELECT domain, o_custkey, coalesce(st.action = want, false)::INT AS a, (problem IS NULL AND rp.status = 'COMPLETED' AND coalesce(rp.action = want, false))::INT AS b FROM ou JOIN rp USING (o_orderkey) JOIN st ON st.case_id = rp.case_id),
  cs AS (SELECT domain, o_custkey, count(*) AS n, sum(a) AS a, sum(b) AS b FROM k GROUP BY ALL), cl AS (SELECT domain, o_custkey, row_number() OVER (PARTITION BY domain ORDER BY substr(sha256(o_custkey::VARCHAR), 1, 3), o_custkey) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS size FROM cs),
  dr AS (SELECT r, domain, ('0x' || substr(sha256(concat_ws('|', r::VARCHAR, domain, slot::VARCHAR)), 1, 8))::BIGINT % size AS pick FROM cl, range(0, {REPLICATES}) t(r)), dd AS (SELECT r, domain, round((sum(b) - sum(a)) / sum(n), 9) AS d FROM dr JOIN cl ON cl.domain = dr.domain AND cl.slot = dr.pick JOIN cs ON cs.domain = cl.domain AND cs.o_custkey = cl.o_custkey GROUP BY r, dr.domain, domain),
- mm AS (SELECT r, round(avg(d), 9) AS d FROM dd GROUP BY r) SELECT (SELECT count(*) FROM k) AS n, (SELECT count(*) FILTER (a = 0 AND b = 1) FROM k) AS rescued, (SELECT count(*) FILTER (a = 1 AND b = 0) FROM k) AS lost, (SELECT round(avg(x), 9) FROM (SELECT domain, round((sum(b) - sum(a)) / sum(n), 9) AS x FROM cs GROUP BY ALL)) AS difference, round(quantile_cont(d, 0.025), 8) AS low, round(quantile_cont(d, 0.975), 8) AS high FROM mm""".replace("GROUP BY r, dr.domain, domain)", "GROUP BY ALL)").replace("SELECT r, domain, round((sum(b)", "SELECT r, dr.domain, round((sum(b)"))
+ mm AS (SELECT r, round(avg(d), 9) AS d FROM dd GROUP BY r) SELECT (SELECT count(*) FROM k) AS n, (SELECT count(*) FILTER (a = 0 AND b = 1) FROM k) AS rescued, (SELECT count(*) FILTER (a = 1 AND b = 0) FROM k) AS lost, (SELECT round(avg(x), 9) FROM (SELECT domain, round((sum(b) - sum(a)) / sum(n), 9) AS x FROM cs GROUP BY ALL)) AS difference, round(quantile_cont(d, 0.025), 12) AS low, round(quantile_cont(d, 0.975), 12) AS high FROM mm""".replace("GROUP BY r, dr.domain, domain)", "GROUP BY ALL)").replace("SELECT r, domain, round((sum(b)", "SELECT r, dr.domain, round((sum(b)"))
 def replay_report(spark, sf):
     """What the replayed policy rescues and loses against the strict one, and the mean difference of the domains' accuracies with
     its interval; customers are drawn within domains."""
@@ -350,6 +350,6 @@ def replay_report(spark, sf):
     both = drawn.unionByName(by.groupBy("domain").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b"))).withColumn("replicate", F.lit(-1)))
     mean = both.withColumn("d", F.round((F.col("b") - F.col("a")) / F.col("n"), 9)).groupBy("replicate").agg(F.round(F.avg("d"), 9).alias("d"))
     i = paired.interval_linear(F.collect_list(F.when(F.col("replicate") >= 0, F.col("d"))))
-    stats = mean.agg(F.max(F.when(F.col("replicate") < 0, F.col("d"))).alias("difference"), paired.scaled_round(i["low"]).alias("low"), paired.scaled_round(i["high"]).alias("high"))
+    stats = mean.agg(F.max(F.when(F.col("replicate") < 0, F.col("d"))).alias("difference"), paired.scaled_round(i["low"], 12).alias("low"), paired.scaled_round(i["high"], 12).alias("high"))
     counts = k.agg(F.count("*").alias("n"), F.count_if(F.expr("a = 0 and b = 1")).alias("rescued"), F.count_if(F.expr("a = 1 and b = 0")).alias("lost"))
     return counts.crossJoin(F.broadcast(stats))  # a row each
