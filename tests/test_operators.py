@@ -83,6 +83,13 @@ def test_blocks_of_clusters_and_strata(spark, monkeypatch):
     assert got == {(x.replicate, x.stratum, x.cell): x.n for x in want.collect()} and any(k[2] == "rare" for k in got) and len([k for k in got if k[2] == "rare"]) < 20
 
 
+def test_a_draw_costs_the_same_at_any_number_of_clusters(spark):
+    for n in (4_000, 16_000):
+        dealt = resample.dealt_out(spark.range(n).withColumnRenamed("id", "_c"), 20, [])
+        total = dealt.agg(F.sum(F.length("counts") + F.length("places")).alias("bytes"), F.sum(F.length("places")).alias("draws"), F.count("*").alias("rows")).first()
+        assert total.draws == 20 * n and total.bytes < 1.2 * total.draws and total.rows <= 16 * (n // 256 + 1)
+
+
 def test_differences_of_all_pairs(spark):
     rows = spark.createDataFrame([(1, "b", 3.0), (1, "a", 1.0), (1, "c", None), (2, "a", 1.0)], "r int, m string, v double")
     got = {(x.r, x.arm_a, x.arm_b, x.v) for x in resample.paired_differences(rows, ["r"], "m", ["v"]).collect()}

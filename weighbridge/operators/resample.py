@@ -1,14 +1,15 @@
 """Cluster resampling by blocks: replicates are vectors, and a block of clusters is a matrix.
 
-A replicate is linear in the sums of the clusters that it draws. Clusters are numbered; a task deals the draws of its slots
-to the blocks of BLOCK clusters that they fall on, packed; a block counts them to a (replicates x clusters) matrix of weights
-and multiplies it by the (clusters x cells) matrix of its sums. Only partial sums of (replicate, cell) are exchanged after
-that, added up in each task first. A task holds one block at a time, whatever the number of clusters.
+A replicate is linear in the sums of the clusters that it draws. Clusters are numbered, and so are the slots that draw them: a
+task takes a range of slots and replicates and deals their draws to the blocks of BLOCK clusters that they fall on, a byte a
+draw. The range of slots grows with the number of clusters and that of replicates shrinks, so what a draw costs does not depend
+on the number of clusters. A block counts its draws to a (replicates x clusters) matrix of weights and multiplies it by the
+(clusters x cells) matrix of its sums. Only partial sums of (replicate, cell) are exchanged after that, added up in each task
+first. A task holds one block at a time, whatever the number of clusters.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
@@ -20,8 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from weighbridge.ship import ship
 
-#: Clusters of a block, slots whose draws are dealt at once, and replicates that are multiplied at once.
+#: Clusters of a block (256 at most, as a place is a byte), the least slots whose draws are dealt at once, and replicates that are
+#: multiplied at once.
 BLOCK, SLOTS, CHUNK = 256, 64, 2_500
+#: Draws that are dealt at once, and the part of the slots that they cover at least: a replicate then has about so many on a block.
+DRAWS, PART = 1 << 19, 16
 
 
 def numbered(clusters: DataFrame, cluster: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -35,67 +39,111 @@ def numbered(clusters: DataFrame, cluster: str, strata: Sequence[str] = ()) -> D
     return place.join(before, [*strata, "bucket"]).select(*strata, cluster, (F.col("before") + F.col("place") - 1).cast("long").alias("at"), "size")
 
 
-def draws(slot: int, size: int, replicates: int, stratum: Sequence[str] = ()) -> np.ndarray:
-    """What a slot draws in each replicate: a hash of replicate, stratum and slot modulo the size, alike in any engine."""
-    tail = "".join(f"|{s}" for s in [*(s for s in stratum if s is not None), slot]).encode()
-    heads = b"".join([sha256(b"%d%b" % (r, tail)).digest()[:4] for r in range(replicates)])
-    return np.frombuffer(heads, ">u4").astype(np.int64) % size
+def draws(slots: range, replicates: range, size: int, stratum: Sequence[str] = ()) -> np.ndarray:
+    """(slots x replicates) what a slot draws in a replicate: a hash of replicate, stratum and slot modulo the size, alike in any
+    engine."""
+    numbers = [b"%d" % r for r in replicates]
+    middle = "".join(f"|{s}" for s in stratum if s is not None).encode()
+    heads = []
+    for slot in slots:
+        tail = b"%b|%d" % (middle, slot)
+        heads.append(b"".join([sha256(n + tail).digest()[:4] for n in numbers]))
+    return (np.frombuffer(b"".join(heads), ">u4").astype(np.int64) % size).reshape(len(slots), len(replicates))
+
+
+def packed(drawn: np.ndarray, size: int, block: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The draws of a range by the blocks they fall on: block, how many each replicate has there, and their places in it, by
+    replicate."""
+    slots, replicates = drawn.shape
+    flat, n = drawn.T.reshape(-1), -(-size // block)
+    which = flat // block
+    order = np.argsort(which.astype(np.min_scalar_type(n)), kind="stable")
+    counts = np.bincount(which * replicates + np.repeat(np.arange(replicates), slots), minlength=n * replicates).astype("<u2")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))]).astype(np.int32)
+    there = np.flatnonzero(np.diff(ends))
+    as_binary = lambda at, data: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+    every = as_binary(np.arange(n + 1) * 2 * replicates, counts), as_binary(ends, (flat[order] % block).astype(np.uint8))
+    return there, *(x.take(pa.array(there)) for x in every)
+
+
+def weights_of(dealt: pa.Table, replicates: int, block: int) -> np.ndarray:
+    """(replicates x clusters of a block): how often each is drawn."""
+    at = []
+    for first, counts, places in zip(*(dealt.column(c).to_pylist() for c in ("first", "counts", "places")), strict=True):
+        n = np.frombuffer(counts, "<u2")
+        at.append(np.repeat(np.arange(first, first + len(n)) * block, n) + np.frombuffer(places, np.uint8))
+    return np.bincount(np.concatenate(at), minlength=replicates * block).reshape(replicates, block)
 
 
-def weights_of(packed: list[bytes], replicates: int, block: int) -> np.ndarray:
-    """(replicates x clusters of a block): how often each is drawn."""
-    out = np.zeros(replicates * block, np.int64)
-    for blob in packed:
-        counts, places = pickle.loads(blob)
-        out += np.bincount(np.repeat(np.arange(replicates), counts) * block + places, minlength=len(out))
-    return out.reshape(replicates, block)
+def dealt_out(clusters: DataFrame, replicates: int, own: Sequence[str]) -> DataFrame:
+    """(own, block, first, counts, places): all draws of the slots of clusters(own, _c), by block; own are the strata. Ranges of
+    slots and replicates come from the sizes of the strata alone."""
+    spark = clusters.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = clusters.groupBy(*own).agg(F.count("*").alias("size")).where(" and ".join(["size > 0", *(f"{o} is not null" for o in own)]))
+    ranges = sizes.withColumn("slots", F.expr(f"greatest({SLOTS}L, least(65535L, (size + {PART - 1}) div {PART}))"))
+    ranges = ranges.withColumn("slot", F.expr("explode(sequence(0L, size - 1, slots))")).withColumn("rounds", F.expr(f"greatest(1L, {DRAWS}L div slots)"))
+    ranges = ranges.withColumn("first", F.expr(f"explode(sequence(0L, {replicates - 1}L, rounds))")).repartition(tasks, *own, "slot", "first")
+    texts = [F.col(o).cast("string").alias(f"_t{n}") for n, o in enumerate(own)]
+    strata = "".join(f"{o} {clusters.schema[o].dataType.simpleString()}, " for o in own)
+    size_of = BLOCK
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, x in enumerate(b.select(["slot", "slots", "first", "rounds", "size", *(f"_t{n}" for n in range(len(own)))]).to_pylist()):
+                slots, those = (range(x[a], min(x[a] + x[by], most)) for a, by, most in (("slot", "slots", x["size"]), ("first", "rounds", replicates)))
+                there, counts, places = packed(draws(slots, those, x["size"], [x[f"_t{k}"] for k in range(len(own))]), x["size"], size_of)
+                same = pa.array(np.full(len(there), n))
+                yield pa.RecordBatch.from_arrays([*(b.column(o).take(same) for o in own), pa.array(there, pa.int64()), pa.array(np.full(len(there), x["first"], np.int32)), counts, places], [*own, "block", "first", "counts", "places"])
+
+    return ranges.select(*own, *texts, "slot", "slots", "first", "rounds", "size").mapInArrow(deal, strata + "block long, first int, counts binary, places binary")
+
+
+def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence[str] = ()) -> DataFrame:
+    """(replicate, strata, cluster, w) of clusters(strata, cluster), one row each: how often each replicate draws a cluster, where
+    it does. Each block lists its own."""
+    ship(clusters.sparkSession)
+    own = [f"_s{n}" for n in range(len(strata))]
+    mine = clusters.select(*(F.col(s).alias(o) for s, o in zip(strata, own, strict=True)), F.col(cluster).alias("_c"))
+    placed = numbered(mine, "_c", own).select(*own, F.expr(f"at div {BLOCK}").alias("block"), (F.col("at") % BLOCK).cast("int").alias("place"), "_c")
+    kinds = {c: mine.schema[c].dataType for c in [*own, "_c"]}
+    schema = pa.schema([("replicate", pa.int32()), *((c, to_arrow_type(k)) for c, k in kinds.items()), ("w", pa.int64())])
+
+    def weigh(dealt: pa.Table, there: pa.Table) -> pa.Table:
+        if not (dealt.num_rows and there.num_rows):
+            return schema.empty_table()
+        weight = weights_of(dealt, replicates, BLOCK)[:, there.column("place").to_numpy()]
+        parts = []
+        for r in range(0, replicates, CHUNK):
+            replicate, at = np.nonzero(weight[r : r + CHUNK])
+            rows = there.take(pa.array(at))
+            columns = [pa.array((replicate + r).astype(np.int32)), *(rows.column(c).combine_chunks().cast(schema.field(c).type) for c in kinds), pa.array(weight[replicate + r, at])]
+            parts.append(pa.Table.from_arrays(columns, schema=schema))
+        return pa.concat_tables(parts)
+
+    shown = "replicate int, " + "".join(f"{c} {k.simpleString()}, " for c, k in kinds.items()) + "w long"
+    out = dealt_out(mine, replicates, own).groupBy(*own, "block").cogroup(placed.groupBy(*own, "block")).applyInArrow(weigh, shown)
+    return out.select("replicate", *(F.col(o).alias(s) for o, s in zip(own, strata, strict=True)), F.col("_c").alias(cluster), "w")
 
 
 def resampled(sums: DataFrame, clusters: DataFrame, cluster: str, replicates: int, keys: Sequence[str], values: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
     """The sums of each replicate and cell (keys) over the clusters that it draws, from the integer sums of each cluster and
     cell; a cell of which a replicate draws no cluster has no row. Clusters are drawn within strata, with a null stratum of no
     use. Sums must stay under 2**53."""
-    spark = sums.sparkSession
-    ship(spark)
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(sums.sparkSession)
     own = [f"_s{n}" for n in range(len(strata))]  # no name of ours clashes with one of theirs
     named = [F.col(s).alias(o) for s, o in zip(strata, own, strict=True)]
-    known = numbered(clusters.select(*named, F.col(cluster).alias("_c")), "_c", own)
+    slim = clusters.select(*named, F.col(cluster).alias("_c"))
+    known = numbered(slim, "_c", own)
     cells = [f"_k{n}" for n in range(len(keys))]
     adds = [f"_v{n}" for n in range(len(values))]
     kinds = {new: sums.schema[old].dataType for new, old in zip([*cells, *adds], [*keys, *values], strict=True)}
-    marked = known.select(*own, "at", "size").repartition(tasks, "at")
-    texts = [F.col(o).cast("string").alias(f"_t{n}") for n, o in enumerate(own)]
-    strata_sql = "".join(f"{o} {clusters.schema[s].dataType.simpleString()}, " for o, s in zip(own, strata, strict=True))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, SLOTS):
-                b = whole.slice(a, SLOTS)
-                stratum = list(zip(*(b.column(f"_t{n}").to_pylist() for n in range(len(own))), strict=True)) if own else [()] * b.num_rows
-                by: dict[tuple, list[int]] = {}
-                for n, s in enumerate(stratum):
-                    by.setdefault(s, []).append(n)
-                slots, sizes = b.column("at").to_pylist(), b.column("size").to_pylist()
-                rows, at, packed = [], [], []
-                for s, those in by.items():
-                    drawn = np.stack([draws(slots[n], sizes[n], replicates, s) for n in those], axis=1).reshape(-1)  # replicate by replicate
-                    which, replicate = drawn // BLOCK, np.repeat(np.arange(replicates), len(those))
-                    order = np.argsort(which, kind="stable")
-                    found, begin = np.unique(which[order], return_index=True)
-                    for block, part in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
-                        counts = np.bincount(replicate[part], minlength=replicates)
-                        rows.append(those[0])
-                        at.append(block)
-                        packed.append(pickle.dumps((counts.astype(np.min_scalar_type(int(counts.max()))), (drawn[part] % BLOCK).astype(np.uint16)), protocol=5))
-                took = b.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(took.column(o) for o in own), pa.array(at, pa.int64()), pa.array(packed, pa.binary())], [*own, "block", "drawn"])
 
     def weigh(dealt: pa.Table, there: pa.Table) -> pa.Table:
         schema = pa.schema([("replicate", pa.int32()), *((c, to_arrow_type(kinds[c])) for c in [*cells, *adds])])
         if not (dealt.num_rows and there.num_rows):
             return schema.empty_table()
-        weight = weights_of(dealt.column("drawn").to_pylist(), replicates, BLOCK).astype(np.float64)
+        weight = weights_of(dealt, replicates, BLOCK).astype(np.float64)
         names = list(zip(*(there.column(c).to_pylist() for c in cells), strict=True)) if cells else [()] * there.num_rows
         number: dict[tuple, int] = {}
         at = np.array([number.setdefault(n, len(number)) for n in names], np.int64)
@@ -115,11 +163,10 @@ def resampled(sums: DataFrame, clusters: DataFrame, cluster: str, replicates: in
             parts.append(pa.Table.from_arrays(columns, schema=schema))
         return pa.concat_tables(parts)
 
-    dealt = marked.select(*own, *texts, "at", "size").mapInArrow(deal, strata_sql + "block long, drawn binary")
     mine = sums.select(*named, F.col(cluster).alias("_c"), *(F.col(k).alias(c) for k, c in zip(keys, cells, strict=True)), *(F.col(v).alias(c) for v, c in zip(values, adds, strict=True)))
     placed = mine.join(known.drop("size"), [*own, "_c"]).select(*own, F.expr(f"at div {BLOCK}").alias("block"), (F.col("at") % BLOCK).cast("int").alias("place"), *cells, *adds)
     schema = "replicate int, " + ", ".join(f"{c} {kinds[c].simpleString()}" for c in [*cells, *adds])
-    out = dealt.groupBy(*own, "block").cogroup(placed.groupBy(*own, "block")).applyInArrow(weigh, schema)
+    out = dealt_out(slim, replicates, own).groupBy(*own, "block").cogroup(placed.groupBy(*own, "block")).applyInArrow(weigh, schema)
     grouped = out.groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in adds))
     return grouped.select("replicate", *(F.col(c).alias(k) for c, k in zip(cells, keys, strict=True)), *(F.col(c).alias(v) for c, v in zip(adds, values, strict=True)))
 
