@@ -45,12 +45,7 @@ def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence
     """clusters(strata, cluster), one row each, to (replicate, strata, cluster, w): how often each replicate draws a cluster.
     A slot draws by a hash of replicate and slot, so any engine draws alike; only weights over 0 are kept. A row for each
     weight: to list them; `resample.resampled` adds up without."""
-    numbered = resample.numbered(clusters, cluster, strata)
-    slots = numbered.select(*strata, F.col("at").alias("slot"), "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    mark = F.concat_ws("|", F.col("replicate").cast("string"), *strata, F.col("slot").cast("string"))
-    drawn = slots.withColumn("at", F.conv(F.substring(F.sha2(mark, 256), 1, 8), 16, 10).cast("long") % F.col("size"))
-    counted = drawn.groupBy("replicate", *strata, "at").agg(F.count("*").alias("w"))
-    return counted.join(numbered.drop("size"), [*strata, "at"]).select("replicate", *strata, cluster, "w")
+    return resample.weights(clusters, cluster, replicates, strata)
 
 
 def interval_by_index(values: Column, low: float = 0.025, style: str = "inner") -> Column:
