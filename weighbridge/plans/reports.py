@@ -75,9 +75,9 @@ POLICY = f"{trees.RAWS}, {trees.machine_sql('strict', 'st')}, {trees.machine_sql
 
 @query("policy_leaderboard", f"{POLICY}, g AS (SELECT policy, domain, count(*) AS n, count(*) FILTER (ok) AS k FROM x GROUP BY ALL) SELECT policy, sum(n)::BIGINT AS n, sum(k)::BIGINT AS correct, sum(k) / sum(n) AS pooled, round(avg(k / n), 9) AS domain_balanced FROM g GROUP BY ALL")
 def policy_leaderboard(spark, sf):
-    cases = tables.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("case"), F.col("o_orderpriority").alias("domain"), contracts.terminal_label(F.expr(trees.EXPECTED)).alias("want"))
-    every = trees.walked_by(spark, sf, "strict", "legacy", "period")
-    by = every.join(cases, "case").groupBy("policy", "domain").agg(F.count("*").alias("n"), F.count_if(F.col("action") == F.col("want")).alias("k"))
+    own = {"domain": F.col("o_orderpriority"), "want": contracts.terminal_label(F.expr(trees.EXPECTED))}
+    every = trees.walked_by(spark, sf, "strict", "legacy", "period", keep=own)
+    by = every.groupBy("policy", "domain").agg(F.count("*").alias("n"), F.count_if(F.col("action") == F.col("want")).alias("k"))
     return by.groupBy("policy").agg(F.sum("n").alias("n"), F.sum("k").alias("correct"), (F.sum("k") / F.sum("n")).alias("pooled"), F.round(F.avg(F.col("k") / F.col("n")), 9).alias("domain_balanced"))
 
 

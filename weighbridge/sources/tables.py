@@ -65,6 +65,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as there are cores, at least: what a row costs afterwards is far more than its bytes say, by which a
+    scan is split."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def labelled(joined: DataFrame, found: str, key: str) -> DataFrame:
     """Labels joined to what they are about: a label without it is an error, not a row less."""
     missing = F.raise_error(F.concat(F.lit("a label without a row: "), F.col(key).cast("string")))
