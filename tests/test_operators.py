@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weighbridge.functions import scalars
-from weighbridge.operators import metrics, paired, resample, traversal
+from weighbridge.operators import forests, metrics, paired, resample, traversal
 from weighbridge.plans import trees
 from weighbridge.sources import files
 from weighbridge.streaming import ingest
@@ -260,3 +260,26 @@ def test_canonical_digest_orders_every_level(spark):
 def test_large_percents_and_folded_slugs(spark):
     row = spark.range(1).select(scalars.percent(F.lit(12.5)), scalars.slug(F.lit("Straße ﬁne ıx"))).first()
     assert tuple(row) == ("1250.0%", "strasse_fine_x")
+
+
+def test_walks_of_cases_with_their_answers_need_no_shuffle(spark):
+    cases = spark.createDataFrame([("a", [("q1", "yes"), ("q2", "yes"), ("q4", "no")]), ("b", [("q1", "no")]), ("c", None)], "case string, said array<struct<question: string, answer: string>>")
+    out = traversal.walk_cases(trees.MACHINE, "s1", cases)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = traversal.walk(spark, trees.MACHINE, "s1", cases.select("case", F.inline("said")))
+    assert {tuple(map(str, r)) for r in out.where("case <> 'c'").collect()} == {tuple(map(str, r)) for r in want.collect()}
+    assert out.where("case = 'c'").first().status == "INVALID_OUTPUT"
+    told = spark.createDataFrame([("u", {"c1": "UNCERTAIN", "c2": "PRESENT_CURRENT", "c3": "UNCERTAIN"})], "case string, told map<string, string>")
+    found = traversal.critical(trees.TREE, told)
+    assert {r.node for r in found.collect()} == {r.node for r in traversal.critical(trees.TREE, told.select("case"), told.select("case", F.explode("told").alias("criterion", "state"))).collect()}
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_tables_of_trees_are_not_broadcast(spark):
+    nodes = spark.createDataFrame([(t, n, "criterion", "c", "a") for t in range(3) for n in range(2)], "tree long, node long, kind string, criterion string, action string")
+    edges = spark.createDataFrame([(t, n, b, 1 - n) for t in range(3) for n in range(2) for b in ("yes", "no")], "tree long, node long, branch string, target long")
+    states = spark.createDataFrame([(0, 0, "s0", "yes")], "tree long, node long, state string, branch string")
+    roots = spark.createDataFrame([(t, 0) for t in range(3)], "tree long, root long")
+    out = forests.problems(nodes, edges, states, roots, ("s0",))
+    assert out.where("problem = 'on a cycle'").count() == 6
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

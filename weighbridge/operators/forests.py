@@ -3,7 +3,8 @@
 nodes(tree, node, kind, criterion, action), edges(tree, node, branch, target), states(tree, node, state, branch) and
 roots(tree, root). Rules are anti-joins and counts. Reachability is a frontier that all trees move in step; nodes on cycles
 are strongly connected components, found by trimming and colouring. Every round is a join of a written table with the edges,
-so nothing but a count of what is new comes back, and no task holds a tree.
+so nothing but a count of what is new comes back, and no task holds a tree. Tables are joined by sorting: as files, ids of trees
+and nodes are packed so well that a table of millions of rows looks small enough to be broadcast, which the driver has to hold.
 """
 
 from __future__ import annotations
@@ -19,35 +20,39 @@ KINDS = ("criterion", "terminal", "path_end", "configuration_gap")
 KEY = ["tree", "node"]
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    return shared.written(df, label).hint("merge")
+
+
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(tree, node) of all that can be reached from the roots, these included, over edges(tree, node, target)."""
     steps = edges.select("tree", "node", "target").distinct()
-    seen = front = shared.written(roots.select("tree", F.col("root").alias("node")).distinct(), "reached")
+    seen = front = _written(roots.select("tree", F.col("root").alias("node")).distinct(), "reached")
     while not front.isEmpty():
         on = front.join(steps, KEY).select("tree", F.col("target").alias("node")).distinct()
-        front = shared.written(on.join(seen, KEY, "left_anti"), "reached")
+        front = _written(on.join(seen.hint("merge"), KEY, "left_anti"), "reached")
         seen = seen.unionByName(front)
-    return seen
+    return seen.hint("merge")
 
 
 def _trimmed(core: DataFrame) -> DataFrame:
     """Edges between nodes that have a way in and a way out, again and again until that holds for all."""
-    core, left = shared.written(core, "core"), None
+    core, left = _written(core, "core"), None
     while (now := core.count()) != left:
         left = now
         into = core.select("tree", F.col("target").alias("node")).distinct()
         out = core.select("tree", F.col("node").alias("target")).distinct()
-        core = shared.written(core.join(into, KEY, "left_semi").join(out, ["tree", "target"], "left_semi"), "core")
+        core = _written(core.join(into, KEY, "left_semi").join(out, ["tree", "target"], "left_semi"), "core")
     return core
 
 
 def _coloured(core: DataFrame) -> DataFrame:
     """(tree, node, colour): the greatest node from which each node can be reached."""
-    colour = shared.written(core.select("tree", "node", F.col("node").alias("colour")).distinct(), "colours")
+    colour = _written(core.select("tree", "node", F.col("node").alias("colour")).distinct(), "colours")
     while True:
         pushed = colour.join(core, KEY).groupBy("tree", F.col("target").alias("node")).agg(F.max("colour").alias("more"))
         now = colour.join(pushed, KEY, "left").select(*KEY, F.greatest("colour", "more").alias("colour"), (F.col("more") > F.col("colour")).alias("moved"))
-        now = shared.written(now, "colours")
+        now = _written(now, "colours")
         colour = now.drop("moved")
         if now.where("moved").isEmpty():
             return colour
@@ -61,9 +66,9 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     while not core.isEmpty():
         colour = _coloured(core)
         back = core.join(colour, KEY).join(colour.select("tree", F.col("node").alias("target"), F.col("colour").alias("of")), ["tree", "target"]).where(F.col("colour") == F.col("of"))
-        back = shared.written(back.select("tree", F.col("node").alias("target"), F.col("target").alias("node"), "colour"), "core")
+        back = _written(back.select("tree", F.col("node").alias("target"), F.col("target").alias("node"), "colour"), "core")
         own = reached(back, colour.where(F.col("node") == F.col("colour")).select("tree", F.col("node").alias("root")))
-        own = shared.written(own.join(colour, KEY), "component")
+        own = _written(own.join(colour, KEY), "component")
         other = own.select("tree", F.col("node").alias("target"), F.col("colour").alias("of"))
         loops = core.join(own, KEY).join(other, ["tree", "target"]).where(F.col("colour") == F.col("of"))
         out = out.unionByName(loops.select(*KEY).distinct())
@@ -74,7 +79,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 def problems(nodes: DataFrame, edges: DataFrame, states: DataFrame, roots: DataFrame, required: Sequence[str]) -> DataFrame:
     """(tree, node, problem), a row each; a criterion that several nodes ask for is a warning, all else an error."""
-    nodes, edges, states = (shared.written(x, "trees") for x in (nodes, edges, states))
+    nodes, edges, states, roots = (_written(x, "trees") for x in (nodes, edges, states, roots))
     once = nodes.dropDuplicates(KEY)
     asks = once.where("kind = 'criterion'").select(*KEY)
     of = lambda rows, what: rows.select("tree", F.col("node").cast("string").alias("node"), F.lit(what).alias("problem")).distinct()
