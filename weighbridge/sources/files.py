@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weighbridge.sources import splits
+from weighbridge.sources import carried, shared, splits
 
 #: Name spaces of the spreadsheet format, and how far repeated cells and rows are unrolled.
 SHEET = {"table": "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "text": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
@@ -103,10 +103,24 @@ def digest(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(h)).first())
 
 
+#: Files of more bytes are read split by split, smaller ones whole.
+WHOLE_BYTES = 128 << 20
+
+
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Each file of a folder with its size and digest, and the digest of all of them in the order of their paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    rows = files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Each file of a folder with its size and digest, and the digest of all of them in the order of their names. A task reads a
+    split of a large file; only packed files (`carried.PACKED`) and those without any of `carried.BREAKS` over long stretches
+    are read whole. Spark lists no empty files."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": pattern}
+    files = spark.read.options(**options).format("binaryFile").load(folder).withColumn("file", F.col("_metadata.file_path"))
+    large = (F.col("_metadata.file_size") > WHOLE_BYTES) & ~F.col("_metadata.file_path").rlike(carried.PACKED)
+    found = carried.sha256(spark, folder, large, **options) if carried.available() else {}
+    name = F.substring_index("path", "/", -1).alias("name")
+    rows = files.where(~F.col("_metadata.file_path").isin([*found])).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if found:
+        told = spark.createDataFrame(list(found.items()), "file string, sha256 string")
+        rows = rows.unionByName(files.join(told, "file").select(name, F.col("length").alias("bytes"), "sha256"))
+    rows = shared.written(rows, "inventory")
     whole = rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda r: F.concat_ws(":", r["name"], r["sha256"])), "\n"), 256).alias("all_sha256"))
     return rows.crossJoin(F.broadcast(whole))
 
