@@ -75,3 +75,13 @@ def test_replay_equals_brute_force(spark):
     bad = {c: (logs[c], got[c], want[c]) for c in want if got[c] != want[c]}
     assert not bad, list(bad.items())[:3]
     assert {w[0] for w in want.values()} >= {"COMPLETED", "OUTPUT_FAILURE", "RUNTIME_FAILURE", "TREE_FAILURE"} and len({w[-1] for w in want.values()}) >= 6
+
+
+def test_a_step_works_out_its_rule_once(spark):
+    states = spark.createDataFrame(STATES, "domain string, state string, root boolean, minimum int, yes_kind string, yes_to string, no_kind string, no_to string")
+    machines = replay.packed(states, spark.createDataFrame(QUESTIONS, "domain string, state string, question string, at int"))
+    decisions = spark.createDataFrame([], "case string, domain string, round int, state string, question string, answer string, frozen string, runtime_failed boolean")
+    out = replay.replay(machines, spark.createDataFrame([("1", "d")], "case string, domain string"), decisions)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1  # a case is walked once
+    assert plan.count("element_at(") == 2  # by state: its rule, and whether a target is there

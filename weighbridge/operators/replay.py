@@ -6,6 +6,8 @@ the walk. A log that does not fit is not repaired: what is wrong with it is its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from weighbridge.sources import shared
 ACTIVE, COMPLETED, OUTPUT, RUNTIME, TREE = "ACTIVE", "COMPLETED", "OUTPUT_FAILURE", "RUNTIME_FAILURE", "TREE_FAILURE"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once: within a function over an array, what is named twice is worked out twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def packed(states: DataFrame, questions: DataFrame) -> DataFrame:
     """Machines as in traversal.walk_tables, a row each: domain, root, machine (state to its questions in order and targets)."""
     asked = questions.groupBy("domain", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "question"))), lambda q: q["question"]).alias("questions"))
@@ -37,22 +44,31 @@ def replay(machines: DataFrame, cases: DataFrame, decisions: DataFrame) -> DataF
     zero = F.struct(F.when(F.col("root").isNull(), TREE).otherwise(ACTIVE).alias("status"), F.col("root").alias("state"), F.lit(0).alias("at"), F.lit(0).alias("yes"), F.lit(0).alias("consumed"), F.array().cast("array<string>").alias("visited"), none.alias("action"), none.alias("failure_question"), none.alias("problem"))
 
     def step(acc: Column, d: Column) -> Column:
-        rule = F.try_element_at("machine", acc["state"])
-        question = F.get(rule["questions"], acc["at"])
-        wrong = F.when(~d["of"].eqNullSafe(F.col("domain")), "another domain").when(~d["state"].eqNullSafe(acc["state"]), "another state").when(~d["question"].eqNullSafe(question), "another question")
-        wrong = wrong.when(~d["runtime_failed"] & d["answer"].isNotNull() & ~d["answer"].eqNullSafe(d["frozen"]), "another answer")
-        yes = acc["yes"] + F.when(d["answer"] == "yes", 1).otherwise(0)
-        enough, last = yes >= rule["minimum"], acc["at"] + 1 >= F.size(rule["questions"])
-        moves = enough | last
-        kind, to = (F.when(enough, rule[f"yes_{x}"]).otherwise(rule[f"no_{x}"]) for x in ("kind", "to"))
-        visited = F.when(moves, F.concat(acc["visited"], F.array(acc["state"]))).otherwise(acc["visited"])
-        lost = moves & (kind == "state") & (F.array_contains(visited, to) | F.try_element_at("machine", to).isNull())
-        status = F.when(wrong.isNotNull(), acc["status"]).when(d["runtime_failed"], RUNTIME).when(d["answer"].isNull(), OUTPUT).when(lost, TREE).when(moves & (kind == "terminal"), COMPLETED).otherwise(ACTIVE)
-        goes = status == ACTIVE
-        new = F.struct(
-            status.alias("status"), F.when(goes & moves, to).otherwise(acc["state"]).alias("state"), F.when(goes & ~moves, acc["at"] + 1).when(goes, 0).otherwise(acc["at"]).alias("at"), F.when(goes & moves, 0).otherwise(yes).alias("yes"), (acc["consumed"] + 1).alias("consumed"), visited.alias("visited"),
-            F.when(status == COMPLETED, to).alias("action"), F.when(status.isin(OUTPUT, RUNTIME), d["question"]).alias("failure_question"), wrong.alias("problem"),
-        )
+        def asked(x: Column) -> Column:
+            rule, yes = x["rule"], x["yes"]
+            question = F.get(rule["questions"], acc["at"])
+            wrong = F.when(~d["of"].eqNullSafe(F.col("domain")), "another domain").when(~d["state"].eqNullSafe(acc["state"]), "another state").when(~d["question"].eqNullSafe(question), "another question")
+            wrong = wrong.when(~d["runtime_failed"] & d["answer"].isNotNull() & ~d["answer"].eqNullSafe(d["frozen"]), "another answer")
+            enough, last = yes >= rule["minimum"], acc["at"] + 1 >= F.size(rule["questions"])
+            kind, to = (F.when(enough, rule[f"yes_{x}"]).otherwise(rule[f"no_{x}"]) for x in ("kind", "to"))
+            moves = enough | last
+            visited = F.when(moves, F.concat(acc["visited"], F.array(acc["state"]))).otherwise(acc["visited"])
+            return _once(F.struct(yes.alias("yes"), wrong.alias("wrong"), moves.alias("moves"), kind.alias("kind"), to.alias("to"), visited.alias("visited")), moved)
+
+        def moved(x: Column) -> Column:
+            lost = x["moves"] & (x["kind"] == "state") & (F.array_contains(x["visited"], x["to"]) | F.try_element_at("machine", x["to"]).isNull())
+            status = F.when(x["wrong"].isNotNull(), acc["status"]).when(d["runtime_failed"], RUNTIME).when(d["answer"].isNull(), OUTPUT).when(lost, TREE).when(x["moves"] & (x["kind"] == "terminal"), COMPLETED).otherwise(ACTIVE)
+            return _once(status, lambda status: ended(status, x))
+
+        def ended(status: Column, x: Column) -> Column:
+            goes = status == ACTIVE
+            return F.struct(
+                status.alias("status"), F.when(goes & x["moves"], x["to"]).otherwise(acc["state"]).alias("state"), F.when(goes & ~x["moves"], acc["at"] + 1).when(goes, 0).otherwise(acc["at"]).alias("at"), F.when(goes & x["moves"], 0).otherwise(x["yes"]).alias("yes"), (acc["consumed"] + 1).alias("consumed"), x["visited"].alias("visited"),
+                F.when(status == COMPLETED, x["to"]).alias("action"), F.when(status.isin(OUTPUT, RUNTIME), d["question"]).alias("failure_question"), x["wrong"].alias("problem"),
+            )
+
+        rule, yes = F.try_element_at("machine", acc["state"]), acc["yes"] + F.when(d["answer"] == "yes", 1).otherwise(0)
+        new = _once(F.struct(rule.alias("rule"), yes.alias("yes")), asked)
         return F.when((acc["status"] != ACTIVE) | acc["problem"].isNotNull(), acc).otherwise(new)
 
     rounds = F.transform("log", lambda d: d["round"])

@@ -26,6 +26,8 @@ from weighbridge.ship import ship
 BLOCK, SLOTS, CHUNK = 256, 64, 2_500
 #: Draws that are dealt at once, and the part of the slots that they cover at least: a replicate then has about so many on a block.
 DRAWS, PART = 1 << 19, 16
+#: Digests that are put together at once.
+HASHED = 4_096
 
 
 def numbered(clusters: DataFrame, cluster: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -41,14 +43,16 @@ def numbered(clusters: DataFrame, cluster: str, strata: Sequence[str] = ()) -> D
 
 def draws(slots: range, replicates: range, size: int, stratum: Sequence[str] = ()) -> np.ndarray:
     """(slots x replicates) what a slot draws in a replicate: a hash of replicate, stratum and slot modulo the size, alike in any
-    engine."""
-    numbers = [b"%d" % r for r in replicates]
+    engine. Digests are put together whole, by HASHED, and their first words taken at once: a draw is a hash and little else."""
+    numbers = [b"%d" % s for s in slots]
     middle = "".join(f"|{s}" for s in stratum if s is not None).encode()
-    heads = []
-    for slot in slots:
-        tail = b"%b|%d" % (middle, slot)
-        heads.append(b"".join([sha256(n + tail).digest()[:4] for n in numbers]))
-    return (np.frombuffer(b"".join(heads), ">u4").astype(np.int64) % size).reshape(len(slots), len(replicates))
+    heads = np.empty((len(replicates), len(numbers)), np.uint32)
+    for row, replicate in zip(heads, replicates, strict=True):
+        start = b"%d%b|" % (replicate, middle)
+        for at in range(0, len(numbers), HASHED):
+            digests = b"".join([sha256(start + n).digest() for n in numbers[at : at + HASHED]])
+            row[at : at + HASHED] = np.frombuffer(digests, ">u4")[::8]
+    return (heads.astype(np.int64) % size).T
 
 
 def packed(drawn: np.ndarray, size: int, block: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -61,8 +65,9 @@ def packed(drawn: np.ndarray, size: int, block: int) -> tuple[np.ndarray, pa.Arr
     counts = np.bincount(which * replicates + np.repeat(np.arange(replicates), slots), minlength=n * replicates).astype("<u2")
     ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))]).astype(np.int32)
     there = np.flatnonzero(np.diff(ends))
+    places = (flat % block).astype(np.uint8)[order]
     as_binary = lambda at, data: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-    every = as_binary(np.arange(n + 1) * 2 * replicates, counts), as_binary(ends, (flat[order] % block).astype(np.uint8))
+    every = as_binary(np.arange(n + 1) * 2 * replicates, counts), as_binary(ends, places)
     return there, *(x.take(pa.array(there)) for x in every)
 
 
