@@ -283,3 +283,24 @@ def test_tables_of_trees_are_not_broadcast(spark):
     out = forests.problems(nodes, edges, states, roots, ("s0",))
     assert out.where("problem = 'on a cycle'").count() == 6
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_and_clusters_are_not_broadcast(spark):
+    """Small as these are: by the size of its file, a table of millions of units looks as small."""
+    rows = [(c, u, m, (u * 7 + n * 3) % 4 < 2 if u % 5 else None) for c in "xy" for u in range(20) for n, m in enumerate("abc")] + [(None, 1, "a", True), ("x", None, "b", True), ("x", 3, None, True), ("x", 4, "b", False)]
+    cells = spark.createDataFrame(rows, "c string, u long, m string, ok boolean")
+    out = paired.discordance(cells, ["c"], "m", "ok", "u")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    a, b = (cells.select("c", "u", F.col("m").alias(f"arm_{x}"), F.col("ok").alias(x)) for x in "ab")
+    want = a.join(b, ["c", "u"]).where("arm_a < arm_b").groupBy("c", "arm_a", "arm_b").agg(F.expr("count_if(a and not b)"), F.expr("count_if(b and not a)"), F.expr("count_if(a and b)"), F.count("*"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 6
+    sums = cells.where("u is not null").groupBy("u", "m").agg(F.count("*").alias("n"))
+    drawn = resample.resampled(sums, sums.select("u").distinct(), "u", 5, ["m"], ["n"])
+    assert drawn.count() and "BroadcastHashJoin" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_step_down_values_read_their_rows_once(spark):
+    rows = spark.createDataFrame([("f", "a", 0.04), ("f", "b", None), ("f", "c", 0.01), ("f", "d", 0.01), ("g", "a", None), ("g", "b", 0.6)], "k string, t string, p double")
+    out = paired.holm(rows, "p", ["t"], ["k"])
+    assert {(r.k, r.t): r.adjusted for r in out.collect()} == {("f", "a"): 0.04, ("f", "b"): None, ("f", "c"): 0.03, ("f", "d"): 0.03, ("g", "a"): None, ("g", "b"): 0.6}
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()

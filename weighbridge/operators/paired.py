@@ -11,10 +11,13 @@ from weighbridge.operators import resample
 
 
 def discordance(cells: DataFrame, keys: Sequence[str], arm: str, outcome: str, on: str) -> DataFrame:
-    """For each pair of arms: how often only the first, only the second, or both are right on the same unit."""
-    a = cells.select(*keys, on, F.col(arm).alias("arm_a"), F.col(outcome).alias("a"))
-    b = cells.select(*keys, on, F.col(arm).alias("arm_b"), F.col(outcome).alias("b"))
-    return a.join(b, [*keys, on]).where("arm_a < arm_b").groupBy(*keys, "arm_a", "arm_b").agg(F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(~F.col("a") & F.col("b")).alias("b_only"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count("*").alias("n"))
+    """For each pair of arms: how often only the first, only the second, or both are right on the same unit. The arms of a unit
+    meet in a list, as long as there are arms: a join of the units with themselves may be broadcast by the size of their files."""
+    there = " and ".join(f"`{c}` is not null" for c in [*keys, on, arm])
+    met = cells.where(there).groupBy(*keys, on).agg(F.collect_list(F.struct(F.col(arm).alias("arm"), F.col(outcome).alias("ok"))).alias("_m"))
+    after = lambda a: F.transform(F.filter("_m", lambda b: b["arm"] > a["arm"]), lambda b: F.struct(a["arm"].alias("arm_a"), b["arm"].alias("arm_b"), a["ok"].alias("a"), b["ok"].alias("b")))
+    pairs = met.select(*keys, F.inline(F.flatten(F.transform("_m", after))))
+    return pairs.groupBy(*keys, "arm_a", "arm_b").agg(F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(~F.col("a") & F.col("b")).alias("b_only"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count("*").alias("n"))
 
 
 def mcnemar(a_only: Column, b_only: Column) -> Column:
@@ -33,12 +36,10 @@ def mcnemar(a_only: Column, b_only: Column) -> Column:
 
 def holm(rows: DataFrame, p: str, tie: Sequence[str], family: Sequence[str] = ()) -> DataFrame:
     """Adds adjusted: step-down p values within a family; null p stays null and does not count."""
-    known = rows.where(F.col(p).isNotNull())
-    order = Window.partitionBy(*family).orderBy(p, *tie)
-    m = F.count("*").over(Window.partitionBy(*family))
-    step = known.withColumn("adjusted", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
-    done = step.withColumn("adjusted", F.max("adjusted").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return done.unionByName(rows.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
+    order = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), *tie)
+    m = F.count(p).over(Window.partitionBy(*family))
+    step = rows.withColumn("adjusted", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
+    return step.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.max("adjusted").over(order.rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def weights(clusters: DataFrame, cluster: str, replicates: int, strata: Sequence[str] = ()) -> DataFrame:

@@ -32,13 +32,14 @@ HASHED = 4_096
 
 def numbered(clusters: DataFrame, cluster: str, strata: Sequence[str] = ()) -> DataFrame:
     """clusters(strata, cluster), one row each, with its number `at` and the number of clusters `size` of its stratum. Clusters
-    are numbered by the first three digits of their digest, then by themselves: a task sorts one of 4,096 buckets, never all."""
+    are numbered by the first three digits of their digest, then by themselves: a task sorts one of 4,096 buckets, never all. They
+    are joined by sorting, here and to their sums: by the size of their files, millions would be broadcast through the driver."""
     dealt = clusters.select(*strata, cluster, F.coalesce(F.substring(F.sha2(F.col(cluster).cast("string"), 256), 1, 3), F.lit("")).alias("bucket"))
     whole = Window.partitionBy(*strata)  # over the sizes of buckets only
     held = dealt.groupBy(*strata, "bucket").agg(F.count("*").alias("held"))
     before = held.select(*strata, "bucket", (F.sum("held").over(whole.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("size"))
     place = dealt.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "bucket").orderBy(cluster)))
-    return place.join(before, [*strata, "bucket"]).select(*strata, cluster, (F.col("before") + F.col("place") - 1).cast("long").alias("at"), "size")
+    return place.hint("merge").join(before, [*strata, "bucket"]).select(*strata, cluster, (F.col("before") + F.col("place") - 1).cast("long").alias("at"), "size")
 
 
 def draws(slots: range, replicates: range, size: int, stratum: Sequence[str] = ()) -> np.ndarray:
@@ -169,7 +170,7 @@ def resampled(sums: DataFrame, clusters: DataFrame, cluster: str, replicates: in
         return pa.concat_tables(parts)
 
     mine = sums.select(*named, F.col(cluster).alias("_c"), *(F.col(k).alias(c) for k, c in zip(keys, cells, strict=True)), *(F.col(v).alias(c) for v, c in zip(values, adds, strict=True)))
-    placed = mine.join(known.drop("size"), [*own, "_c"]).select(*own, F.expr(f"at div {BLOCK}").alias("block"), (F.col("at") % BLOCK).cast("int").alias("place"), *cells, *adds)
+    placed = mine.join(known.drop("size").hint("merge"), [*own, "_c"]).select(*own, F.expr(f"at div {BLOCK}").alias("block"), (F.col("at") % BLOCK).cast("int").alias("place"), *cells, *adds)
     schema = "replicate int, " + ", ".join(f"{c} {kinds[c].simpleString()}" for c in [*cells, *adds])
     out = dealt_out(slim, replicates, own).groupBy(*own, "block").cogroup(placed.groupBy(*own, "block")).applyInArrow(weigh, schema)
     grouped = out.groupBy("replicate", *cells).agg(*(F.sum(c).alias(c) for c in adds))
